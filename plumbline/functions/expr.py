@@ -45,6 +45,18 @@ def finite(c):
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+def numbers(df, columns, keep=()):
+    """The columns as doubles without NaN or infinities (under their names), next to the ``keep`` columns.
+
+    Aggregates read these plain attributes, which keeps their compiled code small.
+    """
+    def value(name):
+        whole = isinstance(type_of(df, name), INTEGRAL + (T.DecimalType,))
+        return (col(name).cast("double") if whole else finite(col(name))).alias(name)
+
+    return df.select(*[col(k) for k in keep if k not in columns], *[value(c) for c in columns])
+
+
 def rounded(c, digits=4):
     return F.round(finite(c), digits)
 

@@ -6,6 +6,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NORMAL = NormalDist()
 
@@ -57,7 +58,7 @@ def correlation_p(r, n):
     return incomplete_beta(freedom / 2.0, 0.5, unexplained)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_of_r(r: pd.Series, n: pd.Series) -> pd.Series:
     values = [correlation_p(a, b) for a, b in zip(r.to_numpy(dtype=float), n.to_numpy(dtype=float))]
     return pd.Series([None if math.isnan(v) else v for v in values], dtype="float64")

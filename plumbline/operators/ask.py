@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text_rules
-from plumbline.functions.expr import col, finite, numeric_columns, rounded, text_columns
+from plumbline.functions.expr import col, finite, numbers, numeric_columns, rounded, text_columns
 from plumbline.operators.profile import distinct_counts
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.stats import facts, iqr_outliers, per_column
@@ -68,12 +68,14 @@ def single_agg(df, value, how="mean"):
 def all_columns_agg(df, how="mean", columns=None, k=10):
     """One aggregate over each of the first numeric columns; columns without a result drop out."""
     columns = list(columns or numeric_columns(df))[:k]
-    if how == "median":
-        medians = quantiles(df, columns, [0.5])
-        measure = lambda c: [F.lit(medians[c][0]).cast("double").alias("v"), F.count(finite(col(c))).alias("n")]
-    else:
-        measure = lambda c: [AGGREGATES[how](finite(col(c))).alias("v"), F.count(finite(col(c))).alias("n")]
-    return per_column(df, columns, measure).where("v IS NOT NULL").select("column", rounded(F.col("v"), 3).alias("value"), "n")
+    medians = quantiles(df, columns, [0.5]) if how == "median" else {}
+
+    def measure(c):
+        value = F.lit(medians[c][0]).cast("double") if how == "median" else AGGREGATES[how](col(c))
+        return [value.alias("v"), F.count(col(c)).alias("n")]
+
+    return per_column(numbers(df, columns), columns, measure).where("v IS NOT NULL").select(
+        "column", rounded(F.col("v"), 3).alias("value"), "n")
 
 
 def unique_counts(df, columns=None, k=10):
@@ -129,8 +131,8 @@ def measures(df, numeric=None, categories=None, k=16):
     """Measures with their value and a BI formula; average, total, max, min, then distinct counts."""
     numeric, categories = list(numeric or numeric_columns(df))[:8], list(categories or text_columns(df))[:3]
     forms = (("Avg", "mean", "AVERAGE"), ("Total", "sum", "SUM"), ("Max", "max", "MAX"), ("Min", "min", "MIN"))
-    base = per_column(df, numeric, lambda c: [F.count(finite(col(c))).alias("n")] + [
-        AGGREGATES[how](finite(col(c))).alias(how) for _, how, _ in forms])
+    base = per_column(numbers(df, numeric), numeric, lambda c: [F.count(col(c)).alias("n")] + [
+        AGGREGATES[how](col(c)).alias(how) for _, how, _ in forms])
     at = _per_name({c: float(i) for i, c in enumerate(numeric)}).cast("int")
     listed = base.where("n >= 2").select("column", at.alias("at"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("form"), F.concat(F.lit(f"{word} "), "column").alias("name"), F.lit(how).alias("fn"),
@@ -163,8 +165,8 @@ def measure_dictionary(df, columns, profit="Profit", profit_pct="Profit_Pct"):
 def distribution_answer(df, column, min_rows=5):
     """G27 without the sampled normality test (see ``stats.normality``): one row of facts."""
     q1, median, q3 = quantiles(df, [column], [0.25, 0.5, 0.75])[column]
-    base = facts(df, [column], lambda c: [F.count(F.when(
-        (finite(col(c)) < F.lit(q1 - 1.5 * (q3 - q1))) | (finite(col(c)) > F.lit(q3 + 1.5 * (q3 - q1))), 1)
+    base = facts(df, [column], lambda c, d, n: [F.count(F.when(
+        (col(c) < F.lit(q1 - 1.5 * (q3 - q1))) | (col(c) > F.lit(q3 + 1.5 * (q3 - q1))), 1)
     ).alias("outliers")] if q1 is not None else [F.lit(0).alias("outliers")])
     number = lambda v: rounded(F.lit(v).cast("double"), 3)
     return base.where(F.col("n") >= min_rows).select(

@@ -7,30 +7,62 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.expr import chunks, col, finite, numeric_columns, rounded
+from plumbline.functions.expr import chunks, col, finite, numbers, numeric_columns, rounded
 from plumbline.functions.special import p_of_r
-from plumbline.operators.stats import union_all
+from plumbline.operators.stats import first_pass, union_all
 
-PAIRS_PER_AGGREGATE = 120
+PAIRS_PER_AGGREGATE = 40
 WIDE_COLUMNS = 24
 
 
-def _pair_measures(a, b):
-    x, y = finite(col(a)), finite(col(b))
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return [F.count(x).alias("n"), F.corr(x, y).alias("r"), F.avg(x).alias("mean1"), F.avg(y).alias("mean2"),
-            F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")]
-
-
 def pair_facts(df, pairs):
-    """Unrounded pairwise-complete facts; slope and intercept predict the second column from the first."""
+    """Unrounded pairwise-complete facts; slope and intercept predict the second column from the first.
+
+    Products of deviations from the column means are summed. A pair of columns without nulls needs one sum of
+    its own, a pair with nulls sums its complete rows.
+    """
+    pairs = list(pairs)
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    clean = numbers(df, columns)
+    known = first_pass(clean, columns)
+    mean = {c: (known[c]["sum"] / known[c]["n"] if known[c]["n"] else 0.0) for c in columns}
+    at = {c: i for i, c in enumerate(columns)}
+    shifted = clean.select(*[(col(c) - F.lit(mean[c])).alias(f"d{i}") for c, i in at.items()])
+    full = {c for c in columns if known[c]["n"] == known[c]["rows"]}
+    flat = {c for c in columns if known[c]["lo"] == known[c]["hi"]}
     frames = []
-    for part in chunks(list(pairs), PAIRS_PER_AGGREGATE):
-        wide = df.agg(*[F.struct(*_pair_measures(a, b)).alias(f"p{i}") for i, (a, b) in enumerate(part)])
-        rows = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"p{i}").alias("p"))
-                for i, (a, b) in enumerate(part)]
-        frames.append(wide.select(F.explode(F.array(*rows)).alias("x")).select("x.col1", "x.col2", "x.p.*"))
-    return union_all(frames).withColumn("r", finite(F.col("r")))
+    for part in chunks(pairs, PAIRS_PER_AGGREGATE):
+        sums, rows = {}, []
+        for j, (a, b) in enumerate(part):
+            x, y = F.col(f"d{at[a]}"), F.col(f"d{at[b]}")
+            if a in full and b in full:
+                sums.update({f"s{at[a]}": F.sum(x), f"q{at[a]}": F.sum(x * x), f"s{at[b]}": F.sum(y), f"q{at[b]}": F.sum(y * y)})
+                own = {"sx": F.col(f"s{at[a]}"), "sxx": F.col(f"q{at[a]}"), "sy": F.col(f"s{at[b]}"), "syy": F.col(f"q{at[b]}")}
+                own["n"] = F.lit(known[a]["n"]).cast("double")
+            else:
+                both_x, both_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+                made = {"sx": F.sum(both_x), "sxx": F.sum(both_x * both_x), "sy": F.sum(both_y), "syy": F.sum(both_y * both_y),
+                        "n": F.count(both_x).cast("double")}
+                sums.update({f"{k}_{j}": v for k, v in made.items()})
+                own = {k: F.col(f"{k}_{j}") for k in made}
+            sums[f"p{j}"] = F.sum(x * y)
+            own["sxy"] = F.col(f"p{j}")
+            rows.append(F.struct(
+                F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.lit(mean[a]).alias("c1"), F.lit(mean[b]).alias("c2"),
+                F.lit(a in flat or b in flat).alias("flat"), *[v.cast("double").alias(k) for k, v in own.items()]))
+        wide = shifted.agg(*[v.alias(k) for k, v in sums.items()])
+        frames.append(wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    size = F.nullif(n, F.lit(0.0))
+    cross = F.col("sxy") - sx * sy / size
+    across = F.when(~F.col("flat"), F.greatest(F.lit(0.0), F.col("sxx") - sx * sx / size))
+    upward = F.when(~F.col("flat"), F.greatest(F.lit(0.0), F.col("syy") - sy * sy / size))
+    return union_all(frames).withColumns({
+        "r": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cross / F.nullif(F.sqrt(across * upward), F.lit(0.0)))),
+        "slope": cross / F.nullif(across, F.lit(0.0)), "mean1": F.col("c1") + sx / size, "mean2": F.col("c2") + sy / size,
+    }).withColumn("r", F.when(across * upward > 0, F.col("r"))).select(
+        "col1", "col2", n.cast("bigint").alias("n"), "r", "mean1", "mean2", "slope",
+        (F.col("mean2") - F.col("slope") * F.col("mean1")).alias("intercept"))
 
 
 def gram_pairs(df, columns):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.expr import col, date_columns, finite, number, numeric_columns, ratio
 from plumbline.operators.clean import missing_shares
 from plumbline.operators.order import over_previous, with_row_index
-from plumbline.operators.stats import per_column
+from plumbline.operators.stats import facts
 
 FEATURE_SCHEMA = "name string, formula string, type string, why string"
 
@@ -67,20 +67,18 @@ def moving_average(df, columns=None, order_by=(), window=None, max_columns=3):
 
 
 def _numeric_facts(df, columns):
-    rows = per_column(df, columns, lambda c: [
-        F.count(finite(col(c))).alias("n"), F.min(finite(col(c))).alias("lo"), F.avg(finite(col(c))).alias("mean"),
-        F.stddev_samp(finite(col(c))).alias("std")]).collect()
-    return {r["column"]: r for r in rows}
+    found = facts(df, columns).select("column", "rows", "n", F.col("min").alias("lo"), "mean", "std").collect()
+    return {r["column"]: r for r in found}
 
 
 def ratio_pairs(df, columns=None, most=3):
     """The first pairs whose second column is positive and not dwarfed by the first."""
     columns = list(columns or numeric_columns(df))
-    facts = _numeric_facts(df, columns)
+    known = _numeric_facts(df, columns)
     usable = [
         (a, b) for a, b in combinations(columns, 2)
-        if facts[a]["n"] >= 3 and facts[b]["n"] >= 3 and facts[b]["lo"] > 0
-        and abs(facts[a]["mean"]) / max(abs(facts[b]["mean"]), 0.001) <= 100
+        if known[a]["n"] >= 3 and known[b]["n"] >= 3 and known[b]["lo"] > 0
+        and abs(known[a]["mean"]) / max(abs(known[b]["mean"]), 0.001) <= 100
     ]
     return usable[:most]
 
@@ -93,10 +91,10 @@ def ratios(df, columns=None, most=3):
 def zscores(df, columns=None, max_columns=4):
     """(x - mean) / std for columns with at least five values and some spread."""
     columns = list(columns or numeric_columns(df))[:max_columns]
-    facts = _numeric_facts(df, columns)
-    kept = [c for c in columns if facts[c]["n"] >= 5 and (facts[c]["std"] or 0) > 0]
+    known = _numeric_facts(df, columns)
+    kept = [c for c in columns if known[c]["n"] >= 5 and (known[c]["std"] or 0) > 0]
     return df.withColumns({
-        f"{c}_zscore": (finite(col(c)) - F.lit(facts[c]["mean"])) / F.lit(facts[c]["std"]) for c in kept})
+        f"{c}_zscore": (finite(col(c)) - F.lit(known[c]["mean"])) / F.lit(known[c]["std"]) for c in kept})
 
 
 def date_parts(df, columns=None, max_columns=2):
@@ -111,12 +109,12 @@ def feature_table(df, numeric=None, dates=None):
     """Names, formulas and reasons of the columns the feature operators would add to this table."""
     numeric = list(numeric or numeric_columns(df))
     dates = list(dates or date_columns(df))
-    facts = _numeric_facts(df, numeric) if numeric else {}
-    rows_in_table = next(iter(facts.values()))["rows"] if facts else df.count()
+    known = _numeric_facts(df, numeric) if numeric else {}
+    rows_in_table = next(iter(known.values()))["rows"] if known else df.count()
     rows = [
         (f"{c}_pct_change", f"({c}[n] - {c}[n-1]) / {c}[n-1] × 100", "Growth Rate",
          f"Relative change of {c} between consecutive records")
-        for c in numeric[:4] if facts[c]["n"] >= 3
+        for c in numeric[:4] if known[c]["n"] >= 3
     ]
     if rows_in_table >= 5:
         window = moving_window(rows_in_table)
@@ -125,7 +123,7 @@ def feature_table(df, numeric=None, dates=None):
     rows += [(f"{a}_per_{b}", f"{a} / {b}", "Ratio", f"Normalises {a} by {b}") for a, b in ratio_pairs(df, numeric)]
     rows += [(f"{c}_zscore", f"({c} - mean({c})) / std({c})", "Z-Score",
               f"Standardised {c}; beyond ±3 is an outlier")
-             for c in numeric[:4] if facts[c]["n"] >= 5 and (facts[c]["std"] or 0) > 0]
+             for c in numeric[:4] if known[c]["n"] >= 5 and (known[c]["std"] or 0) > 0]
     rows += [(f"{c}_year / _month / _dow", f"Extract year, month, day-of-week from {c}", "Date Decomposition",
               "Allows time-based grouping") for c in dates[:2]]
     return df.sparkSession.createDataFrame(rows, FEATURE_SCHEMA)

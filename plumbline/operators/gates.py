@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.expr import col, date_columns, finite, number, numeric_columns, rounded, text_columns
+from plumbline.functions.expr import col, date_columns, finite, number, numbers, numeric_columns, rounded, text_columns
 from plumbline.functions.names import NON_NEGATIVE_WORDS_LONG, PERCENTAGE_WORDS, has_word
 from plumbline.operators.stats import per_column, union_all
 
@@ -101,8 +101,8 @@ def sign_checks(df):
     named = [c for c in numeric_columns(df) if has_word(c, NON_NEGATIVE_WORDS_LONG)]
     if not named:
         return _no_checks(df)
-    rows = per_column(df, named, lambda c: [
-        F.count(finite(col(c))).alias("n"), F.count(F.when(finite(col(c)) < 0, 1)).alias("bad")])
+    rows = per_column(numbers(df, named), named, lambda c: [
+        F.count(col(c)).alias("n"), F.count(F.when(col(c) < 0, 1)).alias("bad")])
     bad = F.col("bad") > 0
     return rows.where("n > 0").select(
         F.lit("sign").alias("check"), "column", F.when(bad, "FAIL").otherwise("PASS").alias("status"),
@@ -116,9 +116,8 @@ def percentage_checks(df):
     named = [c for c in numeric_columns(df) if has_word(c, PERCENTAGE_WORDS)]
     if not named:
         return _no_checks(df)
-    v = lambda c: finite(col(c))
-    rows = per_column(df, named, lambda c: [
-        F.count(v(c)).alias("n"), F.count(F.when((v(c) < 0) | (v(c) > 100), 1)).alias("bad")])
+    rows = per_column(numbers(df, named), named, lambda c: [
+        F.count(col(c)).alias("n"), F.count(F.when((col(c) < 0) | (col(c) > 100), 1)).alias("bad")])
     bad = F.col("bad") > 0
     return rows.where("n > 0").select(
         F.lit("percentage_range").alias("check"), "column", F.when(bad, "WARN").otherwise("PASS").alias("status"),
@@ -147,8 +146,8 @@ def constant_checks(df):
     numeric = numeric_columns(df)
     if not numeric:
         return _no_checks(df)
-    rows = per_column(df, numeric, lambda c: [
-        F.count(finite(col(c))).alias("n"), F.min(finite(col(c))).alias("lo"), F.max(finite(col(c))).alias("hi")])
+    rows = per_column(numbers(df, numeric), numeric, lambda c: [
+        F.count(col(c)).alias("n"), F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi")])
     return rows.where("n > 5 AND lo = hi").select(
         F.lit("constant").alias("check"), "column", F.lit("WARN").alias("status"), F.col("n").alias("rows"),
         F.format_string("'%s': Constant column (all same value=%.4f) — not useful for analysis", "column", "lo").alias("detail"))
@@ -191,6 +190,7 @@ def overall_verdict(checks):
 
 def zero_inflation(df, columns=None, share=0.5):
     """Columns whose non-null values are mostly zero."""
-    rows = per_column(df, columns or numeric_columns(df), lambda c: [
-        F.avg((finite(col(c)) == 0).cast("int")).alias("share"), F.count(finite(col(c))).alias("n")])
+    columns = list(columns or numeric_columns(df))
+    rows = per_column(numbers(df, columns), columns, lambda c: [
+        F.avg((col(c) == 0).cast("int")).alias("share"), F.count(col(c)).alias("n")])
     return rows.where(F.col("share") > share).select("column", "n", F.round(F.col("share") * 100, 1).alias("zero_pct"))

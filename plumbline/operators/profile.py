@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import (
-    class_of, col, date_columns, finite, numeric_columns, rounded, text_columns,
+    class_of, col, date_columns, finite, numbers, numeric_columns, rounded, text_columns,
 )
 from plumbline.functions.names import NON_NEGATIVE_WORDS, has_word
 from plumbline.operators.roles import classify
@@ -210,10 +210,11 @@ def understanding(df, classic=True):
 def anomalies(df, columns=None, mode="auto"):
     """B9's anomaly list: beyond three interquartile ranges (C7), negative (C8), mostly zero."""
     columns = columns or classify(df, classic=True).numeric
+    df = numbers(df, columns)
     fences = iqr_fences(df, columns, 3.0, mode)
 
     def measure(c):
-        v = finite(col(c))
+        v = col(c)
         lo, hi = fences.get(c, (None, None, None, None))[:2]
         beyond = F.count(F.when((v < lo) | (v > hi), 1)) if lo is not None else F.lit(0).cast("bigint")
         return [F.count(v).alias("n"), beyond.alias("extreme"), F.count(F.when(v < 0, 1)).alias("negative"),

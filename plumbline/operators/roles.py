@@ -1,5 +1,6 @@
 """What each column is: number, row index, key, category or date."""
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
@@ -95,12 +96,25 @@ def detect_keys(df, mode="reference"):
     return [c for c in df.columns if c in keys]
 
 
+def layout_shape(layout):
+    """A pattern every text in the layout has; it keeps values of other shapes away from the parser."""
+    widths = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}",
+              "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}"}
+    parts = [m.group(0) for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|[^A-Za-z']", layout)]
+    return "^" + "".join(widths.get(p, re.escape(p.strip("'"))) for p in parts) + "$"
+
+
+def parsed_date(c, layout):
+    text = F.trim(col(c))
+    return F.when(text.rlike(layout_shape(layout)), F.try_to_timestamp(text, F.lit(layout)))
+
+
 def date_votes(df, columns=None, formats=DATE_FORMATS):
     """Per text column and layout: the share of all rows that parse."""
     columns = columns or text_columns(df)
     frames = [
         per_column(df, columns, lambda c, f=f: [
-            (F.count(F.try_to_timestamp(F.trim(col(c)), F.lit(f))) / F.count(F.lit(1))).alias("share")])
+            (F.count(parsed_date(c, f)) / F.count(F.lit(1))).alias("share")])
         .select("column", F.lit(f).alias("format"), F.lit(i).alias("at"), "share")
         for i, f in enumerate(formats)
     ]
@@ -113,7 +127,7 @@ def date_formats(df, columns=None, formats=DATE_FORMATS, least=0.6):
     if not columns:
         return {}
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *[
-        F.count(F.try_to_timestamp(F.trim(col(c)), F.lit(f))).alias(f"d{i}_{j}")
+        F.count(parsed_date(c, f)).alias(f"d{i}_{j}")
         for i, c in enumerate(columns) for j, f in enumerate(formats)
     ]).first()
     chosen = {}
@@ -127,7 +141,7 @@ def date_formats(df, columns=None, formats=DATE_FORMATS, least=0.6):
 def promote_dates(df, columns=None, formats=DATE_FORMATS, least=0.6):
     """Text columns that are mostly dates in one layout become timestamps; other values become null."""
     chosen = date_formats(df, columns, formats, least)
-    return df.withColumns({c: F.try_to_timestamp(F.trim(col(c)), F.lit(f)) for c, f in chosen.items()})
+    return df.withColumns({c: parsed_date(c, f) for c, f in chosen.items()})
 
 
 def classify(df, blocked=(), classic=False):

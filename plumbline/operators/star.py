@@ -16,12 +16,13 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 @dataclass
 class Dim:
-    """A dimension: its rows, the fact's column, its own column (the same name unless given) and its name."""
+    """A dimension: its rows, the fact's column, its own column (the same name unless given), its name and its keys."""
 
     df: DataFrame
     fact_key: str
     dim_key: str = None
     name: str = None
+    keys: list = None
 
     def __post_init__(self):
         self.dim_key = self.dim_key or self.fact_key
@@ -65,7 +66,7 @@ def star_join(fact, dims, prune=True, limit=BROADCAST_BYTES):
     for dim in dims:
         if dim.fact_key not in original or dim.dim_key not in dim.df.columns:
             continue
-        columns = kept_columns(dim, detect_keys(dim.df)) if prune else dim.df.columns
+        columns = kept_columns(dim, dim.keys if dim.keys is not None else detect_keys(dim.df)) if prune else dim.df.columns
         clash = clash_names(out.columns, columns, dim.dim_key, dim.name)
         renamed = dim.df.select(*[col(c).alias(clash.get(c, c)) for c in columns])
         side = broadcast_if_small(renamed, limit)
@@ -103,12 +104,10 @@ def relationships(fact, dims, fact_name="fact", limit=BROADCAST_BYTES):
     return union_all(frames)
 
 
-def fact_candidates(tables):
+def fact_candidates(tables, keys=None):
     """Rows and measure columns (numeric and not a key) of every table, in table order."""
-    measures = {}
-    for name, df in tables.items():
-        keys = detect_keys(df)
-        measures[name] = [c for c in numeric_columns(df) if c not in keys]
+    keys = keys or {name: detect_keys(df) for name, df in tables.items()}
+    measures = {name: [c for c in numeric_columns(df) if c not in keys[name]] for name, df in tables.items()}
     frames = [
         df.agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(i).alias("position"), F.lit(name).alias("table"), "rows", F.lit(len(measures[name])).alias("measures"))
@@ -117,9 +116,9 @@ def fact_candidates(tables):
     return union_all(frames)
 
 
-def detect_fact(tables):
+def detect_fact(tables, keys=None):
     """The table with the most rows among those with a measure; the first one wins ties."""
-    best = fact_candidates(tables).where("measures > 0 AND rows > 0").orderBy(F.desc("rows"), "position").first()
+    best = fact_candidates(tables, keys).where("measures > 0 AND rows > 0").orderBy(F.desc("rows"), "position").first()
     return best["table"] if best else None
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.expr import chunks, col, finite, numeric_columns, ratio, rounded, text_columns
+from plumbline.functions.expr import chunks, col, finite, numbers, numeric_columns, ratio, rounded, text_columns
 from plumbline.functions.special import shapiro_wilk
 from plumbline.operators.quantiles import quantiles
 
@@ -34,13 +34,11 @@ def per_column(df, columns, measure):
     return union_all(frames)
 
 
-def moment_measures(c):
-    v = finite(col(c))
-    return [
-        F.count(v).alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.var_samp(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"),
-    ]
+def first_pass(df, columns):
+    """{column: rows, n, sum, lo, hi} of columns that are already plain doubles."""
+    found = per_column(df, columns, lambda c: [
+        F.count(col(c)).alias("n"), F.sum(col(c)).alias("sum"), F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi")])
+    return {r["column"]: r for r in found.collect()}
 
 
 def adjusted_skewness():
@@ -71,10 +69,40 @@ def kurtosis_label(k):
     )
 
 
-def facts(df, columns, extra=lambda c: []):
-    """Unrounded moments per column (plus ``extra`` aggregates), with adjusted skewness and kurtosis."""
-    return per_column(df, columns, lambda c: moment_measures(c) + extra(c)).withColumns(
-        {"skewness": adjusted_skewness(), "kurtosis": adjusted_kurtosis()})
+def facts(df, columns, extra=None, keep=()):
+    """Unrounded moments per column, with adjusted skewness and kurtosis.
+
+    Two scans of plain sums: the first finds the means (k numbers), the second sums powers of the deviations
+    from them, which is both cheaper per row than running central moments and exact to the last digits.
+    ``extra(name, deviation, n)`` may add aggregates that also see the ``keep`` columns.
+    """
+    columns = list(columns)
+    clean = numbers(df, columns, keep)
+    known = first_pass(clean, columns)
+    mean = {c: (known[c]["sum"] / known[c]["n"] if known[c]["n"] else None) for c in columns}
+    names = {c: f"_d{i}" for i, c in enumerate(columns)}
+    shifted = clean.withColumns({names[c]: col(c) - F.lit(mean[c]).cast("double") for c in columns})
+
+    def measure(c):
+        d, k = F.col(names[c]), known[c]
+        sums = [F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"), F.sum(d * d * d * d).alias("s4")]
+        fixed = [F.lit(k["n"]).cast("bigint").alias("n"), F.lit(k["sum"]).cast("double").alias("sum"),
+                 F.lit(mean[c]).cast("double").alias("mean"), F.lit(k["lo"]).cast("double").alias("min"),
+                 F.lit(k["hi"]).cast("double").alias("max")]
+        return fixed + sums + (extra(c, d, k["n"]) if extra else [])
+
+    n = F.col("n").cast("double")
+    off = F.col("s1") / F.nullif(n, F.lit(0.0))
+    squares = F.when(F.col("min") == F.col("max"), F.lit(0.0)).otherwise(F.greatest(F.col("s2") - n * off * off, F.lit(0.0)))
+    cubes = F.col("s3") - 3 * off * F.col("s2") + 2 * n * F.pow(off, F.lit(3))
+    fourths = F.col("s4") - 4 * off * F.col("s3") + 6 * off * off * F.col("s2") - 3 * n * F.pow(off, F.lit(4))
+    m2 = F.col("squares")
+    spread = F.nullif(m2, F.lit(0.0))
+    return per_column(shifted, columns, measure).withColumns({"squares": squares, "cubes": cubes, "fourths": fourths}).withColumns({
+        "variance": m2 / F.nullif(n - 1, F.lit(0.0)), "std": F.sqrt(m2 / F.nullif(n - 1, F.lit(0.0))),
+        "g1": F.sqrt(n) * F.col("cubes") / F.pow(spread, F.lit(1.5)), "g2": n * F.col("fourths") / (spread * spread) - 3,
+    }).withColumns({"skewness": adjusted_skewness(), "kurtosis": adjusted_kurtosis()}).drop(
+        "s1", "s2", "s3", "s4", "cubes", "fourths")
 
 
 def moments(df, columns=None, signed_cv=False):
@@ -162,8 +190,8 @@ def category_profile(df, columns=None, k=20):
 def histogram(df, columns=None, most_bins=20, least_bins=5, min_rows=5):
     """Equal-width bins, last one closed; a constant column gets the range value - 0.5 .. value + 0.5."""
     columns = columns or numeric_columns(df)
-    bounds = per_column(df, columns, lambda c: moment_measures(c)[:1] + [
-        F.min(finite(col(c))).alias("lo"), F.max(finite(col(c))).alias("hi")]).collect()
+    df = numbers(df, columns)
+    bounds = list(first_pass(df, columns).values())
     cells, plans = [], []
     for b in bounds:
         if b["n"] < min_rows:
@@ -172,7 +200,7 @@ def histogram(df, columns=None, most_bins=20, least_bins=5, min_rows=5):
         lo, hi = (b["lo"], b["hi"]) if b["lo"] < b["hi"] else (b["lo"] - 0.5, b["hi"] + 0.5)
         width = (hi - lo) / bins
         plans.append((b["column"], bins))
-        v = finite(col(b["column"]))
+        v = col(b["column"])
         guess = F.least(F.floor((v - lo) * (bins / (hi - lo))), F.lit(bins - 1))
         edge = lo + guess * width
         cell = (
@@ -235,9 +263,10 @@ def iqr_outliers(df, columns=None, order_by=(), k=6, factor=1.5, min_rows=4, mod
     columns = columns or numeric_columns(df)
     fences = iqr_fences(df, columns, factor, mode)
     columns = [c for c in columns if c in fences]
-    outside = {c: (finite(col(c)) < fences[c][0]) | (finite(col(c)) > fences[c][1]) for c in columns}
+    df = numbers(df, columns, order_by)
+    outside = {c: (col(c) < fences[c][0]) | (col(c) > fences[c][1]) for c in columns}
     counted = per_column(df, columns, lambda c: [
-        F.count(finite(col(c))).alias("n"), F.count(F.when(outside[c], 1)).alias("count"),
+        F.count(col(c)).alias("n"), F.count(F.when(outside[c], 1)).alias("count"),
         F.lit(fences[c][0]).alias("lb"), F.lit(fences[c][1]).alias("ub")]).where(F.col("n") >= min_rows)
     share = F.col("count") / F.col("n")
     table = counted.select(

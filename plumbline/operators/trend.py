@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.expr import col, finite, numeric_columns, ratio, rounded
+from plumbline.functions.expr import col, numbers, numeric_columns, ratio, rounded
 from plumbline.functions.special import p_of_r
 from plumbline.operators.order import with_row_index
 from plumbline.operators.stats import facts
@@ -13,30 +13,37 @@ X = "_x_"
 
 def index_columns(df, columns, order_by):
     """Clean values plus, per column, the index 0..n-1 over its non-null rows."""
-    clean = df.select(*order_by, *[finite(col(c)).alias(c) for c in columns if c not in order_by])
-    return with_row_index(clean, order_by, valid={X + c: c for c in columns})
+    keys = {k: f"_key{i}" for i, k in enumerate(order_by)}
+    keyed = df.withColumns({new: col(k) for k, new in keys.items()})
+    clean = numbers(keyed, columns, list(keys.values()))
+    return with_row_index(clean, list(keys.values()), valid={X + c: c for c in columns})
 
 
-def line_measures(c):
-    x, y = col(X + c).cast("double"), finite(col(c))
-    return [
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r_xy"),
-        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"),
-        F.min_by(y, x).alias("first_value"), F.max_by(y, x).alias("last_value"),
-    ]
+def line_measures(c, d, n):
+    """Sums over the deviations of the value and of its index (whose mean is known from n)."""
+    x = col(X + c)
+    return [F.sum((x - F.lit((n - 1) / 2)) * d).alias("sxy"), F.sum(F.when(x == 0, col(c))).alias("first_value"),
+            F.sum(F.when(x == F.lit(n - 1), col(c))).alias("last_value")]
 
 
 def line_facts(df, columns, order_by, indexed=None):
-    """Moments and unrounded line of each column: slope, r (0 for a constant column), slope error, p."""
+    """Moments and unrounded line of each column: slope, r (0 for a constant column), errors, change."""
+    columns = list(columns)
     indexed = index_columns(df, columns, order_by) if indexed is None else indexed
-    n = F.col("n")
-    base = facts(indexed, columns, line_measures).withColumn(
-        "r", F.when((n >= 2) & (F.col("syy") == 0), F.lit(0.0)).otherwise(finite(F.col("r_xy"))))
-    residual = (1 - F.col("r") * F.col("r")) * F.col("syy")
+    n = F.col("n").cast("double")
+    slope = F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0))
+    r = F.when((n >= 2) & (F.col("syy") == 0), F.lit(0.0)).otherwise(
+        F.col("sxy") / F.nullif(F.sqrt(F.col("sxx") * F.col("syy")), F.lit(0.0)))
+    residual = F.greatest(F.lit(0.0), (1 - F.col("r") * F.col("r")) * F.col("syy"))
+    base = facts(indexed, columns, line_measures, [X + c for c in columns]).withColumns({
+        "sxx": n * (n * n - 1) / 12, "syy": F.col("squares")})
     return base.withColumns({
-        "slope_se": F.when(n == 2, F.lit(0.0)).otherwise(
-            F.sqrt(F.greatest(residual, F.lit(0.0)) / F.nullif(F.col("sxx") * (n - 2), F.lit(0.0)))),
-        "residual_se": F.sqrt(F.greatest(residual, F.lit(0.0)) / F.nullif(n - 2, F.lit(0))),
+        "slope": F.when((n >= 2) & (F.col("syy") == 0), F.lit(0.0)).otherwise(slope),
+        "r": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)),
+    }).withColumns({
+        "intercept": F.col("mean") - F.col("slope") * (n - 1) / 2,
+        "slope_se": F.when(n == 2, F.lit(0.0)).otherwise(F.sqrt(residual / F.nullif(F.col("sxx") * (n - 2), F.lit(0.0)))),
+        "residual_se": F.sqrt(residual / F.nullif(n - 2, F.lit(0.0))),
         "pct_change": F.coalesce(
             ratio(F.col("last_value") - F.col("first_value"), F.abs("first_value")), F.lit(0.0)),
     })
@@ -98,15 +105,14 @@ def forecast_table(forecasts):
 
 
 def fitted(df, column, order_by, min_rows=10):
-    """Every row with its index and fitted value; the line enters as constants."""
+    """Every non-null value with its index and fitted value; the line enters as constants."""
     indexed = index_columns(df, [column], order_by)
-    line = facts(indexed, [column], line_measures).first()
-    if line["n"] < min_rows or line["slope"] is None:
-        return indexed.select(*order_by, col(X + column).alias("x"), col(column).alias("value"),
-                              F.lit(None).cast("double").alias("fitted"))
+    line = line_facts(df, [column], order_by, indexed).first()
+    enough = line["n"] >= min_rows and line["slope"] is not None
+    value = (F.lit(line["intercept"]) + F.lit(line["slope"]) * col(X + column)) if enough else F.lit(None).cast("double")
+    keys = [F.col(f"_key{i}").alias(k) for i, k in enumerate(order_by)]
     return indexed.where(col(X + column).isNotNull()).select(
-        *order_by, col(X + column).alias("x"), col(column).alias("value"),
-        rounded(F.lit(line["intercept"]) + F.lit(line["slope"]) * col(X + column)).alias("fitted"))
+        *keys, col(X + column).alias("x"), col(column).alias("value"), rounded(value).alias("fitted"))
 
 
 def trend_answer(df, column, order_by, steps=5, min_rows=5):

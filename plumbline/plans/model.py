@@ -15,39 +15,43 @@ from plumbline.functions.expr import numeric_columns
 
 @dataclass
 class Model:
-    """A joined table with the pieces it came from."""
+    """A joined table and the tables it came from; its reports are built when asked for."""
 
     df: DataFrame
     fact: str
+    base: DataFrame = None
     dims: list = field(default_factory=list)
-    relationships: DataFrame = None
-    measures: DataFrame = None
-    schema: DataFrame = None
+    keys: list = field(default_factory=list)
 
+    def relationships(self):
+        return relationships(self.base, self.dims, self.fact)
 
-def join_model(tables, order_by=None, fact=None):
-    """Find the fact table, join every table that shares one of its keys, derive measures, profile the result.
+    def measures(self):
+        skip = {*self.keys, "Cost", "Profit", "Profit_Pct"}
+        return ask.measure_dictionary(self.df, [c for c in numeric_columns(self.df) if c not in skip])
 
-    A dimension joins on its first key column that the fact has too.
+    def schema(self, order_by=None):
+        return joined_schema_profile(self.df, self.fact, {d.fact_key: d.name for d in self.dims}, self.keys, order_by)
+
+
+def join_model(tables, fact=None):
+    """Find the fact table, join every table that shares one of its keys, derive measures.
+
+    A dimension joins on its first key column that the fact has too and brings no other keys, so the keys of
+    the joined table are the fact's.
     """
-    fact = fact or detect_fact(tables)
+    keys = {name: detect_keys(df) for name, df in tables.items()}
+    fact = fact or detect_fact(tables, keys)
     if fact is None:
         name, df = next(iter(tables.items()))
         return Model(df, None)
     base = tables[fact]
     dims = []
     for name, df in tables.items():
-        if name != fact:
-            key = next((k for k in detect_keys(df) if k in base.columns), None)
-            if key:
-                dims.append(Dim(df, key, key, name))
-    joined = add_measures(star_join(base, dims))
-    keys = detect_keys(joined)
-    measured = [c for c in numeric_columns(joined) if c not in keys and c not in ("Profit", "Profit_Pct", "Cost")]
-    return Model(
-        joined, fact, [d.name for d in dims], relationships(base, dims, fact) if dims else None,
-        ask.measure_dictionary(joined, measured) if measured else None,
-        joined_schema_profile(joined, fact, {d.fact_key: d.name for d in dims}, keys, order_by))
+        key = next((k for k in keys[name] if k in base.columns), None)
+        if name != fact and key:
+            dims.append(Dim(df, key, key, name, keys[name]))
+    return Model(add_measures(star_join(base, dims)), fact, base, dims, keys[fact])
 
 
 def business_rollups(df, roles=None, order_by=()):
@@ -74,7 +78,7 @@ def business_rollups(df, roles=None, order_by=()):
 
 def analyse_model(tables, order_by=None, label="model", **options):
     """3.2: join, analyse with the wider missing limit, add the business rollups and KPI cards."""
-    model = join_model(tables, order_by)
+    model = join_model(tables)
     report = analyse(model.df, label, order_by, combined=True, **options)
     if report.status == "OK":
         rollups = business_rollups(model.df, order_by=order_by or ())
