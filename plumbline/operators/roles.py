@@ -72,28 +72,28 @@ def code_shares(df, columns=None):
         F.avg(col(c).rlike(KEY_LONG_CODE_PATTERN).cast("int")).alias("long_code_share")])
 
 
-def key_table(df, mode="reference"):
-    """One row per column with the three key tests and the verdict."""
-    spark = df.sparkSession
+def _key_facts(df, mode="reference"):
+    """[(column, by name, by values, code share, long code share, verdict)]: two aggregates for all columns."""
     counting = contiguous_integers(df)
-    names = spark.createDataFrame(
-        [(i, c, is_key_name(c, mode), counting.get(c, False)) for i, c in enumerate(df.columns)],
-        "at int, column string, by_name boolean, by_values boolean")
     texts = text_columns(df)
-    if texts:
-        shapes = code_shares(df, texts).select(
-            "column", F.round("code_share", 4).alias("code_share"), F.round("long_code_share", 4).alias("long_code_share"))
-    else:
-        shapes = spark.createDataFrame([], "column string, code_share double, long_code_share double")
-    joined = names.join(shapes, "column", "left")
-    coded = F.coalesce((F.col("code_share") > 0.8) | (F.col("long_code_share") > 0.5), F.lit(False))
-    return joined.select("column", "by_name", "by_values", "code_share", "long_code_share",
-                         (F.col("by_name") | F.col("by_values") | coded).alias("is_key"))
+    shapes = {r["column"]: r for r in code_shares(df, texts).collect()} if texts else {}
+    found = []
+    for c in df.columns:
+        short, long = (shapes[c]["code_share"], shapes[c]["long_code_share"]) if c in shapes else (None, None)
+        by_name, by_values = is_key_name(c, mode), counting.get(c, False)
+        found.append((c, by_name, by_values, short, long, by_name or by_values or (short or 0) > 0.8 or (long or 0) > 0.5))
+    return found
+
+
+def key_table(df, mode="reference"):
+    """One row per column with the three key tests and the verdict."""
+    schema = ("column string, by_name boolean, by_values boolean, code_share double, long_code_share double, is_key boolean")
+    table = df.sparkSession.createDataFrame(_key_facts(df, mode), schema)
+    return table.withColumns({c: F.round(c, 4) for c in ("code_share", "long_code_share")})
 
 
 def detect_keys(df, mode="reference"):
-    keys = {r["column"] for r in key_table(df, mode).where("is_key").select("column").collect()}
-    return [c for c in df.columns if c in keys]
+    return [c for c, *_, is_key in _key_facts(df, mode) if is_key]
 
 
 def layout_shape(layout):

@@ -12,6 +12,7 @@ from plumbline.operators.roles import detect_keys
 from plumbline.operators.stats import union_all
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+FEW_FILES, MOST_FILES = 8, 1000
 
 
 @dataclass
@@ -42,8 +43,22 @@ def measured_bytes(df):
     return df.agg(F.coalesce(F.sum(text + fixed), F.lit(0)).alias("b")).first()["b"]
 
 
+def input_bytes(df):
+    """Size of the files a table is read from (only their listing is read), None without files."""
+    files = df.inputFiles()
+    if not files or len(files) > MOST_FILES:
+        return None if not files else float("inf")
+    lengths = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length").alias("b"))
+    return lengths.first()["b"]
+
+
 def broadcast_if_small(df, limit=BROADCAST_BYTES):
-    """Hint a broadcast only for a measured size; otherwise leave the choice (and skew handling) to Spark."""
+    """Hint a broadcast only for a measured size; otherwise leave the choice (and skew handling) to Spark.
+
+    Tables read from many or large files are not measured at all, so the check never scans much data.
+    """
+    if len(df.inputFiles()) > FEW_FILES and (input_bytes(df) or 0) > limit:
+        return df
     return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 

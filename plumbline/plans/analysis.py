@@ -1,7 +1,9 @@
 """Whole analyses composed from the operators."""
 
 import tempfile
+from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import functions as F
 
@@ -11,16 +13,37 @@ from plumbline.operators.merge import tagged_union
 from plumbline.operators.stats import union_all
 
 
+class Sections(Mapping):
+    """Named tables, each planned when it is first asked for, so that unused sections cost no jobs."""
+
+    def __init__(self, **builders):
+        self.builders, self.built = builders, {}
+
+    def add(self, **builders):
+        self.builders.update(builders)
+
+    def __getitem__(self, name):
+        if name not in self.built:
+            self.built[name] = self.builders[name]()
+        return self.built[name]
+
+    def __iter__(self):
+        return iter(self.builders)
+
+    def __len__(self):
+        return len(self.builders)
+
+
 @dataclass
 class Report:
-    """The sections of one analysis, each a DataFrame."""
+    """The outcome of one analysis and its sections, each a DataFrame."""
 
     label: str
     status: str
     stop_reason: str = None
     roles: object = None
     blocked: list = field(default_factory=list)
-    tables: dict = field(default_factory=dict)
+    tables: Sections = field(default_factory=Sections)
 
 
 def stored(df):
@@ -46,100 +69,108 @@ def analyse(df, label="table", order_by=None, combined=False, test="shapiro", mo
 
     Row order is data: without ``order_by`` all columns in table order define it.
     """
-    gate_rows = gates.dataset_gates(df, combined)
-    column_rows = gates.column_gates(df)
+    gate_rows, column_rows = gates.dataset_gates(df, combined), gates.column_gates(df)
     trace = gates.gate_trace(df, label, combined).select("step", "status", "detail")
+    tables = Sections(gates=lambda: gate_rows, columns=lambda: column_rows, trace=lambda: trace)
     stopped = gate_rows.where("status = 'BLOCK'").orderBy("position").select("reason").first()
     if stopped:
-        return Report(label, "BLOCKED", stopped["reason"], tables={"gates": gate_rows, "columns": column_rows, "trace": trace})
+        return Report(label, "BLOCKED", stopped["reason"], tables=tables)
     blocked = [r["column"] for r in column_rows.where("status = 'BLOCK'").select("column").collect()]
     cleaned, log = clean.clean(df, blocked, mode, stored)
-    ready = stored(roles.promote_dates(cleaned, [c for c in roles.text_columns(cleaned) if c not in blocked]))
+    ready = roles.promote_dates(cleaned, [c for c in roles.text_columns(cleaned) if c not in blocked])
     found = roles.classify(ready, blocked)
     order_by = list(order_by or ready.columns)
     numeric, categorical = found.numeric, found.categorical
-    tables = {
-        "gates": gate_rows, "columns": column_rows, "cleaning_log": log,
-        "completeness": profile.completeness(ready), "duplicates": profile.duplicate_rows(ready),
-        "kpis": business.generic_kpis(ready, numeric, categorical, blocked),
-    }
+    note = f"numeric {numeric}, categorical {categorical}, index {found.index}, date {found.date}"
+    tables.add(
+        cleaned=lambda: ready, cleaning_log=lambda: log, completeness=lambda: profile.completeness(ready),
+        duplicates=lambda: profile.duplicate_rows(ready),
+        kpis=lambda: business.generic_kpis(ready, numeric, categorical, blocked),
+        trace=lambda: union_all([
+            trace, log.select("step", F.lit("DONE").alias("status"),
+                              F.concat("column", F.lit(": "), F.coalesce("detail", F.lit(""))).alias("detail")),
+            _trace(df, "classification", "PASS", note)]),
+    )
     if numeric:
-        lines = trend.line_facts(ready, numeric[:8], order_by)
-        pairs = assoc.corr_pairs(ready, numeric) if len(numeric) > 1 else None
-        outliers = stats.iqr_outliers(ready, numeric, order_by, mode=mode)
-        every = insights.gated_insights(ready, numeric, order_by, test, mode=mode, lines=lines)
-        tables.update({
-            "statistics": stats.statistics_table(ready, numeric, mode), "histograms": stats.histogram(ready, numeric),
-            "normality": stats.normality(ready, numeric, order_by) if test == "shapiro" else stats.jarque_bera(ready, numeric),
-            "outliers": outliers, "predictions": trend.trend_fit(ready, order_by=order_by, lines=lines),
-            "forecasts": trend.forecast(ready, order_by=order_by, lines=lines),
-            "insights": insights.ranked_insights(every), "blocked_insights": insights.blocked_insights(every),
-            "chart_trends": charts.trend_points(ready, numeric, order_by, (found.date or [None])[0]),
-            "chart_boxes": charts.boxes(ready, numeric, mode=mode),
-        })
-        if pairs is not None:
-            tables.update({"correlations": pairs, "strong_pairs": assoc.strong_pairs(pairs)})
-            tables["chart_scatters"] = union_all([
+        lines = cache(lambda: stored(trend.line_facts(ready, numeric[:8], order_by)))
+        every = cache(lambda: stored(insights.gated_insights(ready, numeric, order_by, test, mode=mode, lines=lines())))
+        tables.add(
+            statistics=lambda: stats.statistics_table(ready, numeric, mode), histograms=lambda: stats.histogram(ready, numeric),
+            normality=lambda: (stats.normality(ready, numeric, order_by) if test == "shapiro"
+                               else stats.jarque_bera(ready, numeric)),
+            outliers=lambda: stats.iqr_outliers(ready, numeric, order_by, mode=mode),
+            predictions=lambda: trend.trend_fit(ready, order_by=order_by, lines=lines()),
+            forecasts=lambda: trend.forecast(ready, order_by=order_by, lines=lines()),
+            insights=lambda: insights.ranked_insights(every()), blocked_insights=lambda: insights.blocked_insights(every()),
+            chart_trends=lambda: charts.trend_points(ready, numeric, order_by, (found.date or [None])[0]),
+            chart_boxes=lambda: charts.boxes(ready, numeric, mode=mode),
+        )
+    if len(numeric) > 1:
+        tables.add(
+            correlations=lambda: assoc.corr_pairs(ready, numeric),
+            strong_pairs=lambda: assoc.strong_pairs(tables["correlations"]),
+            chart_scatters=lambda: union_all([
                 charts.scatter(ready, a, b, order_by).select(F.lit(a).alias("x_column"), F.lit(b).alias("y_column"), "x", "y")
-                for a, b in charts.scatter_pairs(numeric)])
+                for a, b in charts.scatter_pairs(numeric)]),
+        )
     if categorical:
-        tables.update({"categories": stats.category_profile(ready, categorical),
-                       "chart_bars": charts.bars(ready, categorical), "chart_pie": charts.pie(ready, categorical)})
-    tables["trace"] = union_all([
-        trace, log.select("step", F.lit("DONE").alias("status"), F.concat("column", F.lit(": "), F.coalesce("detail", F.lit("")))
-                          .alias("detail")),
-        _trace(df, "classification", "PASS", f"numeric {numeric}, categorical {categorical}, index {found.index}, date {found.date}"),
-    ])
-    tables["cleaned"] = ready
+        tables.add(categories=lambda: stats.category_profile(ready, categorical),
+                   chart_bars=lambda: charts.bars(ready, categorical), chart_pie=lambda: charts.pie(ready, categorical))
     return Report(label, "OK", None, found, blocked, tables)
 
 
 def analyse_classic(df, label="table", order_by=None, as_of=None, mode="auto"):
     """I12, the older order: understand, clean by the 30 % limit, check, derive features, explain without gates."""
     cleaned, log = clean.clean_classic(df, mode, stored)
-    ready = stored(roles.promote_dates(cleaned))
+    ready = roles.promote_dates(cleaned)
     found = roles.classify(ready, classic=True)
     order_by = list(order_by or ready.columns)
     numeric, categorical = found.numeric, found.categorical
     checks = gates.quality_checks(ready, as_of)
-    tables = {
-        "understanding": profile.understanding(df), "anomalies": profile.anomalies(df, mode=mode),
-        "missing": profile.missing_table(df), "duplicates": profile.duplicate_rows(df), "cleaning_log": log,
-        "checks": checks, "verdict": gates.overall_verdict(checks), "completeness": profile.completeness(ready),
-        "kpis": business.generic_kpis(ready, numeric, categorical, duplicates=profile.duplicate_rows(ready)),
-    }
+    feature_rows = cache(lambda: features.feature_table(ready, numeric, found.date or date_columns(ready)))
+    tables = Sections(
+        cleaned=lambda: ready, cleaning_log=lambda: log, understanding=lambda: profile.understanding(df),
+        anomalies=lambda: profile.anomalies(df, mode=mode), missing=lambda: profile.missing_table(df),
+        duplicates=lambda: profile.duplicate_rows(df), checks=lambda: checks, verdict=lambda: gates.overall_verdict(checks),
+        completeness=lambda: profile.completeness(ready),
+        kpis=lambda: business.generic_kpis(ready, numeric, categorical, duplicates=profile.duplicate_rows(ready)),
+    )
     if numeric:
-        statistics = stats.moments(ready, numeric, signed_cv=True).join(stats.quantile_table(ready, numeric, mode), "column")
-        lines = trend.line_facts(ready, numeric[:8], order_by)
-        fits = trend.trend_fit(ready, order_by=order_by, min_rows=5, lines=lines)
-        outliers = stats.iqr_outliers(ready, numeric, order_by, mode=mode)
-        pairs = assoc.strong_pairs(assoc.corr_pairs(ready, numeric), k=20) if len(numeric) > 1 else None
-        featured = features.with_features(ready, order_by, numeric, found.date)
-        first = statistics.where(F.col("column").isin(numeric[:8]))
-        facts = insights.feature_facts(featured, numeric, found.date)
-        none_paired = ready.sparkSession.createDataFrame(
-            [], "col1 string, col2 string, r double, r2 double, strength string, direction string, p_explained double")
-        dominant = (insights.dominant_values(ready, categorical) if categorical else ready.sparkSession.createDataFrame(
-            [], "column string, value string, count bigint, distinct bigint, pct_of_rows double"))
-        found_insights = insights.plain_insights(
-            first, pairs.limit(8) if pairs is not None else none_paired, fits.where(F.col("column").isin(numeric[:5])),
-            outliers, dominant, facts)
-        rows = ready.agg(F.count(F.lit(1)).alias("rows"))
-        tables.update({
-            "statistics": statistics, "outliers": outliers, "predictions": fits,
-            "forecasts": trend.forecast(ready, order_by=order_by, min_rows=5, lines=lines),
-            "features": features.feature_table(ready, numeric, found.date or date_columns(ready)), "featured": featured,
-            "insights": found_insights, "key_metrics": insights.key_metrics(first),
-            "report_counts": insights.report_counts(rows, features.feature_table(ready, numeric), checks, found_insights),
-        })
-        if pairs is not None:
-            tables.update({"strong_pairs": pairs, "regression": assoc.best_predictor(ready, numeric)})
+        lines = cache(lambda: stored(trend.line_facts(ready, numeric[:8], order_by)))
+        first = lambda: tables["statistics"].where(F.col("column").isin(numeric[:8]))
+        tables.add(
+            statistics=lambda: stats.moments(ready, numeric, signed_cv=True).join(
+                stats.quantile_table(ready, numeric, mode), "column"),
+            outliers=lambda: stats.iqr_outliers(ready, numeric, order_by, mode=mode),
+            predictions=lambda: trend.trend_fit(ready, order_by=order_by, min_rows=5, lines=lines()),
+            forecasts=lambda: trend.forecast(ready, order_by=order_by, min_rows=5, lines=lines()),
+            features=feature_rows,
+            featured=lambda: features.with_features(ready, order_by, numeric, found.date),
+            insights=lambda: stored(_classic_insights(ready, tables, numeric, categorical, found.date)),
+            key_metrics=lambda: insights.key_metrics(first()),
+            report_counts=lambda: insights.report_counts(
+                ready.agg(F.count(F.lit(1)).alias("rows")), feature_rows(), checks, tables["insights"]),
+        )
+    if len(numeric) > 1:
+        tables.add(strong_pairs=lambda: assoc.strong_pairs(assoc.corr_pairs(ready, numeric), k=20),
+                   regression=lambda: assoc.best_predictor(ready, numeric))
     if categorical:
-        tables["categories"] = stats.category_profile(ready, categorical)
-    tables["cleaned"] = ready
+        tables.add(categories=lambda: stats.category_profile(ready, categorical))
     return Report(label, "OK", None, found, [], tables)
 
 
+def _classic_insights(ready, tables, numeric, categorical, dates):
+    spark = ready.sparkSession
+    pairs = tables["strong_pairs"].limit(8) if "strong_pairs" in tables else spark.createDataFrame(
+        [], "col1 string, col2 string, r double, r2 double, strength string, direction string, p_explained double")
+    dominant = insights.dominant_values(ready, categorical) if categorical else spark.createDataFrame(
+        [], "column string, value string, count bigint, distinct bigint, pct_of_rows double")
+    return insights.plain_insights(
+        tables["statistics"].where(F.col("column").isin(numeric[:8])), pairs,
+        tables["predictions"].where(F.col("column").isin(numeric[:5])), tables["outliers"], dominant,
+        insights.feature_facts(tables["featured"], numeric, dates))
+
+
 def analyse_separately(tables, order_by=None, **options):
     """one report per table."""
     order_by = order_by or {}

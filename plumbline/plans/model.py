@@ -82,6 +82,7 @@ def analyse_model(tables, order_by=None, label="model", **options):
     report = analyse(model.df, label, order_by, combined=True, **options)
     if report.status == "OK":
         rollups = business_rollups(model.df, order_by=order_by or ())
-        report.tables.update(rollups)
-        report.tables["kpis"] = rollups.get("business_kpis", report.tables["kpis"])
+        report.tables.add(**{name: (lambda df=df: df) for name, df in rollups.items()})
+        if "business_kpis" in rollups:
+            report.tables.add(kpis=lambda: rollups["business_kpis"])
     return model, report

@@ -5,6 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from plumbline.operators import ask, assoc, merge, profile, stats
+from plumbline.operators.roles import detect_keys
 from plumbline.operators.star import (
     Dim, containment, detect_fact, fact_candidates, relationships, schema_type, shared_keys, star_join,
 )
@@ -59,7 +60,8 @@ _MODEL = ("region", "nation", "customer", "orders", "lineitem")
     for i, (t, m) in enumerate((("region", 1), ("nation", 1), ("customer", 2), ("orders", 2), ("lineitem", 8)))))
 def e4(spark, sf):
     tables = {t: table(spark, sf, t) for t in _MODEL}
-    return fact_candidates(tables).withColumn("is_fact", F.col("table") == detect_fact(tables))
+    keys = {t: detect_keys(df) for t, df in tables.items()}
+    return fact_candidates(tables, keys).withColumn("is_fact", F.col("table") == detect_fact(tables, keys))
 
 
 def _relation_sql(fact, dim, fk, dk, where="true", kind="many-to-one"):

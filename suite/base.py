@@ -21,7 +21,7 @@ GAPS = """
 SERIES = """
   event_id, ts, event_type, user_id, value, value + CAST(event_id AS DOUBLE) / 100 AS drift,
   CASE WHEN user_id % 10 = 3 THEN NULL ELSE value * 2 END AS gappy,
-  CAST(12 AS DOUBLE) - CAST(event_id AS DOUBLE) / 50 AS falling
+  CAST(12 AS DOUBLE) - CAST(event_id AS DOUBLE) / 50 + value / 10 AS falling
 """
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 GAPS_SQL = f"WITH gaps AS (SELECT {GAPS} FROM lineitem)"
@@ -77,7 +77,7 @@ def each(columns, select, source, where=None):
     """UNION ALL of one SELECT per column; ``{c}`` in the text stands for the column."""
     tail = f" {where}" if where else ""
     return " UNION ALL ".join(
-        "SELECT '" + c + "' AS \"column\", " + select.replace("{c}", c) + f" FROM {source}" + tail.replace("{c}", c)
+        "SELECT '" + c + "' AS \"column\", " + select.replace("{c}", c) + (f" FROM {source}" + tail).replace("{c}", c)
         for c in columns)
 
 
