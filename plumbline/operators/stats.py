@@ -21,6 +21,9 @@ def union_all(frames):
 
 def per_column(df, columns, measure):
     """One output row per column: ``column``, ``rows`` and the aggregates ``measure(name)`` returns."""
+    if not columns:
+        none = df.limit(0).select(F.lit(None).cast("double").alias("_none"))
+        return per_column(none, ["_none"], measure).where(F.lit(False))
     frames = []
     for part in chunks(list(columns), COLUMNS_PER_AGGREGATE):
         wide = df.agg(
@@ -137,6 +140,8 @@ def quantile_table(df, columns=None, mode="auto", names=QUANTILE_NAMES):
 
 def frequencies(df, columns, data_type="string"):
     """(column, value, count) with the counting done before the shuffle; null values are counted too."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], f"column string, value {data_type}, count bigint")
     cast = df.select(*[col(c).cast(data_type).alias(c) for c in columns])
     return cast.unpivot([], columns, "column", "value").groupBy("column", "value").count()
 

@@ -27,6 +27,9 @@ class Sections(Mapping):
             self.built[name] = self.builders[name]()
         return self.built[name]
 
+    def __contains__(self, name):
+        return name in self.builders
+
     def __iter__(self):
         return iter(self.builders)
 
