@@ -67,9 +67,19 @@ def ratio(a, b):
     return finite(F.when(b != 0, a / b))
 
 
-def number(c):
+# What a plain decimal number looks like. Testing the shape first keeps other texts away from the parser,
+# whose failures are far dearer than a pattern that fails on the first character.
+NUMBER_SHAPE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def number(text):
     """Text to number; what does not parse becomes null."""
-    return finite(c.try_cast("double"))
+    return finite(F.when(text.rlike(NUMBER_SHAPE), F.trim(text).try_cast("double")))
+
+
+def as_number(df, name):
+    """A column as a double, whether it holds numbers or their texts."""
+    return number(col(name)) if isinstance(type_of(df, name), T.StringType) else finite(col(name))
 
 
 def strip(c):

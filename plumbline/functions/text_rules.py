@@ -45,18 +45,31 @@ def whole_words(words, mode="reference"):
     return rf"(?<!{_WORD})(?:{'|'.join(words)}){end}"
 
 
-def intent(text, mode="reference"):
-    lowered = F.lower(text)
+def _mentions(lowered, words):
+    """A plain substring search that most texts fail, so that the pattern runs on few of them."""
+    found = F.lit(False)
+    for word in words:
+        pieces = word.split("[^\\n]*")
+        test = lowered.contains(pieces[0])
+        for piece in pieces[1:]:
+            test = test & lowered.contains(piece)
+        found = found | test
+    return found
+
+
+def intent(text, mode="reference", lowered=None):
+    """The first rule that matches; pass ``lowered`` to share the lower-cased text between tags."""
+    lowered = F.lower(text) if lowered is None else lowered
     tag = F.when(text.isNull(), F.lit(None).cast("string"))
     for name, words in INTENT_RULES:
-        tag = tag.when(lowered.rlike(whole_words(words, mode)), F.lit(name))
-    any_aggregation = "|".join(word for word, _ in AGGREGATION_WORDS)
-    return tag.when(lowered.rlike(any_aggregation), F.lit("aggregation")).otherwise(F.lit("general"))
+        tag = tag.when(_mentions(lowered, words) & lowered.rlike(whole_words(words, mode)), F.lit(name))
+    return tag.when(_mentions(lowered, [word for word, _ in AGGREGATION_WORDS]), F.lit("aggregation")).otherwise(
+        F.lit("general"))
 
 
-def aggregation(text, words=AGGREGATION_WORDS):
+def aggregation(text, words=AGGREGATION_WORDS, lowered=None):
     """Name of the first listed word (in list order) that occurs anywhere in the text."""
-    lowered = F.lower(text)
+    lowered = F.lower(text) if lowered is None else lowered
     tag = F.when(text.isNull(), F.lit(None).cast("string"))
     for word, name in words:
         tag = tag.when(lowered.contains(word), F.lit(name))
@@ -76,5 +89,5 @@ def top_n(text, default=10, most=None):
     return value if most is None else F.when(digits == "", value).otherwise(F.least(value, F.lit(most)))
 
 
-def ascending(text):
-    return F.lower(text).rlike("|".join(ASCENDING_WORDS))
+def ascending(text, lowered=None):
+    return _mentions(F.lower(text) if lowered is None else lowered, ASCENDING_WORDS)

@@ -251,7 +251,7 @@ def _numbered(limited, order):
 
 def tag_questions(df, text="text", mode="reference"):
     """Q1-Q3 on a text column: intent, aggregation word, requested number, direction."""
-    t = col(text)
-    return df.withColumns({
-        "intent": text_rules.intent(t, mode), "aggregation": text_rules.aggregation(t),
-        "top_n": text_rules.top_n(t), "ascending": text_rules.ascending(t)})
+    t, lowered = col(text), F.col("_lowered")
+    return df.withColumn("_lowered", F.lower(t)).withColumns({
+        "intent": text_rules.intent(t, mode, lowered), "aggregation": text_rules.aggregation(t, lowered=lowered),
+        "top_n": text_rules.top_n(t), "ascending": text_rules.ascending(t, lowered)}).drop("_lowered")

@@ -11,7 +11,7 @@ from plumbline.functions.expr import chunks, col, finite, numbers, numeric_colum
 from plumbline.functions.special import p_of_r
 from plumbline.operators.stats import first_pass, union_all
 
-PAIRS_PER_AGGREGATE = 40
+PAIRS_PER_AGGREGATE = 15
 WIDE_COLUMNS = 24
 
 

@@ -34,13 +34,21 @@ def _measures(roles, *wanted, order_by=()):
 
 
 def _grouped(df, roles, role, *wanted, order_by=(), keep_null=False):
+    """One aggregate per value of a role. ``known`` tells the null group apart from the others."""
     key = col(roles[role]).cast("string")
     source = df if keep_null else df.where(key.isNotNull())
-    return source.groupBy(key.alias("name")).agg(*_measures(roles, *wanted, order_by=order_by))
+    return source.groupBy(key.alias("name")).agg(
+        *_measures(roles, *wanted, order_by=order_by), F.max(key.isNotNull()).alias("known"))
 
 
-def _total(grouped, name="amount"):
-    return grouped.agg(F.sum(name).alias("t")).scalar()
+def _totals(grouped):
+    """Grand totals of the grouped rows as a one-row subquery.
+
+    It mentions every grouped column, so that its aggregate and the query's are the same and share one shuffle.
+    """
+    numbers = [c for c in grouped.columns if c in ("amount", "shipments")]
+    others = [c for c in grouped.columns if c not in numbers]
+    return grouped.agg(F.struct(*[F.sum(c).alias(c) for c in numbers], *[F.count(c).alias(c) for c in others]).alias("t")).scalar()
 
 
 def _amount():
@@ -55,10 +63,10 @@ def top_products(df, roles=None, k=12):
     """H1: share is of the whole table's amount, rows without a product included."""
     roles = roles_of(df, roles)
     grouped = _grouped(df, roles, "product", "total_boxes", "avg_profit_pct", keep_null=True)
-    return grouped.where("name IS NOT NULL").select(
+    return grouped.withColumn("all", _totals(grouped)).where("known").select(
         "name", _amount().alias("total_amount"), money(_amount()).alias("display"),
         rounded(F.col("total_boxes"), 2).alias("total_boxes"), _profit_pct(),
-        rounded(ratio(_amount(), F.round(_total(grouped), 2)) * 100, 2).alias("pct_of_total"),
+        rounded(ratio(_amount(), F.round(F.col("all.amount"), 2)) * 100, 2).alias("pct_of_total"),
     ).orderBy(F.desc("total_amount"), "name").limit(k)
 
 
@@ -73,9 +81,9 @@ def leaderboard(df, roles=None, k=10):
 
 
 def _shares(grouped, *extra):
-    return grouped.select(
+    return grouped.withColumn("all", _totals(grouped)).select(
         "name", _amount().alias("total_amount"), money(_amount()).alias("display"),
-        rounded(ratio(_amount(), _total(grouped)) * 100, 2).alias("pct"), *extra,
+        rounded(ratio(_amount(), F.col("all.amount")) * 100, 2).alias("pct"), *extra,
     ).orderBy(F.desc("total_amount"), "name")
 
 
@@ -140,11 +148,11 @@ def status_breakdown(df, roles=None):
     """H7."""
     roles = roles_of(df, roles)
     grouped = _grouped(df, roles, "status", "shipments")
-    return grouped.select(
+    return grouped.withColumn("all", _totals(grouped)).select(
         "name", F.col("shipments").alias("count"),
-        rounded(ratio(F.col("shipments"), _total(grouped, "shipments")) * 100, 2).alias("pct_count"),
+        rounded(ratio(F.col("shipments"), F.col("all.shipments")) * 100, 2).alias("pct_count"),
         _amount().alias("total_amount"), money(_amount()).alias("display"),
-        rounded(ratio(_amount(), _total(grouped)) * 100, 2).alias("pct_amount"),
+        rounded(ratio(_amount(), F.col("all.amount")) * 100, 2).alias("pct_amount"),
     ).orderBy(F.desc("count"), "name")
 
 

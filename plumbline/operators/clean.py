@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.expr import columns_of, col, finite, number, numeric_columns, rounded, strip, text_columns
+from plumbline.functions.expr import as_number, columns_of, col, finite, numeric_columns, rounded, strip, text_columns
 from plumbline.operators.profile import null_counts
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.stats import frequencies, per_column, union_all
@@ -139,7 +139,7 @@ def standardise_booleans(df, columns=None):
 
 def coerce_numbers(df, columns):
     """Text to double; what does not parse becomes null."""
-    return df.withColumns({c: number(F.trim(col(c).cast("string"))) for c in columns})
+    return df.withColumns({c: as_number(df, c) for c in columns})
 
 
 def complete_rows(df, columns):

@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.expr import col, date_columns, finite, number, numeric_columns, ratio
+from plumbline.functions.expr import as_number, col, date_columns, finite, numeric_columns, ratio
 from plumbline.operators.clean import missing_shares
 from plumbline.operators.order import over_previous, with_row_index
 from plumbline.operators.stats import facts
@@ -18,12 +18,12 @@ def add_measures(df, amount="Amount", boxes="Boxes", unit_cost="Cost_per_box", c
     if cost not in df.columns:
         if unit_cost not in df.columns or boxes not in df.columns:
             return df
-        df = df.withColumn(cost, number(col(unit_cost)) * number(col(boxes)))
+        df = df.withColumn(cost, as_number(df, unit_cost) * as_number(df, boxes))
     if amount not in df.columns:
         return df
-    gain = number(col(amount)) - number(col(cost))
-    return df.withColumn(profit, gain).withColumn(
-        profit_pct, F.when(number(col(amount)) > 0, ratio(col(profit), col(amount)) * 100))
+    value = as_number(df, amount)
+    return df.withColumn(profit, value - as_number(df, cost)).withColumn(
+        profit_pct, F.when(value > 0, ratio(col(profit), value) * 100))
 
 
 def pct_change(df, columns=None, order_by=(), max_columns=4):

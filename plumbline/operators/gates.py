@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.expr import col, date_columns, finite, number, numbers, numeric_columns, rounded, text_columns
+from plumbline.functions.expr import col, date_columns, finite, number, numbers, numeric_columns, ratio, rounded, text_columns
 from plumbline.functions.names import NON_NEGATIVE_WORDS_LONG, PERCENTAGE_WORDS, has_word
 from plumbline.operators.stats import per_column, union_all
 
@@ -18,19 +18,29 @@ def checked_columns(df):
     return [c for c in df.columns if not c.startswith("_")]
 
 
-def column_gates(df):
-    """Per column the null share, whether it is blocked and why, and the numbers-as-text warning."""
+def _gate_values(df):
+    """One plain attribute per checked column: the number, whether a text parses as one, or just its presence."""
     texts, numeric = text_columns(df), numeric_columns(df)
 
-    def measure(c):
-        present = F.count(col(c)).alias("present")
-        parses = F.lit(None).cast("double")
+    def value(c):
         if c in texts:
-            parses = F.avg(F.when(col(c).isNotNull(), number(F.trim(col(c))).isNotNull().cast("int")))
-        constant = (F.min(finite(col(c))) == F.max(finite(col(c)))) if c in numeric else F.lit(False)
-        return [present, parses.alias("numeric_share"), F.coalesce(constant, F.lit(False)).alias("constant")]
+            return F.when(col(c).isNotNull(), number(col(c)).isNotNull().cast("double"))
+        return F.when(col(c).isNotNull(), F.lit(0.0))
+
+    others = df.withColumns({c: value(c) for c in checked_columns(df) if c not in numeric})
+    return numbers(others, checked_columns(df))
+
 
-    rows = per_column(df, checked_columns(df), measure)
+def column_gates(df):
+    """Per column the null share, whether it is blocked and why, and the numbers-as-text warning."""
+    texts, numeric = text_columns(df), numeric_columns(df)
+    found = per_column(_gate_values(df), checked_columns(df), lambda c: [
+        F.count(col(c)).alias("present"), F.sum(col(c)).alias("total"), F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi")])
+    named = lambda names: F.col("column").isin(list(names)) if names else F.lit(False)
+    rows = found.withColumns({
+        "numeric_share": F.when(named(texts), ratio(F.col("total"), F.col("present"))),
+        "constant": named(numeric) & F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)),
+    })
     pct = (F.col("rows") - F.col("present")) / F.col("rows") * 100
     missing = pct > COLUMN_MISSING_PCT
     flat = ~missing & F.col("constant") & (F.col("present") >= 2)

@@ -9,7 +9,7 @@ import os
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.expr import col
+from plumbline.functions.expr import NUMBER_SHAPE, col
 from plumbline.operators.roles import detect_keys
 
 HEAD_LINES = 20
@@ -87,7 +87,9 @@ def infer_types(df, skip=("_line",)):
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skip]
     if not texts:
         return df
-    every = lambda c, t: F.bool_and(F.when(_filled(c), F.trim(col(c)).try_cast(t).isNotNull()))
+    shapes = {"bigint": r"^\s*[+-]?[0-9]+\s*$", "double": NUMBER_SHAPE}
+    every = lambda c, t: F.bool_and(F.when(_filled(c), F.when(
+        col(c).rlike(shapes[t]), F.trim(col(c)).try_cast(t)).isNotNull()))
     seen = df.agg(*[
         F.struct(every(c, "bigint").alias("bigint"), every(c, "double").alias("double"),
                  F.bool_and(F.when(_filled(c), F.lower(F.trim(col(c))).isin("true", "false"))).alias("boolean")).alias(f"t{i}")

@@ -132,11 +132,11 @@ def test_model_flow(spark):
 
 
 def test_separate_and_union(spark):
-    tables = {"a": measured(spark).select("t", "lin"), "b": measured(spark, 20).select("t", "noise")}
+    tables = {"a": measured(spark).select("t", "lin"), "b": measured(spark, 10).select("t", "noise")}
     apart = analyse_separately(tables, {"a": ["t"], "b": ["t"]})
     assert {k: r.status for k, r in apart.items()} == {"a": "OK", "b": "OK"}
     together = analyse_union(tables)
-    assert together.status == "OK" and together.tables["cleaned"].count() == 80
+    assert together.status == "OK" and together.tables["cleaned"].count() == 70
 
 
 def test_arrivals(spark, tmp_path):
