@@ -1,10 +1,9 @@
 """What a table holds: shape, completeness, per-column profile, catalog of several tables."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import (
-    class_of, col, date_columns, finite, numbers, numeric_columns, rounded, text_columns,
+    class_of, col, date_columns, finite, numbers, numeric_columns, rounded, text_columns, type_of,
 )
 from plumbline.functions.names import NON_NEGATIVE_WORDS, has_word
 from plumbline.operators.roles import classify
@@ -71,27 +70,18 @@ def distinct_counts(df, columns=None, approximate=False):
 
 
 def _samples(df, order_by, width):
-    """First three non-null values of every column in row order: a bounded ``min_by`` chain per column."""
-    key = F.struct(*[col(k) for k in order_by])
-    columns = df.columns
-
-    def text(c):
-        value = col(c).cast("string")
-        if class_of(df.schema[c].dataType) == "Numeric":
-            value = F.format_string("%.3f", finite(col(c)))
-        return F.left(value, F.lit(width[class_of(df.schema[c].dataType)]))
-
-    def measure(c):
-        known = col(c).isNotNull()
-        keyed = F.when(known, F.struct(key.alias("k"), text(c).alias("v")))
-        return [keyed.alias("item")]
-
-    items = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), measure(c)[0].alias("item")) for c in columns])).alias("x"))
-    ranked = items.where("x.item IS NOT NULL").select("x.column", "x.item.k", "x.item.v").withColumn(
-        "at", F.row_number().over(Window.partitionBy("column").orderBy("k", "v"))).where("at <= 3")
-    return ranked.groupBy("column").agg(
-        F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"])).alias("samples"))
+    """First three non-null values of every column in row order: a bounded top-three per task and column."""
+    def first_three(c):
+        kind = class_of(type_of(df, c))
+        text = F.format_string("%.3f", finite(col(c))) if kind == "Numeric" else col(c).cast("string")
+        key = F.struct(*[col(k) for k in order_by])
+        known = df.where(finite(col(c)).isNotNull() if kind == "Numeric" else col(c).isNotNull())
+        top = known.select(key.alias("k"), F.left(text, F.lit(width[kind])).alias("v")).orderBy("k", "v").limit(3)
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"])
+        return top.agg(F.count(F.lit(1)).alias("n"), F.concat_ws(", ", ordered).alias("samples")).where("n > 0").select(
+            F.lit(c).alias("column"), "samples")
+
+    return union_all([first_three(c) for c in df.columns])
 
 
 def schema_profile(df, order_by=None, sources=None, column_sources=None, approximate=False):

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import (
-    INTEGRAL, col, columns_of, date_columns, numeric_columns, text_columns,
+    INTEGRAL, chunks, col, columns_of, date_columns, numeric_columns, text_columns,
 )
 from plumbline.functions.names import (
     KEY_CODE_PATTERN, KEY_LONG_CODE_PATTERN, is_key_name, is_row_index_name,
@@ -19,6 +19,7 @@ DATE_FORMATS = (
     "MM/dd/yyyy", "M/d/yyyy", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yyyy",
     "dd MMM yyyy", "dd-MMM-yyyy", "MMM dd, yyyy", "yyyyMMdd",
 )
+COLUMNS_PER_VOTE = 2
 
 
 @dataclass
@@ -126,15 +127,15 @@ def date_formats(df, columns=None, formats=DATE_FORMATS, least=0.6):
     columns = text_columns(df) if columns is None else columns
     if not columns:
         return {}
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), *[
-        F.count(parsed_date(c, f)).alias(f"d{i}_{j}")
-        for i, c in enumerate(columns) for j, f in enumerate(formats)
-    ]).first()
     chosen = {}
-    for i, c in enumerate(columns):
-        votes = [wide[f"d{i}_{j}"] for j in range(len(formats))]
-        if max(votes) > least * wide["rows"]:
-            chosen[c] = formats[votes.index(max(votes))]
+    for part in chunks(columns, COLUMNS_PER_VOTE):
+        wide = df.agg(F.count(F.lit(1)).alias("rows"), *[
+            F.count(parsed_date(c, f)).alias(f"d{i}_{j}") for i, c in enumerate(part) for j, f in enumerate(formats)
+        ]).first()
+        for i, c in enumerate(part):
+            votes = [wide[f"d{i}_{j}"] for j in range(len(formats))]
+            if max(votes) > least * wide["rows"]:
+                chosen[c] = formats[votes.index(max(votes))]
     return chosen
 
 
