@@ -27,7 +27,7 @@ from plumbline.llm.base import batch_of, buffers, column, query, stored, table,
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 UNIT_BYTES = 32 << 20
-CAPACITY = 16_384
+CAPACITY = 512
 MAX_DEPTH = 16
 ENTRY = "gid long, key long, size long, n_cp int, id long, uid long, sha binary, body binary"
 ENTRY_SCHEMA = pa.schema([
