@@ -4,5 +4,5 @@ import importlib
 
 from plumbline.llm.base import QUERIES, SQL  # noqa: F401
 
-for _name in ("exact_dedup", "decontaminate", "url_filter", "packing", "langid", "toxicity"):
+for _name in ("exact_dedup", "decontaminate", "url_filter", "packing", "langid", "toxicity", "quality"):
     importlib.import_module(f"plumbline.llm.{_name}")
