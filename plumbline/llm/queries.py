@@ -1,8 +1,7 @@
 """Importing this module registers every query of the subpackage."""
 
-import importlib
-
+import corpus_pipeline
+from plumbline.llm import base, langid, toxicity, url_filter  # noqa: F401
 from plumbline.llm.base import QUERIES, SQL  # noqa: F401
 
-for _name in ("exact_dedup", "decontaminate", "url_filter", "packing", "langid", "toxicity", "quality"):
-    importlib.import_module(f"plumbline.llm.{_name}")
+base.query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
