@@ -3,9 +3,10 @@
 Both models are multinomials over hashed byte 4-grams (capitals, marks and digits as they are) and over one event per pair of
 neighbouring words, alike or not, so that text repeating itself is told from prose. The target model learns from rows labelled good,
 the raw model from every row; counts are added up over all rows. A text's log weight is the log of its probability under the target
-model over that under the raw one. Resampling keeps the k rows of the highest log weight + temperature * Gumbel noise. Unless k is
-given it is the number of rows whose log weight reaches the threshold that best tells labelled good rows from bad ones, so the
-sample is as large as the good part of the corpus. The k-th key is found by counting between bounds, never by sorting all rows.
+model over that under the raw one. Its rate is the log weight over n_events + STEADY, so that a long text does not go for the sampling noise of
+its many n-grams, nor a short one for a few odd ones. Resampling keeps the k rows of the highest rate + temperature * Gumbel noise.
+Unless k is given it is the number of rows whose rate reaches the threshold that best tells labelled good rows from bad ones, so
+the sample is as large as the good part of the corpus. The k-th key is found by counting between bounds, never by sorting all rows.
 
 Noise is drawn from the hash of id and text, so runs repeat. Rows whose keys tie at the k-th place all stay, repeated rows together.
 Null and empty texts have log weight 0. Null labels, unknown ids and null ids teach nothing; without good or without bad labels every row stays.
@@ -25,7 +26,9 @@ from plumbline.llm.grams import MIX, joined, labelled, slices, windows
 
 BITS = 16
 EVENTS = 2
-TEMPERATURE = 0.1
+STEADY = 1000
+BINS = 4096
+TEMPERATURE = 0.0005
 SEED = 7
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -98,12 +101,16 @@ def weigh(rows: DataFrame, ratios) -> DataFrame:
     return rows.mapInArrow(lambda b: _weigh(b, ratios), f"{kind}, n_events long, log_weight double")
 
 
+def rate():
+    return F.col("log_weight") / (F.col("n_events") + STEADY)
+
+
 def threshold(known: DataFrame) -> float | None:
-    """The log weight that tells good rows (y = 1) from bad ones with the highest balanced accuracy; the middle of the gap there. Log
-    weights are counted in bins of a 16th of their scale, signed square roots, so the driver sees some hundred rows."""
-    bins = known.groupBy(F.floor(F.signum("log_weight") * F.sqrt(F.abs("log_weight")) * 8).cast("int").alias("bin")).agg(
-        F.sum((F.col("y") > 0).cast("long")).alias("good"), F.sum((F.col("y") <= 0).cast("long")).alias("bad"), F.min("log_weight").alias("least"),
-        F.max("log_weight").alias("most")).orderBy("bin").collect()
+    """The rate that tells good rows (y = 1) from bad ones with the highest balanced accuracy; the middle of the gap there. Rates are
+    counted in bins of 1 / BINS. As no log ratio of counts passes 50, the driver sees a bounded table."""
+    bins = known.groupBy(F.floor(rate() * BINS).alias("bin")).agg(
+        F.sum((F.col("y") > 0).cast("long")).alias("good"), F.sum((F.col("y") <= 0).cast("long")).alias("bad"), F.min(rate()).alias("least"),
+        F.max(rate()).alias("most")).orderBy("bin").collect()
     good, bad = np.array([b["good"] for b in bins], float), np.array([b["bad"] for b in bins], float)
     if not good.sum() or not bad.sum():
         return None
@@ -145,21 +152,21 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, text: str = "text", doc_id: str = "doc_id", carry=None) -> DataFrame:
-    """doc_id, n_events, log_weight, key, kept of every row (and `carry`, a column of docs, if given)."""
+    """doc_id, n_events, log_weight, key (rate and noise), kept of every row (and `carry`, a column of docs, if given)."""
     spark = docs.sparkSession
     flat = docs.select(column(docs, doc_id, "long").alias("doc_id"), column(docs, text, "string").alias("text"), *([carry.alias("row")] if carry is not None else []))
     rows = labelled(docs, labels, "quality", text, doc_id)
     ratios = spark.sparkContext.broadcast(log_ratios(_counts(rows.filter("y > 0")), _counts(flat)))
-    noise = F.when(F.col("n_events") >= 0, gumbel("doc_id", "log_weight"))
-    weighed = weigh(flat, ratios).withColumn("key", F.col("log_weight") + temperature * noise)
+    key = rate() + temperature * gumbel("doc_id", "log_weight")
+    weighed = weigh(flat, ratios).withColumn("key", key)
     if k is None:
         bound = threshold(weigh(rows.select("y", "text"), ratios))
         if bound is None:
             return weighed.withColumn("kept", F.lit(True))
-        light = stored(weigh(flat.select("doc_id", "text"), ratios).withColumn("key", F.col("log_weight") + temperature * noise).select("log_weight", "key"))
-        k = light.filter(F.col("log_weight") >= bound).count()
+        light = stored(weigh(flat.select("doc_id", "text"), ratios).select(rate().alias("rate"), key.alias("key")))
+        k = light.filter(F.col("rate") >= bound).count()
     else:
-        light = stored(weighed.select("log_weight", "key"))
+        light = stored(weighed.select("key"))
     least = kth_largest(light, k)
     return weighed.withColumn("kept", F.lit(False) if least is None else F.col("key") >= least)
 
