@@ -198,7 +198,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
                                [packed(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], [packed(contexts[p]) for p in parts], none, none)
 
 
-def _sieved(group: pa.Table) -> pa.Table:
+def _sieved(group: pa.Table, hot: int) -> pa.Table:
     """For each anchor of a shard what its batch is to do: nothing (0), or ALL its windows repeat, SEND its context, or its WINDOWS."""
     keys = [np.cumsum(unpacked(k), dtype=np.uint64) for k in group["keys"].to_pylist()]
     sizes = [k.size for k in keys]
@@ -210,7 +210,7 @@ def _sieved(group: pa.Table) -> pa.Table:
     of_key, of_context = np.cumsum(new_key) - 1, np.cumsum(new) - 1
     copies = np.bincount(of_context)[of_context]
     different = np.bincount(of_key, new)[of_key]
-    say = np.where(copies > 1, ALL, 0) + np.where((different > 1) & new, SEND, 0) + np.where((different > HOT) & new, WINDOWS, 0)
+    say = np.where(copies > 1, ALL, 0) + np.where((different > 1) & new, SEND, 0) + np.where((different > max(1, hot)) & new, WINDOWS, 0)
     status = np.empty(key.size, np.uint8)
     status[order] = say
     ends = np.cumsum(sizes)
@@ -347,13 +347,13 @@ def _bits(n: int, size: int) -> int:
     return max(0, -(-n // size) - 1).bit_length()
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every row."""
     flat = docs.select(column(docs, doc_id, "long").alias("id"), column(docs, text, "string").alias("text"))
     batches = stored(flat.mapInArrow(_batches, BATCH))
     n = int(batches.agg(F.sum("n")).first()[0] or 0)
     bits = _bits(n, SHARD_KEYS)
-    sieved = stored(batches.select("bid", "keys", "contexts").mapInArrow(lambda b: _anchor_rows(b, bits), KEYED).groupBy("kind", "shard").applyInArrow(_sieved, ANSWER))
+    sieved = stored(batches.select("bid", "keys", "contexts").mapInArrow(lambda b: _anchor_rows(b, bits), KEYED).groupBy("kind", "shard").applyInArrow(lambda g: _sieved(g, hot), ANSWER))
     sent = int(sieved.agg(F.sum("n")).first()[0] or 0)
     parts = sieved.groupBy("bid").agg(F.collect_list(F.struct("shard", "answer")).alias("parts"))  # the batch's own anchors
     owner_bits, count_bits = _bits(sent, OWNER_ROWS), _bits(sent * LENGTH // 2, 4 * SHARD_KEYS)
