@@ -65,9 +65,9 @@ def single_agg(df, value, how="mean"):
         rounded(F.col("value")).alias("value"), "used", "nulls_excluded")
 
 
-def all_columns_agg(df, how="mean", columns=None, k=10):
-    """One aggregate over each of the first numeric columns; columns without a result drop out."""
-    columns = list(columns or numeric_columns(df))[:k]
+def all_columns_agg(df, how="mean", columns=None, k=None):
+    """One aggregate over each numeric column (the first k if none are named); columns without a result drop out."""
+    columns = list(columns or numeric_columns(df)[:k])
     medians = quantiles(df, columns, [0.5]) if how == "median" else {}
 
     def measure(c):
@@ -78,9 +78,9 @@ def all_columns_agg(df, how="mean", columns=None, k=10):
         "column", rounded(F.col("v"), 3).alias("value"), "n")
 
 
-def unique_counts(df, columns=None, k=10):
+def unique_counts(df, columns=None, k=None):
     """G20."""
-    return distinct_counts(df, list(columns or df.columns)[:k])
+    return distinct_counts(df, list(columns or df.columns[:k]))
 
 
 def value_shares(df, column, k=20, digits=2):
@@ -96,9 +96,9 @@ def record_count(df):
     return df.agg(F.count(F.lit(1)).alias("records"))
 
 
-def summary_table(df, columns=None):
+def summary_table(df, columns=None, max_columns=None):
     """Count, mean, median, std, min, max and sum for columns with two or more values."""
-    columns = list(columns or numeric_columns(df)[:6])
+    columns = list(columns or numeric_columns(df)[:max_columns])
     medians = quantiles(df, columns, [0.5])
     base = facts(df, columns).where("n >= 2")
     median = _per_name({c: v[0] for c, v in medians.items()})
@@ -117,8 +117,8 @@ def _per_name(values, name="column"):
 
 
 def comparison(df, value, categories=None, k=15, all_categories=False):
-    """Mean by the first category; with ``all_categories`` by each of up to two."""
-    categories = list(categories or text_columns(df))[:2 if all_categories else 1]
+    """Mean by the first category; with ``all_categories``, or where they are named, by each."""
+    categories = list(categories or text_columns(df)[:None if all_categories else 1])
     long = df.select(finite(col(value)).alias("v"), *[col(c).cast("string").alias(c) for c in categories]).unpivot(
         ["v"], categories, "category", "group").where(F.col("group").isNotNull())
     means = long.groupBy("category", "group").agg(F.avg("v").alias("m")).where("m IS NOT NULL")
@@ -127,9 +127,9 @@ def comparison(df, value, categories=None, k=15, all_categories=False):
         "category", "group", rounded(F.col("m"), 3).alias("value"), "rank")
 
 
-def measures(df, numeric=None, categories=None, k=16):
+def measures(df, numeric=None, categories=None, k=None):
     """Measures with their value and a BI formula; average, total, max, min, then distinct counts."""
-    numeric, categories = list(numeric or numeric_columns(df))[:8], list(categories or text_columns(df))[:3]
+    numeric, categories = list(numeric or numeric_columns(df)), list(categories or text_columns(df))
     forms = (("Avg", "mean", "AVERAGE"), ("Total", "sum", "SUM"), ("Max", "max", "MAX"), ("Min", "min", "MIN"))
     base = per_column(numbers(df, numeric), numeric, lambda c: [F.count(col(c)).alias("n")] + [
         AGGREGATES[how](col(c)).alias(how) for _, how, _ in forms])
@@ -146,7 +146,8 @@ def measures(df, numeric=None, categories=None, k=16):
             F.lit("count").alias("fn"), F.col("distinct").cast("double").alias("value"),
             F.format_string("Count_%s = DISTINCTCOUNT(Table[%s])", "column", "column").alias("formula"))
         listed = listed.unionByName(counted)
-    return listed.orderBy("at", "form").limit(k).drop("at", "form")
+    ordered = listed.orderBy("at", "form")
+    return (ordered if k is None else ordered.limit(k)).drop("at", "form")
 
 
 def measure_dictionary(df, columns, profit="Profit", profit_pct="Profit_Pct"):
@@ -182,9 +183,9 @@ def skew_side(s):
     return F.when(s > 0.5, "Right-skewed").when(s < -0.5, "Left-skewed").otherwise("Approximately symmetric")
 
 
-def outlier_list(df, columns=None, order_by=(), max_columns=8):
+def outlier_list(df, columns=None, order_by=(), max_columns=None):
     """Columns with outliers, most first, with three examples in row order."""
-    columns = list(columns or numeric_columns(df)[:6])[:max_columns]
+    columns = list(columns or numeric_columns(df)[:max_columns])
     found = iqr_outliers(df, columns, order_by, k=3).where("count > 0")
     return found.select(
         "column", F.col("count").alias("outliers"), F.round("pct", 1).alias("pct"), *(["extremes"] if order_by else [])
@@ -203,9 +204,9 @@ def column_summary(df, column):
         for i, (m, v) in enumerate(lines)])).alias("r")).select("r.*").where("value IS NOT NULL")
 
 
-def quick_stats(df, columns=None):
-    """Mean, min, max and count of the first five numeric columns."""
-    return facts(df, list(columns or numeric_columns(df))[:5]).where("n >= 2").select(
+def quick_stats(df, columns=None, max_columns=None):
+    """Mean, min, max and count of the numeric columns."""
+    return facts(df, list(columns or numeric_columns(df)[:max_columns])).where("n >= 2").select(
         "column", rounded(F.col("mean"), 2).alias("mean"), rounded(F.col("min"), 2).alias("min"),
         rounded(F.col("max"), 2).alias("max"), F.col("n").alias("count"))
 
@@ -218,26 +219,26 @@ def general_stats(df, column):
         rounded(F.col("min"), 3).alias("min"), rounded(F.col("max"), 3).alias("max"))
 
 
-def rank_values(df, value, k=10, ascending=False, most=50):
+def rank_values(df, value, k=10, ascending=False, most=None):
     """The k largest (or smallest) values, numbered after the limit."""
-    k = min(k, most)
+    k = k if most is None else min(k, most)
     v = finite(col(value))
     top = df.where(v.isNotNull()).select(rounded(v).alias("value"))
     order = F.asc("value") if ascending else F.desc("value")
     return _numbered(top.orderBy(order).limit(k), [order])
 
 
-def rank_categories(df, category, k=10, ascending=False, most=50):
+def rank_categories(df, category, k=10, ascending=False, most=None):
     """Categories by count."""
-    k = min(k, most)
+    k = k if most is None else min(k, most)
     counted = df.where(col(category).isNotNull()).groupBy(col(category).cast("string").alias("value")).count()
     order = [F.asc("count") if ascending else F.desc("count"), F.asc("value")]
     return _numbered(counted.orderBy(*order).limit(k), order)
 
 
-def rank_groups(df, value, by, k=10, ascending=False, most=50):
+def rank_groups(df, value, by, k=10, ascending=False, most=None):
     """Groups by mean."""
-    k = min(k, most)
+    k = k if most is None else min(k, most)
     means = df.where(col(by).isNotNull()).groupBy(col(by).cast("string").alias("group")).agg(
         F.avg(finite(col(value))).alias("m")).where("m IS NOT NULL")
     order = [F.asc("m") if ascending else F.desc("m"), F.asc("group")]

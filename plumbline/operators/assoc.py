@@ -150,7 +150,7 @@ def correlation_answer(pairs, touching=None, k=15):
 def best_predictor(df, columns=None, targets=None, min_rows=5):
     """For each target the other column with the largest |r| (unrounded), with its fitted line and p."""
     columns = columns or numeric_columns(df)
-    targets = targets or columns[:6]
+    targets = targets or columns
     pairs = [(p, t) for t in targets for p in columns if p != t]
     order = {c: i for i, c in enumerate(columns)}
     place = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])[F.col("col1")]

@@ -200,8 +200,8 @@ def _cards(wide, cards):
         for i, (label, value, sub) in enumerate(cards)])).alias("c")).select("c.*")
 
 
-def generic_kpis(df, numeric, categorical, blocked=(), duplicates=None):
-    """Records, analysed columns, completeness and blocked columns, then up to four column cards.
+def generic_kpis(df, numeric, categorical, blocked=(), duplicates=None, max_cards=None):
+    """Records, analysed columns, completeness and blocked columns, then a card per column (the first ``max_cards``).
 
     With ``duplicates`` (a one-row duplicate count) the fourth card is the older report's duplicate card.
     """
@@ -210,7 +210,7 @@ def generic_kpis(df, numeric, categorical, blocked=(), duplicates=None):
     facts = [
         F.struct(F.count(finite(col(c))).alias("n"), F.avg(finite(col(c))).alias("mean"),
                  F.stddev_samp(finite(col(c))).alias("std"), F.min(finite(col(c))).alias("lo"),
-                 F.max(finite(col(c))).alias("hi")).alias(f"s{i}") for i, c in enumerate(numeric[:4])]
+                 F.max(finite(col(c))).alias("hi")).alias(f"s{i}") for i, c in enumerate(numeric[:max_cards])]
     wide = df.agg(
         rows.alias("rows"), F.coalesce(F.round(
             (1 - nulls / F.nullif(rows * len(df.columns), F.lit(0))) * 100, 2), F.lit(100.0)).alias("full"), *facts)
@@ -224,9 +224,9 @@ def generic_kpis(df, numeric, categorical, blocked=(), duplicates=None):
         ("Data Quality", F.format_string("%.2f%%", "full"), F.lit("completeness")),
         fourth,
     ]
-    for i, c in enumerate(numeric[:4]):
+    for i, c in enumerate(numeric[:max_cards]):
         s = f"s{i}"
         sub = (F.format_string("σ=%.2f · n=%d", f"{s}.std", f"{s}.n") if duplicates is None else
                F.format_string("σ=%.2f · [%.2f, %.2f]", f"{s}.std", f"{s}.lo", f"{s}.hi"))
-        cards.append((c[:20], grouped_digits(F.col(f"{s}.mean"), 2), sub))
+        cards.append((c, grouped_digits(F.col(f"{s}.mean"), 2), sub))
     return _cards(wide, cards).where("value IS NOT NULL")

@@ -1,4 +1,4 @@
-"""Chart-ready aggregates. A chart never carries more than a fixed number of points."""
+"""Chart-ready aggregates. Limits are arguments; None means all."""
 
 from itertools import combinations
 
@@ -22,16 +22,20 @@ def _counts_with_rows(df, columns):
     return counted, df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def bars(df, columns, k=12, max_columns=5, width=28, hide=False):
+def bars(df, columns, k=12, max_columns=None, width=None, hide=False):
     """K1: top values per category with shares of all rows."""
     columns = list(columns)[:max_columns]
     counted, rows = _counts_with_rows(df, columns)
     top = top_per_column(counted.where("value IS NOT NULL"), k)
-    out = top.select("column", F.col("rank").cast("int").alias("rank"), F.left("value", F.lit(width)).alias("name"), "count",
+    out = top.select("column", F.col("rank").cast("int").alias("rank"), _short("value", width).alias("name"), "count",
                      F.round(F.col("count") / rows * 100, 1).alias("pct"))
     return visible_bars(out) if hide else out
 
 
+def _short(column, width):
+    return F.col(column) if width is None else F.left(column, F.lit(width))
+
+
 def visible_bars(bar_rows):
     """K1: drop bars of date-like columns, and bars whose first value is a year or a code."""
     first = F.first_value("name").over(Window.partitionBy("column").orderBy("rank"))
@@ -48,13 +52,14 @@ def bar_captions(bar_rows):
         F.count(F.lit(1)).alias("categories"))
 
 
-def scale_groups(df, columns, per_group=5):
+def scale_groups(df, columns, per_group=None):
     """K2: columns grouped by the order of magnitude of their mean."""
     order = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
     scale = F.floor(F.log10(F.greatest(F.abs("mean"), F.lit(0.01)) + 1)).cast("int")
     placed = facts(df, columns).where("n > 0").select("column", scale.alias("scale"), order.alias("position"))
     rank = F.row_number().over(Window.partitionBy("scale").orderBy("position"))
-    return placed.withColumn("rank", rank).where(F.col("rank") <= per_group).select("scale", "column", "rank")
+    ranked = placed.withColumn("rank", rank).select("scale", "column", "rank")
+    return ranked if per_group is None else ranked.where(F.col("rank") <= per_group)
 
 
 def trend_points(df, columns, order_by, date=None, points=80):
@@ -69,18 +74,20 @@ def trend_points(df, columns, order_by, date=None, points=80):
     return sampled.unpivot(["point", "x"], columns, "column", "value").join(F.broadcast(groups.drop("rank")), "column")
 
 
-def scatter_pairs(columns, most=4):
-    """K4: pairs among the first four numeric columns."""
-    return list(combinations(list(columns)[:4], 2))[:most]
+def scatter_pairs(columns, most=None):
+    """K4: pairs of numeric columns."""
+    return list(combinations(list(columns), 2))[:most]
 
 
-def scatter(df, x, y, order_by, k=500):
-    """K4: the first complete pairs in row order."""
-    pairs = df.where(finite(col(x)).isNotNull() & finite(col(y)).isNotNull()).orderBy(*[col(o) for o in order_by]).limit(k)
+def scatter(df, x, y, order_by=(), k=None):
+    """K4: the complete pairs, or the first k of them in row order."""
+    pairs = df.where(finite(col(x)).isNotNull() & finite(col(y)).isNotNull())
+    if k is not None:
+        pairs = pairs.orderBy(*[col(o) for o in order_by]).limit(k)
     return pairs.select(rounded(col(x)).alias("x"), rounded(col(y)).alias("y"))
 
 
-def pie(df, columns, least=2, most=8, width=24):
+def pie(df, columns, least=2, most=8, width=None):
     """K5: shares of the first category that has two to eight values."""
     columns = list(columns)
     counted, rows = _counts_with_rows(df, columns)
@@ -91,11 +98,11 @@ def pie(df, columns, least=2, most=8, width=24):
     sized = top.withColumn("values", F.count(F.lit(1)).over(Window.partitionBy("column"))).where(
         (F.col("values") >= least) & (F.col("values") <= most))
     chosen = sized.where(F.col("position") == sized.agg(F.min("position").alias("p")).scalar())
-    return chosen.select("column", F.left("value", F.lit(width)).alias("name"), "count",
+    return chosen.select("column", _short("value", width).alias("name"), "count",
                          F.round(F.col("count") / rows * 100, 1).alias("pct"))
 
 
-def boxes(df, columns, max_columns=8, min_rows=4, mode="auto"):
+def boxes(df, columns, max_columns=None, min_rows=4, mode="auto"):
     """K6: five numbers and the mean, with a hint which tail pulls the mean."""
     columns = list(columns)[:max_columns]
     found = quantiles(df, columns, [0.25, 0.5, 0.75], mode)

@@ -1,5 +1,7 @@
 """Cleaning steps. Each has a report of what it changes, so a cleaned table always comes with its log."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +13,7 @@ from plumbline.operators.stats import frequencies, per_column, union_all
 # Texts that stand for a boolean, and the two missing-share limits of the older cleaning order.
 BOOLEAN_VALUES = {"yes": 1, "y": 1, "true": 1, "1": 1, "no": 0, "n": 0, "false": 0, "0": 0}
 IMPUTE_LIMIT_PCT = 30.0
+INTEGER_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
 
 
 def sanitise(df):
@@ -90,12 +93,29 @@ def fill_plan(df, columns=None, limit_pct=None, mode="auto"):
     return plan
 
 
+def _filled(df, c, value):
+    """The column with its nulls (and NaN) replaced; every other value stays as it is.
+
+    An integer column keeps its type unless the value has a fraction; then it becomes a decimal that holds both, as
+    does a decimal column whose scale the value exceeds.
+    """
+    kind = df.schema[c].dataType
+    if c not in numeric_columns(df):
+        return F.coalesce(col(c), F.lit(value))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.coalesce(finite(col(c)), F.lit(float(value)).cast(kind))
+    exact = Decimal(repr(float(value)))
+    needed = max(0, -exact.normalize().as_tuple().exponent)
+    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+    if needed > scale:
+        whole = kind.precision - kind.scale if isinstance(kind, T.DecimalType) else INTEGER_DIGITS[type(kind)]
+        kind = T.DecimalType(38 if whole + needed > 38 else whole + needed, min(needed, 38 - whole))
+    return F.coalesce(col(c).cast(kind), F.lit(str(exact)).cast(kind))
+
+
 def apply_fill(df, plan):
-    """Fill nulls from a plan. Numbers become doubles so that a fractional median survives."""
-    numeric = numeric_columns(df)
-    return df.withColumns({
-        c: F.coalesce(finite(col(c)), F.lit(float(v))) if c in numeric else F.coalesce(col(c), F.lit(v))
-        for c, _, v, _, _ in plan})
+    """Fill nulls from a plan."""
+    return df.withColumns({c: _filled(df, c, v) for c, _, v, _, _ in plan})
 
 
 def impute(df, columns=None, limit_pct=None, mode="auto"):

@@ -5,8 +5,8 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import as_number, col, date_columns, finite, numeric_columns, ratio
-from plumbline.operators.clean import missing_shares
 from plumbline.operators.order import over_previous, with_row_index
+from plumbline.operators.profile import null_counts
 from plumbline.operators.stats import facts
 
 FEATURE_SCHEMA = "name string, formula string, type string, why string"
@@ -26,14 +26,17 @@ def add_measures(df, amount="Amount", boxes="Boxes", unit_cost="Cost_per_box", c
         profit_pct, F.when(value > 0, ratio(col(profit), value) * 100))
 
 
-def pct_change(df, columns=None, order_by=(), max_columns=4):
+def pct_change(df, columns=None, order_by=(), max_columns=None, least=3):
     """Percent change against the previous value in row order, nulls standing for the value before them.
 
     Columns without nulls share one pass. A column with nulls numbers its non-null rows, so its previous
-    value is always one step back and no value has to be carried over an unbounded gap.
+    value is always one step back and no value has to be carried over an unbounded gap. Columns of fewer than
+    ``least`` values get no change; ``max_columns`` limits only columns that are not named.
     """
-    columns = list(columns or numeric_columns(df))[:max_columns]
-    gaps = [c for c in columns if c in missing_shares(df, columns)]
+    columns = list(columns or numeric_columns(df)[:max_columns])
+    known = {r["column"]: (r["rows"], r["null_count"]) for r in null_counts(df, columns).collect()}
+    columns = [c for c in columns if known[c][0] - known[c][1] >= least]
+    gaps = [c for c in columns if known[c][1]]
     full = [c for c in columns if c not in gaps]
     out = with_row_index(df, order_by, valid={f"_x_{c}": c for c in gaps})
     if full:
@@ -58,10 +61,13 @@ def moving_window(rows):
     return min(5, rows // 4) if rows >= 10 else 3
 
 
-def moving_average(df, columns=None, order_by=(), window=None, max_columns=3):
-    """Mean of the non-null values on the last ``window`` rows."""
-    columns = list(columns or numeric_columns(df))[:max_columns]
-    window = window or moving_window(df.count())
+def moving_average(df, columns=None, order_by=(), window=None, max_columns=None, least=5):
+    """Mean of the non-null values on the last ``window`` rows; a table of fewer than ``least`` rows has none."""
+    columns = list(columns or numeric_columns(df)[:max_columns])
+    rows = df.count()
+    if rows < least or not columns:
+        return df
+    window = window or moving_window(rows)
     return over_previous(with_row_index(df, order_by), window - 1, lambda order, frame: {
         f"{c}_ma{window}": F.avg(finite(col(c))).over(frame) for c in columns}).drop("_rn")
 
@@ -71,8 +77,8 @@ def _numeric_facts(df, columns):
     return {r["column"]: r for r in found}
 
 
-def ratio_pairs(df, columns=None, most=3):
-    """The first pairs whose second column is positive and not dwarfed by the first."""
+def ratio_pairs(df, columns=None, most=None):
+    """The pairs whose second column is positive and not dwarfed by the first."""
     columns = list(columns or numeric_columns(df))
     known = _numeric_facts(df, columns)
     usable = [
@@ -83,30 +89,31 @@ def ratio_pairs(df, columns=None, most=3):
     return usable[:most]
 
 
-def ratios(df, columns=None, most=3):
+def ratios(df, columns=None, most=None):
     """``a_per_b`` for the chosen pairs."""
     return df.withColumns({f"{a}_per_{b}": ratio(col(a), col(b)) for a, b in ratio_pairs(df, columns, most)})
 
 
-def zscores(df, columns=None, max_columns=4):
+def zscores(df, columns=None, max_columns=None):
     """(x - mean) / std for columns with at least five values and some spread."""
-    columns = list(columns or numeric_columns(df))[:max_columns]
+    columns = list(columns or numeric_columns(df)[:max_columns])
     known = _numeric_facts(df, columns)
     kept = [c for c in columns if known[c]["n"] >= 5 and (known[c]["std"] or 0) > 0]
     return df.withColumns({
         f"{c}_zscore": (finite(col(c)) - F.lit(known[c]["mean"])) / F.lit(known[c]["std"]) for c in kept})
 
 
-def date_parts(df, columns=None, max_columns=2):
+def date_parts(df, columns=None, max_columns=None):
     """Year, month and day of week (Monday is 0)."""
     parts = {}
-    for c in list(columns or date_columns(df))[:max_columns]:
+    for c in list(columns or date_columns(df)[:max_columns]):
         parts.update({f"{c}_year": F.year(col(c)), f"{c}_month": F.month(col(c)), f"{c}_dow": F.weekday(col(c))})
     return df.withColumns(parts)
 
 
-def feature_table(df, numeric=None, dates=None):
-    """Names, formulas and reasons of the columns the feature operators would add to this table."""
+def feature_table(df, numeric=None, dates=None, changes=None, averages=None, pairs=None, scores=None, parts=None):
+    """Names, formulas and reasons of the columns the feature operators would add to this table. The five numbers limit how many of
+    each kind are listed; None lists all."""
     numeric = list(numeric or numeric_columns(df))
     dates = list(dates or date_columns(df))
     known = _numeric_facts(df, numeric) if numeric else {}
@@ -114,18 +121,18 @@ def feature_table(df, numeric=None, dates=None):
     rows = [
         (f"{c}_pct_change", f"({c}[n] - {c}[n-1]) / {c}[n-1] × 100", "Growth Rate",
          f"Relative change of {c} between consecutive records")
-        for c in numeric[:4] if known[c]["n"] >= 3
+        for c in numeric[:changes] if known[c]["n"] >= 3
     ]
     if rows_in_table >= 5:
         window = moving_window(rows_in_table)
         rows += [(f"{c}_ma{window}", f"Rolling mean of {c} over {window} rows", "Moving Average",
-                  f"Smooths {c} to show its trend") for c in numeric[:3]]
-    rows += [(f"{a}_per_{b}", f"{a} / {b}", "Ratio", f"Normalises {a} by {b}") for a, b in ratio_pairs(df, numeric)]
+                  f"Smooths {c} to show its trend") for c in numeric[:averages]]
+    rows += [(f"{a}_per_{b}", f"{a} / {b}", "Ratio", f"Normalises {a} by {b}") for a, b in ratio_pairs(df, numeric, pairs)]
     rows += [(f"{c}_zscore", f"({c} - mean({c})) / std({c})", "Z-Score",
               f"Standardised {c}; beyond ±3 is an outlier")
-             for c in numeric[:4] if known[c]["n"] >= 5 and (known[c]["std"] or 0) > 0]
+             for c in numeric[:scores] if known[c]["n"] >= 5 and (known[c]["std"] or 0) > 0]
     rows += [(f"{c}_year / _month / _dow", f"Extract year, month, day-of-week from {c}", "Date Decomposition",
-              "Allows time-based grouping") for c in dates[:2]]
+              "Allows time-based grouping") for c in dates[:parts]]
     return df.sparkSession.createDataFrame(rows, FEATURE_SCHEMA)
 
 

@@ -19,11 +19,28 @@ def label_suffix(label):
     return label.replace(" ", "_").replace("›", "").strip()[:15]
 
 
+def suffixes(tables):
+    """{label: suffix}. Labels alike in their short suffix keep their whole length, and a number if even that is alike."""
+    short = {label: label_suffix(label) for label in tables}
+    taken, out = set(), {}
+    for label in tables:
+        suffix = short[label]
+        if sum(s == suffix for s in short.values()) > 1:
+            suffix = label.replace(" ", "_").replace("›", "").strip()
+        base, n = suffix, 1
+        while suffix in taken:
+            n += 1
+            suffix = f"{base}_{n}"
+        taken.add(suffix)
+        out[label] = suffix
+    return out
+
+
 def tagged_union(tables):
     """every row of every table with ``_source``; shared columns are kept apart by a label suffix."""
-    shared = shared_columns(tables)
+    shared, suffix = shared_columns(tables), suffixes(tables)
     frames = [
-        df.select(*[col(c).alias(f"{c}__{label_suffix(label)}" if c in shared else c) for c in df.columns],
+        df.select(*[col(c).alias(f"{c}__{suffix[label]}" if c in shared else c) for c in df.columns],
                   F.lit(label).alias("_source"))
         for label, df in tables.items()
     ]

@@ -1,6 +1,5 @@
 """Whole analyses composed from the operators."""
 
-import tempfile
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import cache
@@ -52,21 +51,27 @@ class Report:
 def stored(df):
     """The table behind a reliable checkpoint, so that lost executors cost no recomputation.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where it does not, as in tests, a
-    temporary folder is set.
+    The cluster names the folder in ``spark.checkpoint.dir``. Without one the table stays as it is: Spark
+    recomputes it, which is slower but needs no folder that executors cannot share. The rows are kept while the
+    checkpoint is written, so that they are not made twice.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-    return df.checkpoint()
+        if not named:
+            return df
+        context.setCheckpointDir(named)
+    kept = df.persist()
+    saved = kept.checkpoint()
+    kept.unpersist()
+    return saved
 
 
 def _trace(df, step, status, detail):
     return df.sparkSession.createDataFrame([(step, status, detail)], "step string, status string, detail string")
 
 
-def analyse(df, label="table", order_by=None, combined=False, test="shapiro", mode="auto"):
+def analyse(df, label="table", order_by=None, combined=False, test="moments", mode="auto"):
     """Validate, clean, classify, analyse, explain, chart. A failed dataset gate stops it with the reason.
 
     Row order is data: without ``order_by`` all columns in table order define it.
@@ -94,7 +99,7 @@ def analyse(df, label="table", order_by=None, combined=False, test="shapiro", mo
             _trace(df, "classification", "PASS", note)]),
     )
     if numeric:
-        lines = cache(lambda: stored(trend.line_facts(ready, numeric[:8], order_by)))
+        lines = cache(lambda: stored(trend.line_facts(ready, numeric, order_by)))
         every = cache(lambda: stored(insights.gated_insights(ready, numeric, order_by, test, mode=mode, lines=lines())))
         tables.add(
             statistics=lambda: stats.statistics_table(ready, numeric, mode), histograms=lambda: stats.histogram(ready, numeric),
@@ -138,8 +143,7 @@ def analyse_classic(df, label="table", order_by=None, as_of=None, mode="auto"):
         kpis=lambda: business.generic_kpis(ready, numeric, categorical, duplicates=profile.duplicate_rows(ready)),
     )
     if numeric:
-        lines = cache(lambda: stored(trend.line_facts(ready, numeric[:8], order_by)))
-        first = lambda: tables["statistics"].where(F.col("column").isin(numeric[:8]))
+        lines = cache(lambda: stored(trend.line_facts(ready, numeric, order_by)))
         tables.add(
             statistics=lambda: stats.moments(ready, numeric, signed_cv=True).join(
                 stats.quantile_table(ready, numeric, mode), "column"),
@@ -149,7 +153,7 @@ def analyse_classic(df, label="table", order_by=None, as_of=None, mode="auto"):
             features=feature_rows,
             featured=lambda: features.with_features(ready, order_by, numeric, found.date),
             insights=lambda: stored(_classic_insights(ready, tables, numeric, categorical, found.date)),
-            key_metrics=lambda: insights.key_metrics(first()),
+            key_metrics=lambda: insights.key_metrics(tables["statistics"]),
             report_counts=lambda: insights.report_counts(
                 ready.agg(F.count(F.lit(1)).alias("rows")), feature_rows(), checks, tables["insights"]),
         )
@@ -163,13 +167,12 @@ def analyse_classic(df, label="table", order_by=None, as_of=None, mode="auto"):
 
 def _classic_insights(ready, tables, numeric, categorical, dates):
     spark = ready.sparkSession
-    pairs = tables["strong_pairs"].limit(8) if "strong_pairs" in tables else spark.createDataFrame(
+    pairs = tables["strong_pairs"] if "strong_pairs" in tables else spark.createDataFrame(
         [], "col1 string, col2 string, r double, r2 double, strength string, direction string, p_explained double")
     dominant = insights.dominant_values(ready, categorical) if categorical else spark.createDataFrame(
         [], "column string, value string, count bigint, distinct bigint, pct_of_rows double")
     return insights.plain_insights(
-        tables["statistics"].where(F.col("column").isin(numeric[:8])), pairs,
-        tables["predictions"].where(F.col("column").isin(numeric[:5])), tables["outliers"], dominant,
+        tables["statistics"], pairs, tables["predictions"], tables["outliers"], dominant,
         insights.feature_facts(tables["featured"], numeric, dates))
 
 

@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expr import col
 
-# The columns of the statistics sheet and the length of the raw-data sheet.
+# The columns of the statistics sheet.
 STATISTICS_COLUMNS = ("column", "count", "mean", "median", "std", "variance", "min", "max", "range", "q1", "q3", "iqr",
                       "skewness", "kurtosis", "cv")
-RAW_ROWS = 10_000
 FORMATS = ("csv", "json", "parquet")
 
 
@@ -20,9 +19,10 @@ def write_table(df, path, kind="parquet", mode="overwrite"):
     (writer.option("header", True).csv if kind == "csv" else getattr(writer, kind))(path)
 
 
-def raw_extract(df, order_by, rows=RAW_ROWS):
-    """The first rows of the table in its order."""
-    return df.orderBy(*[col(c) for c in order_by]).limit(rows)
+def raw_extract(df, order_by, rows=None):
+    """The table in its order, or its first rows (a sheet of 10,000, say)."""
+    ordered = df.orderBy(*[col(c) for c in order_by])
+    return ordered if rows is None else ordered.limit(rows)
 
 
 def statistics_sheet(statistics):
@@ -59,6 +59,6 @@ def flat(df):
 
 
 def write_report(tables, folder, kind="parquet"):
-    """Every sheet under ``folder/<name>``; one file each, as they hold a row per column or finding."""
+    """Every sheet under ``folder/<name>``, in as many files as its tasks write."""
     for name, df in report_tables(tables).items():
-        write_table((flat(df) if kind == "csv" else df).coalesce(1), f"{folder}/{name}", kind)
+        write_table(flat(df) if kind == "csv" else df, f"{folder}/{name}", kind)

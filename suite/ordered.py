@@ -1,5 +1,6 @@
 """Order-dependent operators, trends, insights and charts (inventory W, R, I, K)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import assoc, charts, features, gates, insights, order, stats, trend
@@ -77,7 +78,15 @@ def r1(spark, sf):
     return trend.trend_fit(series(spark, sf), VALUES, ["ts"], with_p=False)
 
 
-@query("r1_trend_significance")
+def _significance(source, key):
+    """SQL of a table `sig`: two-sided p of every row's (n, r), by Simpson's rule over the angle whose sine is r."""
+    return f""", sig AS (SELECT {key}, greatest(0, 1 - 2 * exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt(pi()) * asin(least(1, abs(r))) / 6000
+ * sum(CASE WHEN cut IN (0, 2000) THEN 1 WHEN cut % 2 = 1 THEN 4 ELSE 2 END * pow(cos(asin(least(1, abs(r))) * cut / 2000), n - 3))) AS p
+ FROM {source}, (SELECT range AS cut FROM range(0, 2001)) GROUP BY {key}, n, r)"""
+
+
+@query("r1_trend_significance", _LINES + _significance("lines", '"column"') + """ SELECT "column", round(r, 4) AS r, n, round(p, 6) AS p_value, p < 0.05 AS significant
+ FROM lines JOIN sig USING ("column")""")
 def r1_p(spark, sf):
     return trend.trend_fit(series(spark, sf), VALUES, ["ts"]).select("column", "r", "n", "p_value", "significant")
 
@@ -101,20 +110,21 @@ def r3(spark, sf):
 
 
 _BEST = _MIXED + ", p AS (" + " UNION ALL ".join(
-    f"SELECT '{t}' AS target, '{p}' AS predictor, {i} AS pos, corr({t}, {p}) AS r, regr_slope({t}, {p}) AS slope, regr_intercept({t}, {p}) AS intercept FROM mixed"
+    f"SELECT '{t}' AS target, '{p}' AS predictor, {i} AS pos, corr({t}, {p}) AS r, regr_count({t}, {p}) AS n, regr_slope({t}, {p}) AS slope, regr_intercept({t}, {p}) AS intercept FROM mixed"
     for t in MIXED for i, p in enumerate(MIXED) if p != t) + "), b AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(r) DESC, pos) AS k FROM p)"
 
 
-@query("r4_best_predictor", _BEST + """ SELECT target, predictor, round(r, 4) AS r, round(r * r, 4) AS r2, round(slope, 4) AS slope, round(intercept, 4) AS intercept,
- printf('%s = %.4f×%s + %.4f', target, slope, predictor, intercept) AS equation FROM b WHERE k = 1""")
+@query("r4_best_predictor", _BEST + _significance("(SELECT * FROM b WHERE k = 1)", "target") + """ SELECT target, predictor, round(r, 4) AS r, round(r * r, 4) AS r2, round(slope, 4) AS slope, round(intercept, 4) AS intercept,
+ printf('%s = %.4f×%s + %.4f', target, slope, predictor, intercept) AS equation, round(p, 6) AS p_value, p < 0.05 AS significant FROM b JOIN sig USING (target) WHERE k = 1""")
 def r4(spark, sf):
-    return assoc.best_predictor(mixed(spark, sf), MIXED).drop("p_value", "significant")
+    return assoc.best_predictor(mixed(spark, sf), MIXED)
 
 
-@query("r5_trend_answer", _LINES + """ SELECT "column", CASE WHEN slope > 0 THEN '↗ Increasing' ELSE '↘ Decreasing' END AS trend, round(slope, 6) AS slope,
- round(r * r, 4) AS r2, n + i AS step, round(intercept + slope * (n + i - 1), 3) AS value FROM lines, (SELECT range AS i FROM range(1, 6)) WHERE "column" = 'drift'""")
+@query("r5_trend_answer", _LINES + _significance("lines", '"column"') + """ SELECT "column", CASE WHEN slope > 0 THEN '↗ Increasing' ELSE '↘ Decreasing' END AS trend, round(slope, 6) AS slope,
+ round(r * r, 4) AS r2, round(p, 6) AS p_value, p < 0.05 AS significant, n + i AS step, round(intercept + slope * (n + i - 1), 3) AS value
+ FROM lines JOIN sig USING ("column"), (SELECT range AS i FROM range(1, 6)) WHERE "column" = 'drift'""")
 def r5(spark, sf):
-    return trend.trend_answer(series(spark, sf), "drift", ["ts"]).drop("p_value", "significant")
+    return trend.trend_answer(series(spark, sf), "drift", ["ts"])
 
 
 @query("r6_forecast_table", _FORECAST + """ SELECT "column", step, value, lo, hi, round(hi - lo, 3) AS width,
@@ -124,11 +134,11 @@ def r6(spark, sf):
     return trend.forecast_table(trend.forecast(series(spark, sf), VALUES, ["ts"]))
 
 
-@query("r7_scatter_hint", f"""WITH pts AS (SELECT round(l_quantity, 4) AS x, round(l_extendedprice / 1000 + l_quantity, 4) AS y FROM lineitem ORDER BY {_ORDER} LIMIT 500)
+@query("r7_scatter_hint", f"""WITH pts AS (SELECT round(l_quantity, 4) AS x, round(l_extendedprice / 1000 + l_quantity, 4) AS y FROM lineitem)
 SELECT count(*) AS points, round(corr(x, y), 3) AS r, CASE WHEN abs(corr(x, y)) >= 0.7 THEN 'Strong' WHEN abs(corr(x, y)) >= 0.4 THEN 'Moderate' ELSE 'Weak' END AS hint FROM pts""")
 def r7(spark, sf):
     df = table(spark, sf, "lineitem").withColumn("blend", F.expr("l_extendedprice / 1000 + l_quantity"))
-    return assoc.scatter_hint(charts.scatter(df, "l_quantity", "blend", LINE_KEYS))
+    return assoc.scatter_hint(charts.scatter(df, "l_quantity", "blend"))
 
 
 # ---- insights -----------------------------------------------------------------------------------------------------
@@ -336,9 +346,9 @@ def k3(spark, sf):
     return charts.trend_points(_wider(spark, sf), _MEANS, ["ts"], "ts")
 
 
-@query("k4_scatter", SERIES_SQL + " SELECT round(value, 4) AS x, round(gappy, 4) AS y FROM series WHERE gappy IS NOT NULL AND value IS NOT NULL ORDER BY ts LIMIT 500")
+@query("k4_scatter", SERIES_SQL + " SELECT round(value, 4) AS x, round(gappy, 4) AS y FROM series WHERE gappy IS NOT NULL AND value IS NOT NULL")
 def k4(spark, sf):
-    return charts.scatter(series(spark, sf), "value", "gappy", ["ts"])
+    return charts.scatter(series(spark, sf), "value", "gappy")
 
 
 @query("k5_pie", GAPS_SQL + """ SELECT 'number_text' AS "column", substr(number_text, 1, 24) AS name, count(*) AS count, round(count(*) / (SELECT count(*) FROM gaps) * 100, 1) AS pct
@@ -363,5 +373,5 @@ def k7(spark, sf):
  round(stddev_samp({c}) / abs(avg({c})) * 100, 2) AS cv""", "a") + ")")
 def k10(spark, sf):
     ordered = stats.sort_statistics(stats.moments(fenced(spark, sf), ["value", "wild", "mild", "even"]), "cv").select("column", "cv")
-    rows = [(r["column"], r["cv"], i) for i, r in enumerate(ordered.collect(), 1)]
-    return spark.createDataFrame(rows, "column string, cv double, place int")
+    place = F.row_number().over(Window.orderBy(F.coalesce("cv", F.lit(0.0)).desc(), "column"))  # a row per column of the table
+    return ordered.select("column", "cv", place.alias("place"))

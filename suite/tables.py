@@ -66,7 +66,7 @@ def a10(spark, sf):
 
 @query("a12_raw_extract", f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS shipped
-FROM lineitem ORDER BY {', '.join(LINE_ORDER)}, l_extendedprice LIMIT 10000""")
+FROM lineitem ORDER BY {', '.join(LINE_ORDER)}, l_extendedprice""")
 def a12(spark, sf):
     return sinks.raw_extract(table(spark, sf, "lineitem"), LINE_ORDER + ["l_extendedprice"]).selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
@@ -404,6 +404,20 @@ def d4(spark, sf):
     return filled.groupBy("l_linenumber").agg(*[F.round(F.sum(c), 3).alias(c) for c in ("price_k", "disc_gap")])
 
 
+_WIDE = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN NULL ELSE 9007199254740992 + l_orderkey * 2 + 1 END AS wide_key,
+ CASE WHEN l_linenumber = 6 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(20, 2)) + 90071992547409.93 END AS price FROM lineitem"""
+
+
+@query("d4_exact_values", f"""WITH w AS ({_WIDE}) SELECT l_orderkey, l_linenumber, CAST(wide_key AS VARCHAR) AS wide_key, CAST(price AS VARCHAR) AS price
+FROM w WHERE wide_key IS NOT NULL AND price IS NOT NULL""")
+def d4_exact(spark, sf):
+    table(spark, sf, "lineitem").createOrReplaceTempView("d4_lineitem")
+    filled = clean.impute(spark.sql(_WIDE.replace("FROM lineitem", "FROM d4_lineitem")), ["wide_key", "price"])
+    kept = filled.where("l_linenumber NOT IN (5, 6)")
+    return kept.select("l_orderkey", "l_linenumber", F.regexp_replace(F.col("wide_key").cast("string"), r"\.0+$", "").alias("wide_key"),
+                       F.col("price").cast("decimal(20,2)").cast("string").alias("price"))
+
+
 @query("d4_impute_report", GAPS_SQL + """ SELECT 'price_k' AS "column", 'median' AS method,
  printf('%.4f', quantile_cont(price_k, 0.5)) AS value, count(*) - count(price_k) AS filled,
  round((count(*) - count(price_k)) / count(*) * 100, 2) AS missing_pct FROM gaps UNION ALL
