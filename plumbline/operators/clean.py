@@ -177,7 +177,7 @@ def clean(df, blocked=(), mode="auto", materialise=lambda d: d):
     tidy = trim_strings(sanitise(df), blocked)
     removed = dedupe_report(tidy).where("removed > 0").select(
         F.lit("Clean:Duplicates").alias("step"), F.lit("ALL").alias("column"), F.col("removed").alias("rows"),
-        F.lit("exact duplicates removed").alias("detail"))
+        F.lit("identical rows dropped").alias("detail"))
     unique = materialise(dedupe(tidy))
     plan = fill_plan(unique, [c for c in unique.columns if c not in blocked], mode=mode)
     filled = _fill_log(df, plan)
@@ -193,19 +193,19 @@ def clean_classic(df, mode="auto", materialise=lambda d: d):
     empty = tidy.agg((F.count(F.lit(1)) - F.count(F.when(F.coalesce(
         *[col(c).cast("string") for c in tidy.columns]).isNotNull(), 1))).alias("rows")).where("rows > 0").select(
         F.lit("Remove empty rows").alias("step"), F.lit("ALL").alias("column"), "rows",
-        F.lit("completely empty rows removed").alias("detail"))
+        F.lit("rows without any value dropped").alias("detail"))
     removed = dedupe_report(kept).where("removed > 0").select(
         F.lit("Remove duplicates").alias("step"), F.lit("ALL").alias("column"), F.col("removed").alias("rows"),
-        F.lit("exact duplicates removed").alias("detail"))
+        F.lit("identical rows dropped").alias("detail"))
     unique = materialise(dedupe(kept))
     flagged = high_missing(unique).select(
         F.lit("High missingness flag").alias("step"), "column", F.col("null_count").alias("rows"),
-        F.format_string("Flagged: %.1f%% missing values — NOT imputed", "missing_pct").alias("detail"))
+        F.format_string("%.1f%% missing, left unfilled", "missing_pct").alias("detail"))
     plan = fill_plan(unique, limit_pct=IMPUTE_LIMIT_PCT, mode=mode)
     filled = apply_fill(unique, plan)
     booleans = boolean_columns(filled)
     turned = df.sparkSession.createDataFrame(
-        [("Standardize boolean", c, None, "Converted Yes/No/True/False to 1/0") for c in booleans],
+        [("Standardize boolean", c, None, "words for yes and no became 1 and 0") for c in booleans],
         "step string, column string, rows bigint, detail string")
     log = union_all([trimmed, empty, removed, flagged, _fill_log(df, plan), turned])
     return standardise_booleans(filled, booleans), log

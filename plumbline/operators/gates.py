@@ -47,11 +47,11 @@ def column_gates(df):
     return rows.select(
         "column", "rows", (F.col("rows") - F.col("present")).alias("null_count"), F.round(pct, 2).alias("null_pct"),
         F.when(missing | flat, "BLOCK").otherwise("PASS").alias("status"),
-        F.when(missing, F.format_string("'%s' blocked: %.1f%% missing > 20.0%%", F.col("column"), pct))
-        .when(flat, F.format_string("'%s' BLOCKED: constant value (zero variance)", "column")).alias("reason"),
+        F.when(missing, F.format_string("%s is left out, %.1f%% of it is missing and 20%% is the limit", F.col("column"), pct))
+        .when(flat, F.format_string("%s is left out, all its values are the same", "column")).alias("reason"),
         rounded(F.col("numeric_share")).alias("numeric_share"),
         F.when(~missing & (F.col("numeric_share") > NUMERIC_TEXT_SHARE), F.format_string(
-            "'%s': stored as text but %.0f%% are numeric — type inconsistency", F.col("column"),
+            "%s holds text, yet %.0f%% of it reads as numbers", F.col("column"),
             F.col("numeric_share") * 100)).alias("warning"),
         flat.alias("zero_variance"),
     )
@@ -82,12 +82,12 @@ def dataset_gates(df, combined=False):
 
     rows = [
         gate(0, "min_rows", F.col("rows"), MIN_ROWS, enough, F.lit(True), F.format_string(
-            "DATASET TOO SMALL: %d rows < minimum 5. DATA NOT RELIABLE FOR ANALYSIS.", "rows")),
+            "%d rows are too few, an analysis takes 5", "rows")),
         gate(1, "dataset_missing", F.coalesce("pct", F.lit(0.0)), limit, dense, enough, F.format_string(
-            f"DATASET MISSING RATE TOO HIGH: %.1f%% missing (threshold {limit}%%). DATA NOT RELIABLE FOR ANALYSIS.",
+            f"%.1f%% of the cells are missing, more than {limit}%%",
             "pct")),
         gate(2, "columns_left", F.col("kept"), 1, some, enough & dense, F.lit(
-            "ALL COLUMNS BLOCKED by missing data. DATA NOT RELIABLE FOR ANALYSIS.")),
+            "no column has few enough missing values")),
     ]
     return wide.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
 
@@ -117,8 +117,8 @@ def sign_checks(df):
     return rows.where("n > 0").select(
         F.lit("sign").alias("check"), "column", F.when(bad, "FAIL").otherwise("PASS").alias("status"),
         F.col("bad").alias("rows"),
-        F.when(bad, F.format_string("'%s': %d negative values in a column that logically should be ≥ 0", "column", "bad"))
-        .otherwise(F.format_string("'%s': All values ≥ 0 (logical validation)", "column")).alias("detail"))
+        F.when(bad, F.format_string("%s should not be negative but is in %d rows", "column", "bad"))
+        .otherwise(F.format_string("%s has no negative value", "column")).alias("detail"))
 
 
 def percentage_checks(df):
@@ -132,8 +132,8 @@ def percentage_checks(df):
     return rows.where("n > 0").select(
         F.lit("percentage_range").alias("check"), "column", F.when(bad, "WARN").otherwise("PASS").alias("status"),
         F.col("bad").alias("rows"),
-        F.when(bad, F.format_string("'%s': values outside [0,100] for a percentage column — verify units", "column"))
-        .otherwise(F.format_string("'%s': percentage values within [0,100]", "column")).alias("detail"))
+        F.when(bad, F.format_string("%s reads as a percentage but leaves 0 to 100; check its unit", "column"))
+        .otherwise(F.format_string("%s stays within 0 to 100", "column")).alias("detail"))
 
 
 def future_date_checks(df, as_of=None):
@@ -147,8 +147,8 @@ def future_date_checks(df, as_of=None):
     return rows.select(
         F.lit("future_date").alias("check"), "column", F.when(bad, "WARN").otherwise("PASS").alias("status"),
         F.col("bad").alias("rows"),
-        F.when(bad, F.format_string("'%s': %d dates are in the future — verify if expected", "column", "bad"))
-        .otherwise(F.format_string("'%s': No future dates", "column")).alias("detail"))
+        F.when(bad, F.format_string("%s has %d dates that are yet to come", "column", "bad"))
+        .otherwise(F.format_string("%s has no date yet to come", "column")).alias("detail"))
 
 
 def constant_checks(df):
@@ -160,7 +160,7 @@ def constant_checks(df):
         F.count(col(c)).alias("n"), F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi")])
     return rows.where("n > 5 AND lo = hi").select(
         F.lit("constant").alias("check"), "column", F.lit("WARN").alias("status"), F.col("n").alias("rows"),
-        F.format_string("'%s': Constant column (all same value=%.4f) — not useful for analysis", "column", "lo").alias("detail"))
+        F.format_string("%s is %.4f in every row and tells nothing", "column", "lo").alias("detail"))
 
 
 def residual_null_check(df):
@@ -172,9 +172,9 @@ def residual_null_check(df):
     return wide.select(
         F.lit("residual_nulls").alias("check"), F.lit("ALL").alias("column"),
         F.when(pct == 0, "PASS").when(pct < 5, "WARN").otherwise("FAIL").alias("status"), "rows",
-        F.when(pct == 0, F.lit("Zero missing values after cleaning"))
-        .when(pct < 5, F.format_string("%.1f%% cells still null", pct))
-        .otherwise(F.format_string("%.1f%% cells null — review before drawing conclusions", pct)).alias("detail"))
+        F.when(pct == 0, F.lit("no cell is empty after cleaning"))
+        .when(pct < 5, F.format_string("%.1f%% of the cells remain empty", pct))
+        .otherwise(F.format_string("%.1f%% of the cells are empty; look at them first", pct)).alias("detail"))
 
 
 def _no_checks(df):

@@ -184,11 +184,11 @@ def understanding(df, classic=True):
     missing = F.col("rows") - F.col("present")
     lost = F.format_string("%d missing (%.1f%%)", missing, F.round(missing / F.col("rows") * 100, 1))
     line = (
-        F.when(F.col("column").isin(roles.index), "Auto-increment identifier or row index (excluded from analysis)")
-        .when(F.col("column").isin(dates), F.concat(F.lit("Date/time column spanning "), "since", F.lit(" to "), "until"))
+        F.when(F.col("column").isin(roles.index), "Row number or identifier, left out of the analysis")
+        .when(F.col("column").isin(dates), F.concat(F.lit("Dates from "), "since", F.lit(" to "), "until"))
         .when(F.col("column").isin(numeric), F.concat(
-            F.format_string("Numeric — range [%,.2f, %,.2f], mean=%,.2f, ", "lo", "hi", "mean"), lost))
-        .otherwise(F.concat(F.format_string("Categorical — %d unique values, most common: '%s', ", "distinct",
+            F.format_string("Numbers from %,.2f to %,.2f, mean %,.2f, ", "lo", "hi", "mean"), lost))
+        .otherwise(F.concat(F.format_string("Category of %d values, most often %s, ", "distinct",
                                             F.coalesce("top", F.lit("N/A"))), lost))
     )
     return base.join(top, "column", "left").select(
@@ -215,13 +215,13 @@ def anomalies(df, columns=None, mode="auto"):
     checks = F.array(
         F.when((F.col("n") >= 4) & (F.col("extreme") > 0), F.struct(
             F.lit("extreme_outliers").alias("check"), F.col("extreme").alias("rows"),
-            F.format_string("'%s': %d extreme outliers (beyond 3×IQR)", "column", "extreme").alias("detail"))),
+            F.format_string("%s: %d values beyond three interquartile ranges", "column", "extreme").alias("detail"))),
         F.when(F.col("signed_name") & (F.col("negative") > 0), F.struct(
             F.lit("negative_values").alias("check"), F.col("negative").alias("rows"),
-            F.format_string("'%s': contains negative values — verify if valid", "column").alias("detail"))),
+            F.format_string("%s: some values are negative where none is expected", "column").alias("detail"))),
         F.when(zero_share > 0.5, F.struct(
             F.lit("mostly_zero").alias("check"), F.col("zero").alias("rows"),
-            F.format_string("'%s': %.1f%% zeros — possible default/missing encoding", F.col("column"), zero_share * 100)
+            F.format_string("%s: %.1f%% zeros, which may stand for no value", F.col("column"), zero_share * 100)
             .alias("detail"))),
     )
     return rows.select("column", F.explode(F.array_compact(checks)).alias("a")).select("column", "a.*")

@@ -164,7 +164,7 @@ _TREND_OK = f"abs(change) >= 0.05 AND (abs(r) >= 1 OR t_value > {_CRITICAL})"
 
 @query("i2_trend_insights", _TRENDS + f""" SELECT "column" AS subject, NOT ({_TREND_OK}) AS blocked, n AS data_points_used,
  CASE WHEN {_TREND_OK} THEN CASE WHEN score >= 75 THEN 'high' ELSE 'medium' END END AS priority, CASE WHEN {_TREND_OK} THEN score END AS confidence,
- CASE WHEN {_TREND_OK} THEN concat('Statistically Significant ', CASE WHEN slope > 0 THEN 'Increasing' ELSE 'Decreasing' END, ' Trend — ', "column") END AS title,
+ CASE WHEN {_TREND_OK} THEN concat('Steady ', CASE WHEN slope > 0 THEN 'Rise' ELSE 'Fall' END, ': ', "column") END AS title,
  CASE WHEN {_TREND_OK} THEN round(slope, 6) END AS slope, CASE WHEN {_TREND_OK} THEN round(change * 100, 2) END AS pct_change FROM t""")
 def i2(spark, sf):
     found = insights.trend_insights(trend.line_facts(series(spark, sf), VALUES, ["ts"]))
@@ -180,8 +180,8 @@ _CORR = _MIXED + ", s AS (" + each(MIXED, f"{_score('count(*)', 'count({c})', 'a
 
 @query("i3_correlation_insights", _CORR + """ SELECT concat(c1, ',', c2) AS subject, n AS data_points_used, abs(r) < 0.6 AS blocked,
  CASE WHEN abs(r) >= 0.6 THEN CASE WHEN abs(r) >= 0.75 THEN 'high' ELSE 'medium' END END AS priority, CASE WHEN abs(r) >= 0.6 THEN conf :: INT END AS confidence,
- CASE WHEN abs(r) >= 0.6 THEN round(r, 4) END AS r, CASE WHEN abs(r) >= 0.6 THEN concat(CASE WHEN abs(r) >= 0.9 THEN 'VERY STRONG' WHEN abs(r) >= 0.75 THEN 'STRONG'
- ELSE 'MODERATE-STRONG' END, CASE WHEN r > 0 THEN ' POSITIVE' ELSE ' NEGATIVE' END, ' Correlation — ', c1, ' ↔ ', c2) END AS title FROM j""")
+ CASE WHEN abs(r) >= 0.6 THEN round(r, 4) END AS r, CASE WHEN abs(r) >= 0.6 THEN concat(CASE WHEN abs(r) >= 0.9 THEN 'Very close' WHEN abs(r) >= 0.75 THEN 'Close'
+ ELSE 'Clear' END, CASE WHEN r > 0 THEN ', rising' ELSE ', opposite' END, ' link: ', c1, ' and ', c2) END AS title FROM j""")
 def i3(spark, sf):
     df = mixed(spark, sf)
     pairs = assoc.pair_facts(df, [(a, b) for i, a in enumerate(MIXED) for b in MIXED[i + 1:]])
@@ -210,7 +210,7 @@ def i4(spark, sf):
 @query("i5_distribution_insights", _FENCED + """, d AS (""" + each(("value", "wild", "mild", "even"), """ skewness({c}) AS s, kurtosis_pop({c}) AS kp, count({c}) :: BIGINT AS n,
  avg({c}) AS mean, quantile_cont({c} :: DOUBLE, 0.5) AS median""", "a") + """), t AS (SELECT *, exp(-n / 12 * (pow(s * (n - 2) / sqrt(n * (n - 1)), 2) + pow(kp, 2) / 4)) > 0.05 AS normal FROM d)
 SELECT "column" AS subject, CASE WHEN abs(s) > 1 AND NOT (abs(s) < 0.3 AND normal) THEN 'medium' ELSE 'low' END AS priority, n AS data_points_used,
- CASE WHEN abs(s) < 0.3 AND normal THEN concat('Normally Distributed — ', "column") ELSE concat(CASE WHEN abs(s) > 1 THEN 'Highly ' ELSE '' END, 'Skewed Distribution — ', "column") END AS title,
+ CASE WHEN abs(s) < 0.3 AND normal THEN concat('Bell-shaped: ', "column") ELSE concat(CASE WHEN abs(s) > 1 THEN 'Very ' ELSE '' END, 'Lopsided: ', "column") END AS title,
  round(s, 4) AS skewness, round(mean, 4) AS mean, round(median, 4) AS median FROM t WHERE (abs(s) < 0.3 AND normal) OR abs(s) >= 0.5""")
 def i5(spark, sf):
     found = insights.distribution_insights(fenced(spark, sf), ["value", "wild", "mild", "even"], ["ts"], test="moments")
@@ -228,7 +228,7 @@ _RANKED = _TRENDS + f""", k AS (SELECT 'trend' AS type, "column" AS subject, CAS
 
 
 @query("i7_ranked_insights", _RANKED + """ SELECT row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 ELSE 1 END, confidence DESC, type, subject) :: INT AS number,
- upper(type) AS type, upper(priority) AS priority, concat('Statistically Significant ', CASE WHEN slope > 0 THEN 'Increasing' ELSE 'Decreasing' END, ' Trend — ', subject) AS title
+ upper(type) AS type, upper(priority) AS priority, concat('Steady ', CASE WHEN slope > 0 THEN 'Rise' ELSE 'Fall' END, ': ', subject) AS title
 FROM k JOIN lines ON subject = "column" """)
 def i7(spark, sf):
     found = insights.trend_insights(trend.line_facts(series(spark, sf), VALUES, ["ts"]))
@@ -254,14 +254,14 @@ def _classic_statistics(df, columns):
     + """), c AS (""" + " UNION ALL ".join(f"SELECT '{x}' AS c1, '{y}' AS c2, round(corr({x}, {y}), 4) AS r FROM a" for x, y in (("value", "wild"), ("value", "mild"), ("wild", "mild")))
     + """), f AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS k, corr({c}, x) AS r, count(*) AS n FROM (SELECT {c}, row_number() OVER (ORDER BY ts) - 1 AS x FROM a)" for c in _PLAIN)
     + f"""), b AS (SELECT event_type AS v, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
-SELECT 'distribution' AS type, 'medium' AS priority, concat('Skewed Distribution — ', "column") AS title FROM s WHERE abs(round(skew, 4)) > 0.8 UNION ALL
-SELECT 'variability', 'high', concat('High Variability — ', "column") FROM s WHERE round(cv, 2) > 30 UNION ALL
-SELECT 'distribution', 'low', concat('Heavy Tails — ', "column") FROM s WHERE abs(round(kurt, 4)) > 3 UNION ALL
+SELECT 'distribution' AS type, 'medium' AS priority, concat('Lopsided: ', "column") AS title FROM s WHERE abs(round(skew, 4)) > 0.8 UNION ALL
+SELECT 'variability', 'high', concat('Wide spread: ', "column") FROM s WHERE round(cv, 2) > 30 UNION ALL
+SELECT 'distribution', 'low', concat('Long tails: ', "column") FROM s WHERE abs(round(kurt, 4)) > 3 UNION ALL
 SELECT 'correlation', CASE WHEN abs(r) >= 0.6 THEN 'high' ELSE 'medium' END, concat(CASE WHEN abs(r) >= 0.9 THEN 'Very Strong' WHEN abs(r) >= 0.7 THEN 'Strong' WHEN abs(r) >= 0.5 THEN 'Moderate' ELSE 'Weak' END,
- CASE WHEN r > 0 THEN ' Positive' ELSE ' Negative' END, ' Correlation: ', c1, ' ↔ ', c2) FROM c WHERE abs(r) >= 0.3 UNION ALL
-SELECT 'prediction', CASE WHEN abs(r) * sqrt((n - 2) / (1 - r * r)) > {_CRITICAL} THEN 'high' ELSE 'medium' END, concat('Trend Analysis — ', k) FROM f UNION ALL
-SELECT 'outlier', 'high', concat('High Outlier Rate — ', k) FROM o WHERE share > 0.1 UNION ALL
-SELECT 'categorical', 'medium', 'Dominant Category — event_type' FROM b WHERE n / (SELECT count(*) FROM events) > 0.5""")
+ CASE WHEN r > 0 THEN ', positive' ELSE ', negative' END, ': ', c1, ' and ', c2) FROM c WHERE abs(r) >= 0.3 UNION ALL
+SELECT 'prediction', CASE WHEN abs(r) * sqrt((n - 2) / (1 - r * r)) > {_CRITICAL} THEN 'high' ELSE 'medium' END, concat('Line over the rows: ', k) FROM f UNION ALL
+SELECT 'outlier', 'high', concat('Many far values: ', k) FROM o WHERE share > 0.1 UNION ALL
+SELECT 'categorical', 'medium', 'One value leads: event_type' FROM b WHERE n / (SELECT count(*) FROM events) > 0.5""")
 def i8(spark, sf):
     df = fenced(spark, sf)
     return insights.plain_insights(

@@ -87,7 +87,7 @@ def test_full_analysis(spark, tmp_path):
 
 def test_analysis_stops_at_a_gate(spark):
     report = analyse(spark.range(3), "tiny")
-    assert report.status == "BLOCKED" and "3 rows < minimum 5" in report.stop_reason
+    assert report.status == "BLOCKED" and "3 rows are too few" in report.stop_reason
     assert report.tables["trace"].where("status = 'BLOCK'").count() == 1
 
 

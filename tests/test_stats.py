@@ -111,11 +111,11 @@ def test_forecast_needs_ten_rows(spark):
 def test_trend_insight_gates(spark, rows, small):
     found = rows(insights.trend_insights(trend.line_facts(small, ["lin", "skewed", "const"], ["t"])), "subject")
     assert found["lin"]["blocked_reason"] is None and found["lin"]["values"]["slope"] == 2.0
-    assert found["lin"]["title"] == "Statistically Significant Increasing Trend — lin"
-    assert "not significant" in found["skewed"]["blocked_reason"] and found["skewed"]["title"] is None
-    assert found["const"]["blocked_reason"].startswith("GATE FAILED: change=0.00% < 5.0% | p=1.0000")
+    assert found["lin"]["title"] == "Steady Rise: lin"
+    assert "may be chance" in found["skewed"]["blocked_reason"] and found["skewed"]["title"] is None
+    assert found["const"]["blocked_reason"].startswith("withheld: it moved 0.00%, under 5% | p 1.0000")
     short = rows(insights.trend_insights(trend.line_facts(small.limit(9), ["lin"], ["t"])), "subject")
-    assert "9 points, need ≥10" in short["lin"]["blocked_reason"]
+    assert "9 values and a trend takes 10" in short["lin"]["blocked_reason"]
 
 
 def test_anomaly_at_exactly_three(spark):
