@@ -14,7 +14,7 @@ from plumbline.llm.base import buffers, column
 #: Lower-cases A-Z, keeps a-z and every byte above 7F, and turns the rest into spaces.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SEPARATOR = b" " * 8
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BROADCAST_ROWS = 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX_2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -50,6 +50,12 @@ def windows(data: np.ndarray, n: int) -> np.ndarray:
     return wide & np.uint64((1 << 8 * n) - 1) if n < 8 else wide.copy()
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their summed counts."""
+    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([p[1] for p in parts]), keys.size).astype(np.int64)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, text, y of the documents that have a label. The label side is broadcast only where its counted rows fit; else it shuffles."""
     known = labels.select(column(labels, doc_id, "long").alias("doc_id"), column(labels, label, "int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.base import batch_of, column, query, stored, table
-from plumbline.llm.grams import MIX, MIX_2, fold, joined, slices, windows
+from plumbline.llm.grams import MIX, MIX_2, added, fold, joined, slices, windows
 
 SHARE = 0.3
 LEAST = 2
@@ -43,7 +43,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
     def flush():
         for lang, parts in held.items():
-            grams, n = _added(parts)
+            grams, n = added(parts)
             yield batch_of(COUNTED, [lang] * grams.size, grams.astype(np.int64), n)
         held.clear()
     for batch in batches:
@@ -57,17 +57,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = held.setdefault(lang, [])
                 parts.append((grams[edges], np.diff(np.append(edges, grams.size))))
                 if len(parts) > 8:
-                    parts[:] = [_added(parts)]
+                    parts[:] = [added(parts)]
         if sum(p[0].size for parts in held.values() for p in parts) > HELD:
             yield from flush()
     yield from flush()
 
 
-def _added(parts):
-    grams, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return grams, np.bincount(where, np.concatenate([p[1] for p in parts]), grams.size).astype(np.int64)
-
-
 def _cells(grams: np.ndarray, bits: int) -> list[np.ndarray]:
     wide = grams.astype(np.uint64)
     return [((wide + np.uint64(1)) * c >> np.uint64(64 - bits)).astype(np.int64) for c in (MIX, MIX_2)[:HASHES]]

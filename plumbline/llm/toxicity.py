@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.base import batch_of, column, query, table
-from plumbline.llm.grams import LETTERS, MIX, fold, joined, labelled, slices, windows
+from plumbline.llm.grams import LETTERS, MIX, added, fold, joined, labelled, slices, windows
 
 FROM_START = (5, 6, 7, 8)
 ANYWHERE = 5
@@ -36,6 +36,7 @@ PENALTY = 1.0
 RIDGE = 2e-5
 STEPS = 600
 TABLE_BITS = 20
+HELD = 2_000_000
 #: Terms of one list may stand for each other.
 IDENTITY = (
     ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -78,7 +79,8 @@ def _code(grams: np.ndarray, n: int) -> np.ndarray:
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many of the slice's texts each gram stands."""
+    """In how many texts each gram stands, added up over the task as long as they fit."""
+    parts = []
     for batch in batches:
         for _, texts in slices(batch):
             data, begins = joined(texts)
@@ -87,7 +89,13 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs.sort()
             pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[: pairs.size]] >> np.uint64(24)
             edges = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])[: pairs.size])
-            yield batch_of(COUNTED, pairs[edges].astype(np.int64), np.diff(np.append(edges, pairs.size)))
+            parts.append((pairs[edges].astype(np.int64), np.diff(np.append(edges, pairs.size))))
+            if sum(p[0].size for p in parts) > HELD:
+                parts = [added(parts)]
+                if parts[0][0].size > HELD // 2:
+                    yield batch_of(COUNTED, *parts.pop())
+    if parts:
+        yield batch_of(COUNTED, *added(parts))
 
 
 class Grams:
