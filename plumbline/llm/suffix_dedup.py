@@ -86,7 +86,7 @@ def _chunk_anchors(data: np.ndarray, starts: np.ndarray):
     at = anchor[np.concatenate([[0], edge])]
     context = (sums[last + LENGTH] - sums[first]) * down[first]
     context = _mixed(context + ((at - first) * 512 + (last - first)).astype(np.uint64) * MIX)
-    return at, first, last, kmers[at], context
+    return at, first, last, _mixed(kmers[at]), context  # least hashes are small ones; mixed anew they fill the shards evenly
 
 
 def anchors(data: np.ndarray, lens: np.ndarray):
