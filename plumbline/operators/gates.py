@@ -18,12 +18,12 @@ def checked_columns(df):
     return [c for c in df.columns if not c.startswith("_")]
 
 
-def _gate_values(df):
-    """One plain attribute per checked column: the number, whether a text parses as one, or just its presence."""
+def _gate_values(df, parse=True):
+    """One plain attribute per checked column: the number, whether a text parses as one (if asked for), or just its presence."""
     texts, numeric = text_columns(df), numeric_columns(df)
 
     def value(c):
-        if c in texts:
+        if c in texts and parse:
             return F.when(col(c).isNotNull(), number(col(c)).isNotNull().cast("double"))
         return F.when(col(c).isNotNull(), F.lit(0.0))
 
@@ -31,14 +31,17 @@ def _gate_values(df):
     return numbers(others, checked_columns(df))
 
 
-def column_gates(df):
-    """Per column the null share, whether it is blocked and why, and the numbers-as-text warning."""
-    texts, numeric = text_columns(df), numeric_columns(df)
-    found = per_column(_gate_values(df), checked_columns(df), lambda c: [
+def column_gates(df, warn=True):
+    """Per column the null share, whether it is blocked and why, and, with ``warn``, the numbers-as-text warning.
+
+    Only the warning parses texts; without it texts are not read beyond their presence.
+    """
+    texts, numeric = text_columns(df) if warn else [], numeric_columns(df)
+    found = per_column(_gate_values(df, warn), checked_columns(df), lambda c: [
         F.count(col(c)).alias("present"), F.sum(col(c)).alias("total"), F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi")])
     named = lambda names: F.col("column").isin(list(names)) if names else F.lit(False)
     rows = found.withColumns({
-        "numeric_share": F.when(named(texts), ratio(F.col("total"), F.col("present"))),
+        "numeric_share": F.when(named(texts), ratio(F.col("total"), F.col("present"))).cast("double"),
         "constant": named(numeric) & F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)),
     })
     pct = (F.col("rows") - F.col("present")) / F.col("rows") * 100

@@ -1,6 +1,7 @@
 """What a table holds: shape, completeness, per-column profile, catalog of several tables."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.expr import (
     class_of, col, date_columns, finite, numbers, numeric_columns, rounded, text_columns, type_of,
@@ -59,13 +60,20 @@ def duplicate_rows(df):
     return groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"))
 
 
+def _distinct(df, c):
+    """Distinct non-null values of one column in its own type: the scan reads that column alone and copies meet before the shuffle."""
+    value = F.to_json(F.struct(col(c))) if isinstance(type_of(df, c), (T.MapType, T.VariantType)) else col(c)
+    values = df.where(col(c).isNotNull()).select(value.alias("v")).distinct()
+    return values.agg(F.count(F.lit(1)).alias("distinct")).select(F.lit(c).alias("column"), "distinct")
+
+
 def distinct_counts(df, columns=None, approximate=False):
     """Distinct non-null values and their cardinality class."""
     columns = columns or df.columns
     if approximate:
         counted = per_column(df, columns, lambda c: [F.approx_count_distinct(col(c)).alias("distinct")])
     else:
-        counted = frequencies(df, columns).groupBy("column").agg(F.count("value").alias("distinct"))
+        counted = union_all([_distinct(df, c) for c in columns])
     return counted.select("column", "distinct", cardinality(F.col("distinct")).alias("cardinality"))
 
 
@@ -104,10 +112,10 @@ def schema_profile(df, order_by=None, sources=None, column_sources=None, approxi
     return out
 
 
-def schema_answer(df):
-    """The short profile."""
-    return schema_profile(df).select(
-        "position", "column", "type", "dtype", "null_pct", "unique",
+def schema_answer(df, order_by=None):
+    """The short profile, with three samples per column where a row order is given."""
+    return schema_profile(df, order_by).select(
+        "position", "column", "type", "dtype", "null_pct", "unique", *(["samples"] if order_by else []),
         F.when(F.col("type") == "Numeric", "SUM/AVG").otherwise("GROUP BY/COUNT").alias("agg_hint"))
 
 

@@ -4,15 +4,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.expr import col, numeric_columns
 from plumbline.functions.names import DIMENSION_WORDS, FACT_WORDS, has_word
 from plumbline.operators.roles import detect_keys
 from plumbline.operators.stats import union_all
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-FEW_FILES, MOST_FILES = 8, 1000
+SPREAD = 64
 
 
 @dataclass
@@ -30,38 +28,6 @@ class Dim:
         self.name = self.name or self.dim_key
 
 
-def measured_bytes(df):
-    """An upper estimate of the table's size in memory, measured over all its rows."""
-    fixed, text = 16, F.lit(0).cast("bigint")
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            text = text + F.coalesce(F.octet_length(col(f.name)).cast("bigint"), F.lit(0)) + 16
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            text = text + F.coalesce(F.octet_length(F.to_json(F.struct(col(f.name)))).cast("bigint"), F.lit(0)) * 2
-        else:
-            fixed += 16
-    return df.agg(F.coalesce(F.sum(text + fixed), F.lit(0)).alias("b")).first()["b"]
-
-
-def input_bytes(df):
-    """Size of the files a table is read from (only their listing is read), None without files."""
-    files = df.inputFiles()
-    if not files or len(files) > MOST_FILES:
-        return None if not files else float("inf")
-    lengths = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length").alias("b"))
-    return lengths.first()["b"]
-
-
-def broadcast_if_small(df, limit=BROADCAST_BYTES):
-    """Hint a broadcast only for a measured size; otherwise leave the choice (and skew handling) to Spark.
-
-    Tables read from many or large files are not measured at all, so the check never scans much data.
-    """
-    if len(df.inputFiles()) > FEW_FILES and (input_bytes(df) or 0) > limit:
-        return df
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
-
-
 def kept_columns(dim, keys):
     """The dimension's key and its columns that are not keys themselves."""
     return [c for c in dim.df.columns if c == dim.dim_key or c not in keys]
@@ -72,10 +38,12 @@ def clash_names(taken, columns, key, name):
     return {c: f"{c}_{name[:8]}" for c in columns if c != key and c in taken}
 
 
-def star_join(fact, dims, prune=True, limit=BROADCAST_BYTES):
+def star_join(fact, dims, prune=True):
     """Left joins of every dimension whose key the fact had from the start.
 
-    A repeated dimension key fans out. Null keys match nothing.
+    A repeated dimension key fans out. Null keys match nothing; they carry one of ``SPREAD`` numbers into the join,
+    so that they do not meet in one task. No dimension is run to size it: Spark broadcasts a side whose size, by
+    file statistics or after its own shuffle, is under its limit, and splits skewed keys otherwise.
     """
     out, original = fact, set(fact.columns)
     for dim in dims:
@@ -84,15 +52,15 @@ def star_join(fact, dims, prune=True, limit=BROADCAST_BYTES):
         columns = kept_columns(dim, dim.keys if dim.keys is not None else detect_keys(dim.df)) if prune else dim.df.columns
         clash = clash_names(out.columns, columns, dim.dim_key, dim.name)
         renamed = dim.df.select(*[col(c).alias(clash.get(c, c)) for c in columns])
-        side = broadcast_if_small(renamed, limit)
-        if dim.fact_key == dim.dim_key:
-            out = out.join(side, dim.fact_key, "left")
-        else:
-            out = out.join(side, out[dim.fact_key] == side[dim.dim_key], "left").drop(side[dim.dim_key])
+        side = renamed.withColumnRenamed(dim.dim_key, "_dim_key").withColumn("_spread", F.lit(0).cast("bigint"))
+        spread = F.when(col(dim.fact_key).isNull(), F.monotonically_increasing_id() % SPREAD + 1).otherwise(F.lit(0).cast("bigint"))
+        spread_out = out.withColumn("_own_spread", spread)
+        met = (spread_out[dim.fact_key] == side["_dim_key"]) & (spread_out["_own_spread"] == side["_spread"])
+        out = spread_out.join(side, met, "left").drop("_dim_key", "_spread", "_own_spread")
     return out
 
 
-def relationships(fact, dims, fact_name="fact", limit=BROADCAST_BYTES):
+def relationships(fact, dims, fact_name="fact"):
     """E5: per relation the rows with a key, rows that find it, orphans, and the measured cardinality.
 
     Keys are counted before they are joined, so a hot key travels as one row.

@@ -149,9 +149,11 @@ def frequencies(df, columns, data_type="string"):
 
 def mode_table(df, columns=None):
     """Most frequent value per numeric column, smallest on ties."""
-    counted = frequencies(df, columns or numeric_columns(df), "double").where("value IS NOT NULL AND NOT isnan(value)")
-    best = F.min(F.struct((-F.col("count")).alias("c"), F.col("value").alias("v")))
-    return counted.groupBy("column").agg(best.alias("best")).select(
+    best = F.min(F.struct((-F.col("count")).alias("c"), F.col("value").cast("double").alias("v")))
+    def counted(c):
+        values = df.where(finite(col(c)).isNotNull()).groupBy(col(c).alias("value")).count()
+        return values.agg(best.alias("best")).select(F.lit(c).alias("column"), "best").where("best IS NOT NULL")
+    return union_all([counted(c) for c in columns or numeric_columns(df)]).select(
         "column", rounded(F.col("best.v")).alias("mode"), (-F.col("best.c")).alias("mode_count"))
 
 

@@ -5,6 +5,7 @@ Only the first lines of a file ever reach the driver; the rows are parsed by Spa
 
 import csv
 import os
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,7 +110,8 @@ def _filled(c):
 def read_csv_sniffed(spark, path, sep=",", schema=None, encoding=None, tidy_up=True):
     """A1, A2: CSV whose header is the most header-like of the first lines.
 
-    A header on the first line goes through Spark's CSV reader; a later one drops exactly the lines up to it.
+    A header on the first line goes through Spark's CSV reader; a later one drops exactly the lines up to it. In a folder
+    whose files begin with other lines every file is sniffed on its own. Quoted line breaks stay inside their value.
     """
     encoding = encoding or detect_encoding(spark, path)
     lines = numbered_lines(spark, path, encoding)
@@ -118,17 +120,48 @@ def read_csv_sniffed(spark, path, sep=",", schema=None, encoding=None, tidy_up=T
         return spark.createDataFrame([], T.StructType())
     at = header_position([cells for _, cells in head])
     line, cells = head[at]
-    if line == 0 or (at == 0 and line == head[0][0]):
-        reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    plain = line == 0 or (at == 0 and line == head[0][0])
+    paths = [] if plain else sorted(lines.inputFiles())
+    if len(paths) > 1:
+        parts = [read_csv_sniffed(spark, p, sep, schema, encoding, tidy_up) for p in paths]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    broken = _has_open_quotes(lines)
+    reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", broken).option("escape", '"')
+    if plain:
+        reader = reader.option("header", True)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True).option(
             "preferDate", False).option("inferTimestamp", False)
         df = reader.csv(path)
+    elif broken:
+        df = _after_header(reader, path, cells)
     else:
-        names = _header_names(cells)
-        df = infer_types(_parse(lines.where(F.col("_line") > line), names, sep).drop("_line"))
+        df = table_of_lines(lines, sep)
     return tidy(df) if tidy_up else df
 
 
+def table_of_lines(lines, sep=","):
+    """A1: the table below the header that lines (``_line``, ``value``) hold, typed where every value allows it."""
+    head = _head(lines, sep)
+    line, cells = head[header_position([cells for _, cells in head])]
+    return infer_types(_parse(lines.where(F.col("_line") > line), _header_names(cells), sep).drop("_line"))
+
+
+def _has_open_quotes(lines):
+    """Whether some line holds an odd number of quotes, so that a value goes on in the next one."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return lines.where(quotes % 2 == 1).limit(1).count() > 0
+
+
+def _after_header(reader, path, cells):
+    """Rows below the header of one file whose values hold line breaks: such a file is read by one task, in order."""
+    names = _header_names(cells)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    rows = reader.schema(schema).option("mode", "PERMISSIVE").csv(path).withColumn("_line", F.monotonically_increasing_id())
+    same = reduce(lambda a, b: a & b, [F.coalesce(F.trim(F.col(f"c{i}")), F.lit("")) == c.strip() for i, c in enumerate(cells)])
+    start = rows.where(same).agg(F.min("_line")).first()[0]
+    return infer_types(rows.where(F.col("_line") > F.lit(start)).drop("_line").toDF(*names))
+
+
 def tidy(df, drop_all_unnamed=False):
     """A5: drop empty (or all) ``Unnamed`` columns, trim the names, drop rows without any value."""
     suspects = [c for c in df.columns if c.startswith("Unnamed") or c.startswith("_c") and c[2:].isdigit()]
@@ -172,7 +205,11 @@ def split_side_by_side(spark, path, sep=",", encoding=None):
 
     {key column (else Table_n): table}. The header is the first of ten lines with three or more texts.
     """
-    lines = numbered_lines(spark, path, encoding or detect_encoding(spark, path))
+    return tables_of_lines(numbered_lines(spark, path, encoding or detect_encoding(spark, path)), sep)
+
+
+def tables_of_lines(lines, sep=","):
+    """A6 over lines (``_line``, ``value``)."""
     head = _head(lines, sep)
     texts = lambda cells: sum(1 for v in cells if len(v.strip()) > 1 and not _is_number(v.strip()))
     header = next(((n, cells) for n, cells in head[:10] if texts(cells) >= 3), None)

@@ -30,6 +30,16 @@ def e1(spark, sf):
     return joined.drop("o_orderstatus", "o_orderdate", "o_orderpriority")
 
 
+@query("e1_null_and_hot_keys", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber < 5 THEN 1 ELSE l_suppkey END AS s_suppkey, s_name
+FROM lineitem LEFT JOIN supplier ON s_suppkey = CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber < 5 THEN 1 ELSE l_suppkey END""")
+def e1_hot(spark, sf):
+    fact = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber < 5 THEN 1 ELSE l_suppkey END AS s_suppkey")
+    dim = Dim(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_suppkey", name="supplier", keys=["s_suppkey"])
+    return star_join(fact, [dim])
+
+
 @query("e1_star_join_fan_out", """
 SELECT n_regionkey, count(*) AS rows, count(extra) AS matched, round(sum(s_acctbal), 2) AS balance
 FROM supplier LEFT JOIN (SELECT n_nationkey, n_regionkey, 'a' AS extra FROM nation WHERE n_nationkey < 20 UNION ALL

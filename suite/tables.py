@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import clean, features, gates, profile, roles
-from plumbline.sources import sinks
+from plumbline.sources import files, sinks
 from plumbline.sources.files import tidy
 from plumbline.functions.expr import ratio, rounded
 
@@ -64,6 +64,28 @@ def a10(spark, sf):
     return profile.export_summary(gaps(spark, sf), "2001-12-31")
 
 
+@query("a1_header_below_preamble", """
+SELECT l_orderkey AS order_key, l_linenumber AS line, l_extendedprice AS price, l_returnflag AS flag FROM lineitem""")
+def a1(spark, sf):
+    top = spark.createDataFrame([(0, "Sales report"), (1, "2001,7"), (2, "order_key,line,price,flag")], "_line bigint, value string")
+    body = table(spark, sf, "lineitem").selectExpr(
+        "monotonically_increasing_id() + 10 AS _line", "concat_ws(',', l_orderkey, l_linenumber, l_extendedprice, l_returnflag) AS value")
+    return files.table_of_lines(top.union(body))
+
+
+@query("a6_side_by_side", """
+SELECT 'customer_id' AS "table", c_custkey :: BIGINT AS key, c_mktsegment AS name FROM customer UNION ALL
+SELECT 'supplier_id', s_suppkey, s_name FROM supplier""")
+def a6(spark, sf):
+    left = table(spark, sf, "customer").selectExpr("c_custkey AS k", "concat_ws(',', c_custkey, c_mktsegment) AS l")
+    right = table(spark, sf, "supplier").selectExpr("s_suppkey AS k", "concat_ws(',', s_suppkey, s_name) AS r")
+    rows = left.join(right, "k", "full").selectExpr("k + 10 AS _line", "concat(coalesce(l, ','), ',,', coalesce(r, ',')) AS value")
+    top = spark.createDataFrame([(0, "customer_id,segment,,supplier_id,supplier")], "_line bigint, value string")
+    found = files.tables_of_lines(top.union(rows))
+    shape = lambda name, key, text: found[name].select(F.lit(name).alias("table"), F.col(key).alias("key"), F.col(text).alias("name"))
+    return shape("customer_id", "customer_id", "segment").union(shape("supplier_id", "supplier_id", "supplier"))
+
+
 @query("a12_raw_extract", f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS shipped
 FROM lineitem ORDER BY {', '.join(LINE_ORDER)}, l_extendedprice""")
@@ -155,6 +177,17 @@ def b5_samples(spark, sf):
     return profile.schema_profile(df, order_by=["ts"]).where("column <> 'ts'").select("column", "samples")
 
 
+@query("b7_answer_samples", SERIES_SQL + """, known AS (
+  SELECT 0 AS position, 'value' AS "column", ts, printf('%.3f', value) AS v FROM series WHERE value IS NOT NULL UNION ALL
+  SELECT 1, 'event_type', ts, event_type FROM series), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY ts) AS pos FROM known)
+SELECT "column", CASE WHEN position = 0 THEN 'SUM/AVG' ELSE 'GROUP BY/COUNT' END AS agg_hint, string_agg(v, ', ' ORDER BY pos) AS samples
+FROM ranked WHERE pos <= 3 GROUP BY ALL""")
+def b7_samples(spark, sf):
+    df = series(spark, sf).select("value", "event_type", "ts")
+    return profile.schema_answer(df, ["ts"]).where("column <> 'ts'").select("column", "agg_hint", "samples")
+
+
 @query("b7_schema_answer", "SELECT position, \"column\", type, dtype, null_pct, \"unique\", "
        "CASE WHEN type = 'Numeric' THEN 'SUM/AVG' ELSE 'GROUP BY/COUNT' END AS agg_hint FROM (" + _profile_sql() + ")")
 def b7(spark, sf):
@@ -249,7 +282,7 @@ def _column_gate_sql():
 
 @query("c3_column_missing_gate", f"SELECT \"column\", null_count, null_pct, status FROM ({_column_gate_sql()})")
 def c3(spark, sf):
-    return gates.column_gates(gaps(spark, sf)).select("column", "null_count", "null_pct", "status")
+    return gates.column_gates(gaps(spark, sf), warn=False).select("column", "null_count", "null_pct", "status")
 
 
 @query("c4_numeric_as_text", f"SELECT \"column\", numeric_share, null_pct <= 20 AND numeric_share > 0.7 AS warned "

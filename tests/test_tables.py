@@ -122,11 +122,26 @@ def test_star_join_fan_out_orphans_nulls_and_clashes(spark):
     assert (got["locations"]["keyed_rows"], got["locations"]["matched"], got["locations"]["type"]) == (3, 2, "many-to-one")
 
 
-def test_large_dimension_is_not_broadcast(spark):
+def test_size_of_a_dimension_is_left_to_spark(spark):
     fact, products, _ = shipments(spark)
-    dim = [Dim(products, "PID", name="products", keys=["PID"])]
-    hinted = lambda limit: "ResolvedHint" in star_join(fact, dim, limit=limit)._jdf.queryExecution().analyzed().toString()
-    assert hinted(1_000_000) and not hinted(10)
+    joined = star_join(fact, [Dim(products, "PID", name="products", keys=["PID"])])
+    assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
+
+
+def test_null_keys_do_not_meet_in_one_task(spark):
+    fact = spark.range(2000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN NULL ELSE 1 END AS k")
+    dim = spark.createDataFrame([(1, "a"), (None, "b")], "k int, name string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = star_join(fact, [Dim(dim, "k", name="d", keys=["k"])])
+        sizes = [r["count"] for r in joined.where("k IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+        assert joined.count() == 2000 and joined.where("name = 'a'").count() == 1000
+        assert joined.where("name = 'b'").count() == 0 and max(sizes) < 700
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
 
 
 def test_measures(spark):
