@@ -5,7 +5,7 @@ weights depend on how often the context v was seen, by powers of two, and are le
 for that are the training counts with the token itself deleted, over every training token: tokens are tallied by bucket and by quarter
 octaves of both estimates, a table of bounded size, and only that table reaches the driver.
 
-Texts are cut into batches of 16 MB; a batch numbers its words and keeps its tokens as packed arrays, stored once. Its distinct words and
+Texts are cut into batches of 8 MB; a batch numbers its words and keeps its tokens as packed arrays, stored once. Its distinct words and
 word pairs go, as sorted 64- and 56-bit hashes with their training counts, to shards of bounded size, which add up the counts of all
 batches and send each batch its own keys' totals. So a pair crosses the network once per batch, however frequent it is, and no count
 table is ever whole in one place. Two words share a count only if their 64-bit hashes agree.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.base import batch_of, buffers, column, packed, query, stored, table, unpacked
 from plumbline.llm.grams import fold
 
-BATCH_BYTES = 16 << 20
-SHARD_KEYS = 2 << 20
+BATCH_BYTES = 8 << 20
+SHARD_KEYS = 1 << 20
 PAIR_BITS = 56
 STEPS = 60
 OCTAVE = 4
