@@ -66,13 +66,15 @@ def pair_facts(df, pairs):
 
 
 def gram_pairs(df, columns):
-    """The same n and r for many columns: each task sums k x k products of its rows, Spark adds them up.
+    """The same n and r for many columns, by the same rules: each task sums k x k products of its rows, Spark adds them up.
 
     Values are centred on the column means first, so the subtraction of squares keeps its digits.
     """
     columns = list(columns)
-    means = df.agg(*[F.avg(finite(col(c))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    shifted = df.select(*[(finite(col(c)) - F.lit(float(means[i] or 0.0))).alias(f"v{i}") for i, c in enumerate(columns)])
+    known = first_pass(numbers(df, columns), columns)
+    means = [known[c]["sum"] / known[c]["n"] if known[c]["n"] else 0.0 for c in columns]
+    flat = F.array(*[F.lit(known[c]["lo"] == known[c]["hi"]) for c in columns])
+    shifted = df.select(*[(finite(col(c)) - F.lit(float(means[i]))).alias(f"v{i}") for i, c in enumerate(columns)])
     k = len(columns)
     left, right = np.triu_indices(k, 1)
 
@@ -93,13 +95,15 @@ def gram_pairs(df, columns):
     names = F.array(*[F.lit(c) for c in columns])
     return summed.select(
         F.get(names, F.col("i")).alias("col1"), F.get(names, F.col("j")).alias("col2"), n.cast("bigint").alias("n"),
-        F.when(spread > 0, (n * sxy - sx * sy) / F.nullif(spread, F.lit(0.0))).alias("r"))
+        F.when((spread > 0) & ~F.get(flat, F.col("i")) & ~F.get(flat, F.col("j")), F.greatest(F.lit(-1.0), F.least(
+            F.lit(1.0), (n * sxy - sx * sy) / F.nullif(spread, F.lit(0.0))))).alias("r"))
 
 
-def corr_pairs(df, columns=None):
-    """Every unordered pair in column order, pairwise complete."""
+def corr_pairs(df, columns=None, wide_from=WIDE_COLUMNS):
+    """Every unordered pair in column order, pairwise complete. More than ``wide_from`` columns are summed in Python tasks, as
+    compiled sums would take a scan for every few pairs; null, flat and rounding rules are the same."""
     columns = columns or numeric_columns(df)
-    if len(columns) > WIDE_COLUMNS:
+    if len(columns) > wide_from:
         base = gram_pairs(df, columns)
     else:
         base = pair_facts(df, list(combinations(columns, 2)))

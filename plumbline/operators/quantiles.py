@@ -1,7 +1,6 @@
 """Exact, linearly interpolated quantiles of many columns without shuffling or collecting the rows.
 
-Small inputs (by a checked count) use the built-in ``percentile``. Larger ones narrow each wanted order
-statistic by repeated scans. One scan sketches cut points close to either side of every target (bounded
+Each wanted order statistic is narrowed by repeated scans, at every size. One scan sketches cut points close to either side of every target (bounded
 sketches), the next counts how many values lie at each cut and between neighbouring cuts. Every target then
 sits either at a cut, which settles it, or in an open interval between two cuts that holds only a few
 ten-thousandths of the values, which is narrowed again until its checked count is small enough to sort. A
@@ -14,27 +13,24 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expr import chunks, col, finite
 
-EXACT_ROWS = 300_000
 INSIDE_ROWS = 10_000
 ACCURACY = 10_000
 COLUMNS_PER_SCAN = 50
 CUTS_PER_SCAN = 40
 
 
-def quantiles(df, columns, probabilities, mode="auto", exact_rows=EXACT_ROWS, inside_rows=INSIDE_ROWS):
+def quantiles(df, columns, probabilities, mode="auto", inside_rows=INSIDE_ROWS):
     """{column: [value per probability]}; None where the column has no finite value.
 
-    ``mode``: ``auto`` picks by row count, ``exact`` always uses the built-in, ``refine`` always narrows,
-    ``approx`` returns the sketch's answer.
+    ``mode``: ``auto`` and ``refine`` narrow, ``exact`` uses the built-in (which keeps every distinct value of a column
+    in memory), ``approx`` returns the sketch's answer.
     """
     columns, probabilities = list(columns), [float(p) for p in probabilities]
     if not columns:
         return {}
-    if mode == "auto":
-        mode = "exact" if df.count() <= exact_rows else "refine"
     found = {}
     for part in chunks(columns, COLUMNS_PER_SCAN):
-        if mode == "refine":
+        if mode in ("auto", "refine"):
             found.update(_refine(df, part, probabilities, inside_rows))
         else:
             found.update(_one_scan(df, part, probabilities, mode == "approx"))
@@ -73,6 +69,8 @@ def _refine(df, columns, probabilities, inside_rows):
             ranks = {f(p * (n - 1)) + 1 for p in probabilities for f in (math.floor, math.ceil)}
             cells.append({"column": c, "name": f"v{i}", "low": None, "high": None, "n": n,
                           "ranks": {r: r for r in ranks}, "cuts": first[f"s{i}"]["cuts"]})
+    _sort_small(df, [x for x in cells if x["n"] <= inside_rows], settled)
+    cells = [x for x in cells if x["n"] > inside_rows]
     while cells:
         cells = _count_between_cuts(df, cells, settled)
         _sort_small(df, [x for x in cells if x["n"] <= inside_rows], settled)

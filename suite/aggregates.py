@@ -337,7 +337,7 @@ def g12(spark, sf):
 
 @query("g12_correlations_gram", _PAIRS + " SELECT * FROM pairs")
 def g12_gram(spark, sf):
-    return assoc.gram_pairs(mixed(spark, sf), MIXED).withColumn("r", F.round("r", 4))
+    return assoc.corr_pairs(mixed(spark, sf), MIXED, wide_from=0)
 
 
 @query("g12_correlation_matrix", _PAIRS + " SELECT col1, col2, r FROM pairs UNION ALL SELECT col2, col1, r FROM pairs UNION ALL "
@@ -487,7 +487,9 @@ SELECT 'wild' AS "column", round(avg(wild), 3) AS mean, round(any_value(q2), 3)
  round(max(wild), 3) AS max, round(any_value(q1), 3) AS q1, round(any_value(q3), 3) AS q3, round(any_value(q3 - q1), 3) AS iqr, round(skewness(wild), 3) AS skewness,
  CASE WHEN skewness(wild) > 0.5 THEN 'Right-skewed' WHEN skewness(wild) < -0.5 THEN 'Left-skewed' ELSE 'Approximately symmetric' END AS shape,
  count(*) FILTER (WHERE wild < q1 - 1.5 * (q3 - q1) OR wild > q3 + 1.5 * (q3 - q1)) AS outliers,
- round(count(*) FILTER (WHERE wild < q1 - 1.5 * (q3 - q1) OR wild > q3 + 1.5 * (q3 - q1)) / count(wild) * 100, 1) AS outlier_pct FROM a, q""")
+ round(count(*) FILTER (WHERE wild < q1 - 1.5 * (q3 - q1) OR wild > q3 + 1.5 * (q3 - q1)) / count(wild) * 100, 1) AS outlier_pct,
+ round(exp(-count(wild) / 12 * (pow(skewness(wild) * (count(wild) - 2) / sqrt(count(wild) * (count(wild) - 1)), 2) + pow(kurtosis_pop(wild), 2) / 4)), 6) AS normal_p,
+ exp(-count(wild) / 12 * (pow(skewness(wild) * (count(wild) - 2) / sqrt(count(wild) * (count(wild) - 1)), 2) + pow(kurtosis_pop(wild), 2) / 4)) > 0.05 AS is_normal FROM a, q""")
 def g27(spark, sf):
     return ask.distribution_answer(fenced(spark, sf), "wild")
 
