@@ -29,16 +29,18 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that has an edge and is not itself the root; the root is the smallest node. Edges are (u, v) of one
-    type. A hot node's edges meet only in joins and minima, which Spark splits and pre-aggregates. Each round is a stored table."""
+    type. A hot node's edges meet only in minima, which are pre-aggregated, and in joins of stored tables, which Spark splits. Each round
+    is a stored table."""
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = _mark(now)
     for _ in range(most_rounds):
         if not mark[0]:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large)
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         now = stored(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         before, mark = mark, _mark(now)
