@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.expr import col, date_columns, finite, number, numbers, numeric_columns, ratio, rounded, text_columns
+from plumbline.functions.expr import col, date_columns, number, numbers, numeric_columns, ratio, rounded, text_columns
 from plumbline.functions.names import NON_NEGATIVE_WORDS_LONG, PERCENTAGE_WORDS, has_word
 from plumbline.operators.stats import per_column, union_all
 
