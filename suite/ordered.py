@@ -283,8 +283,11 @@ def i10(spark, sf):
     return insights.key_metrics(_classic_statistics(fenced(spark, sf), _PLAIN))
 
 
-@query("i10_report_counts", """SELECT 'rows' AS item, count(*) AS count FROM events UNION ALL SELECT 'features', 8 FROM events WHERE event_id = 0 UNION ALL
-SELECT 'issues', 0 UNION ALL SELECT 'insights_high', 1 UNION ALL SELECT 'insights_medium', 0 UNION ALL SELECT 'insights_low', 0""")
+@query("i10_report_counts", _RANKED + """ SELECT 'rows' AS item, (SELECT count(*) FROM series) AS count UNION ALL
+SELECT 'features', (SELECT 2 * (count(*) >= 3) :: INT + 2 * (count(*) >= 5) :: INT + (min(drift) > 0 AND abs(avg(value)) / greatest(abs(avg(drift)), 0.001) <= 100) :: INT
+ + (stddev_samp(value) > 0) :: INT + (stddev_samp(drift) > 0) :: INT + 1 FROM series) UNION ALL
+SELECT 'issues', (SELECT (min(value) = max(value)) :: INT + ((2 * count(*) - count(value) - count(event_type)) / (2 * count(*)) >= 0.05) :: INT FROM series) UNION ALL
+SELECT concat('insights_', p), (SELECT count(*) FROM k WHERE subject = 'drift' AND priority = p) FROM (VALUES ('high'), ('medium'), ('low')) v(p)""")
 def i10_counts(spark, sf):
     df = series(spark, sf)
     lines = trend.line_facts(df, ["drift"], ["ts"])
