@@ -213,7 +213,8 @@ def learn(rows: DataFrame) -> Model:
     chosen = np.argsort(-tells, kind="stable")[: min(FEATURES, int((tells > 0).sum()))]
     grams = Grams(gram[chosen])
     sent = spark.sparkContext.broadcast(grams)
-    sample = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) if sum(sizes.values()) > SAMPLE_ROWS else once
+    sampled = first.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)  # ids alone pass through the one task
+    sample = rows.join(F.broadcast(sampled), ["doc_id", "y"], "left_semi")
     examples = sample.select("y", "text").mapInArrow(lambda b: _examples(b, sent), SAMPLE).toArrow()
     weights = fit(examples["y"].to_numpy().astype(float), examples["features"].to_pylist(), examples["swaps"].to_pylist(), grams.size)
     return Model(grams, weights)
