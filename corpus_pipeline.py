@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontaminate as benchmark_passages
-from plumbline.llm import exact_dedup, packing, quality, simhash
+from plumbline.llm import exact_dedup, packing, quality, similar, simhash  # noqa: F401
 from plumbline.llm.base import stored, table
 
 
@@ -20,7 +20,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return similar.drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

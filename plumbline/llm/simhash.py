@@ -34,23 +34,31 @@ BLOCK = 2048
 EVEN = np.uint64(0x5555555555555555)
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> bytes:
-    """Eight bytes, highest bit first."""
+def shingle_hashes(text: bytes, words: int = WORDS) -> bytes:
+    """Eight bytes per shingle, highest bit first."""
     found = text.lower().split()
     n = len(found)
     if not n:
-        return bytes(8)
+        return b""
     line, width = b" ".join(found), min(words, n)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)])
+    return b"".join([digest(line[a:b], SEED) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)])
+
+
+def fingerprint_of(hashes: bytes) -> bytes:
+    """Eight bytes, highest bit first."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 8 * 65536):
         counts += np.unpackbits(np.frombuffer(hashes[k : k + 8 * 65536], np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > len(hashes) // 8).tobytes()
 
 
+def fingerprint(text: bytes, words: int = WORDS) -> bytes:
+    return fingerprint_of(shingle_hashes(text, words))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The batch, its text replaced by the fingerprint."""
     for batch in batches:

@@ -1,0 +1,156 @@
+"""Near copies by word-shingle similarity: every link is confirmed by the exact Jaccard index of the two texts' shingle sets.
+
+Candidates come from two sources. The fingerprints of `simhash` link texts within its radius, on shingles of the same length as here.
+As 64 bits part a pair of similarity 0.8 by some ten bits, which no radius of a selective grid covers, each shingle set also has
+BANDS x ROWS least hashes; sets whose least hashes agree throughout a band share a bucket. A pair of similarity s is missed by all
+buckets with probability (1 - s**ROWS)**BANDS: 7e-6 at 0.8, less above.
+
+A bucket's members are compared with one pivot first, and what is linked becomes one component; then, where a bucket still spans several
+components, with a second pivot; last, all its pairs from different components. So near copies alike to
+a pivot cost a comparison each, but a large bucket whose rows stay in several components costs its pairs, which grow with its square.
+No pair of a bucket is left out unless it is linked already. Texts are lowered and split as in `simhash`; repeats within a
+text count once; a text of fewer words than a shingle is one shingle.
+
+Null and empty texts have no shingles and are alike. Rows may repeat. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.llm.base import batch_of, buffers, numbered, stored
+from plumbline.llm.components import components
+from plumbline.llm.simhash import EDGE, RADIUS, fingerprint_of, near_links, shingle_hashes
+
+WORDS = 5
+LEAST = 0.8
+BANDS = 30
+ROWS = 5
+PIVOTS = 2
+_RNG = np.random.default_rng(11)
+FLIP, TIMES = (_RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+MIX = _RNG.integers(0, 1 << 63, (1, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+BAND = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
+
+
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    """BANDS bucket numbers of a text's shingle hashes."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for k in range(0, hashes.size, 2048):
+        mixed = hashes[k : k + 2048] ^ FLIP
+        mixed *= TIMES
+        np.minimum(least, mixed.min(axis=1), out=least)
+    return (((least ^ least >> np.uint64(29)).reshape(BANDS, ROWS) * MIX).sum(axis=1, dtype=np.uint64) ^ BAND).view(np.int64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints, keys = [], []
+        for text in buffers(batch.column("text")):
+            hashes = shingle_hashes(text or b"", words)
+            prints.append(fingerprint_of(hashes))
+            keys.append(buckets(np.unique(np.frombuffer(hashes, np.uint64))))
+        fps = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))
+        ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+        listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), fps, listed], names=["rid", "fp", "keys"])
+
+
+def shingles(text: bytes, words: int) -> set[bytes]:
+    found = text.lower().split()
+    return {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def alike(a: set, b: set, least: float) -> bool:
+    """Whether the Jaccard index is at least `least`; two empty sets are alike."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large - 1e-9:
+        return False
+    both = len(a & b)
+    return both >= least * (small + large - both) - 1e-9
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], words: int, least: float) -> Iterator[pa.RecordBatch]:
+    now, seen = None, set()
+    for batch in batches:
+        u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
+        good = []
+        for i, (mine, its) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
+            if v[i] != now:
+                now, seen = v[i], shingles((its.as_py() or "").encode(), words)
+            good.append(alike(shingles((mine.as_py() or "").encode(), words), seen, least))
+        yield batch_of(EDGE, *([x for x, g in zip(ids, good, strict=True) if g] for ids in (u, v)))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """The pairs (u, v) of row numbers whose texts (rid, text) are alike."""
+    mine, its = texts.select(F.col("rid").alias("u"), F.col("text").alias("a")), texts.select(F.col("rid").alias("v"), F.col("text").alias("b"))
+    both = pairs.join(mine, "u").join(its, "v").select("u", "v", "a", "b")
+    return stored(both.mapInArrow(lambda b: _confirmed(b, words, least), "u long, v long"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return stored(rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+
+
+def _fingerprint_pairs(sketches: DataFrame, radius: int) -> DataFrame:
+    """Rows of one fingerprint with the first of them, and the first rows of linked fingerprints."""
+    first = stored(sketches.groupBy("fp").agg(F.min("rid").alias("first")))
+    same = sketches.join(first, "fp").select(F.col("rid").alias("u"), F.col("first").alias("v"))
+    side = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
+    links = near_links(first.select("fp"), radius).distinct().join(side("u"), "u").join(side("v"), "v")
+    return same.union(links.select(F.col("u_first").alias("u"), F.col("v_first").alias("v")))
+
+
+def similar_rows(rows: DataFrame, words: int = WORDS, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
+    """(node, root) of every row of `rows` (a stored table of rid, text) that is linked and not the first of its component."""
+    sketches = stored(rows.mapInArrow(lambda b: _sketches(b, words), "rid long, fp long, keys array<long>"))
+    members = sketches.select("rid", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("pivot"), F.bit_xor(F.xxhash64("rid")).alias("who")).filter("n > 1")
+    shared = shared.groupBy("n", "pivot", "who").agg(F.min("key").alias("key"))  # bands that gather the same rows count once
+    held = stored(members.join(shared, "key").select("key", "rid", "pivot"))
+    star = held.select(F.col("rid").alias("u"), F.col("pivot").alias("v"))
+    pairs = _pairs(star.union(_fingerprint_pairs(sketches, radius)))
+    needed = held.select("rid").union(pairs.select("u")).union(pairs.select("v")).distinct()
+    texts = stored(rows.join(needed, "rid", "left_semi"))
+    edges = confirmed(pairs, texts, words, least)
+    root = components(edges)
+    held = held.filter("rid <> pivot").select("key", "rid")
+    for step in range(1, PIVOTS + 1):
+        placed = held.join(root, F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))
+        placed = stored(placed)
+        chosen = F.min(F.struct(F.xxhash64("rid", F.lit(step)).alias("h"), "rid", "root")).alias("pivot")
+        spans = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), chosen).filter("low <> high").select("key", "pivot")
+        held = stored(placed.join(spans, "key"))
+        if held.isEmpty():
+            break
+        if step < PIVOTS:
+            new = held.filter("root <> pivot.root").select(F.col("rid").alias("u"), F.col("pivot.rid").alias("v"))
+        else:
+            other = held.select("key", F.col("rid").alias("v"), F.col("root").alias("other"))
+            new = held.join(other, "key").filter("root <> other AND rid > v").select(F.col("rid").alias("u"), "v")
+        edges = edges.union(confirmed(_pairs(new), texts, words, least))
+        root = components(edges)
+        held = held.filter("rid <> pivot.rid").select("key", "rid")
+    return root
+
+
+def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with all its columns: the smallest id, null last, then the first stored."""
+    kept = numbered(docs)
+    root = stored(similar_rows(kept.select("rid", column_of(docs, text, "string").alias("text")), words, least, radius))
+    grouped = root.union(root.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "rid")
+    ids = kept.select("rid", column_of(docs, doc_id, "long").alias("doc_id")).join(grouped, "rid")
+    first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first"))
+    gone = grouped.join(first.select(F.col("first.rid").alias("rid")), "rid", "left_anti").select("rid")
+    return kept.join(gone, "rid", "left_anti").select("row.*")
+
+
+def column_of(docs: DataFrame, name: str, kind: str):
+    """A column of numbered rows, or nulls where the table has none."""
+    return (F.col(f"row.`{name}`") if name in docs.columns else F.lit(None)).cast(kind)

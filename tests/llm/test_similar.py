@@ -1,0 +1,70 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from plumbline.llm import similar
+
+
+def jaccard(a, b):
+    a, b = (similar.shingles(x.encode(), 5) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.fixture(scope="module")
+def pairs(prose):
+    """Pairs at 0.80 to 0.95 and just below 0.8: words are replaced, spread over the text, until the similarity is the least one at or above the mark."""
+    rnd, rows = random.Random(8), []
+    for k, (low, high) in enumerate([(0.80, 0.82), (0.85, 0.87), (0.90, 0.92), (0.95, 0.97), (0.76, 0.799)]):
+        for i in range(40):
+            base = prose(50_000 + 100 * k + i, 500).split()
+            for tries in range(10_000):
+                other = list(base)
+                for place in rnd.sample(range(500), rnd.randint(1, 20)):
+                    other[place] = "zz"
+                if low <= jaccard(" ".join(base), " ".join(other)) < high:
+                    break
+            rows.append((k, " ".join(base), " ".join(other)))
+    return rows
+
+
+def test_pairs_at_and_above_the_threshold_are_linked(spark, pairs, tmp_path):
+    rows = [(2 * i + side, p[1 + side], "en") for i, p in enumerate(pairs) for side in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
+    found = [sum(2 * i + 1 not in kept for i, p in enumerate(pairs) if p[0] == k) for k in range(5)]
+    assert found == [40, 40, 40, 40, 0]
+    assert {2 * i for i in range(len(pairs))} <= kept
+
+
+def test_a_common_line_links_nothing(spark, prose, tmp_path):
+    rows = [(i, " ".join([prose(1, 30)] * 200 + [prose(900 + i, 60)])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).count() == 30
+
+
+def test_components_are_those_of_brute_force(spark, prose, awkward, nothing):
+    rnd, rows = random.Random(4), []
+    for i in range(12):
+        words = prose(7_000 + i, 150).split()
+        for _ in range(15):
+            words = list(words)
+            words[rnd.randrange(150)] = rnd.choice(["one", "two"])
+            words[rnd.randrange(150)] = "three"
+            rows.append((len(rows), " ".join(words)))
+    rnd.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs in (frame.repartition(4), awkward):
+        have = [(r.doc_id, similar.shingles((r.text or "").encode(), 5)) for r in docs.collect()]
+        label = list(range(len(have)))
+        for i in range(len(have)):
+            for j in range(i):
+                if label[i] != label[j] and similar.alike(have[i][1], have[j][1], 0.8):
+                    label = [label[j] if x == label[i] else x for x in label]
+        groups = {}
+        for (doc_id, _), x in zip(have, label, strict=True):
+            groups.setdefault(x, []).append((doc_id is None, doc_id or 0, doc_id))
+        kept = similar.drop_similar(docs)
+        assert kept.schema.simpleString() == docs.schema.simpleString()
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(min(g)[2]) for g in groups.values())
+    assert similar.drop_similar(nothing).count() == 0
