@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +29,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared folder of `spark.checkpoint.dir`; a temporary folder only where that is unset (one machine)."""
+_own = ""
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which all executors share. Where that is unset, a temporary folder of this process if the
+    master is local, else an error: executors of a cluster would not see it."""
+    global _own
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex[:12]}"
+    if top:
+        return top.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    _own = _own or tempfile.mkdtemp(prefix="plumbline-")
+    return _own
+
+
+def scratch(spark: SparkSession, note: bool = True) -> str:
+    """A new folder name in the shared folder."""
+    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex[:12]}"
+    if note and _registries:
+        _registries[-1].append(path)
+    return path
+
+
+_registries: list[list[str]] = []
+
+
+@contextmanager
+def stage_tables(spark: SparkSession):
+    """Within the block, tables made by `stored` are noted and deleted at its end. What the block returns must be written by then."""
+    _registries.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _registries.pop():
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` with its partitions as they are, cut from its lineage by reliable files in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, note: bool = True) -> DataFrame:
     """Write `df` once to the shared folder and read it back: later plans start at the files, whatever executors are lost."""
-    path = scratch(df.sparkSession)
+    path = scratch(df.sparkSession, note)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -52,10 +52,10 @@ def _rank(n_cp, doc_id, uid):
     return (-n_cp, LAST if doc_id is None else doc_id, uid)
 
 
-def _grouped(unit: pa.Table, uids: range):
+def _grouped(unit: pa.Table, uids: range, body: pa.Array):
     """Chains of equal texts in one unit: (digest, rows of the group, its best row) each; the group number of each row."""
-    texts = [x or b"" for x in buffers(unit["text"].chunk(0))]
-    lengths = pc.fill_null(pc.utf8_length(unit["text"].chunk(0)), 0).to_pylist()
+    texts = [x or b"" for x in buffers(body)]
+    lengths = pc.fill_null(pc.utf8_length(body), 0).to_pylist()
     ids = unit["id"].to_pylist()
     chains: dict[bytes, list[int]] = {}
     groups, of_row = [], np.empty(len(texts), np.int64)
@@ -87,7 +87,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = 0
     for unit in _units(batches):
         uids = range(first + row, first + row + unit.num_rows)
-        groups, of_row, texts, lengths, ids = _grouped(unit, uids)
+        groups, of_row, texts, lengths, ids = _grouped(unit, uids, unit["text"].chunk(0))
         gid = (of_row + uids[0]).tolist() if unit.num_rows else []
         n, none = len(ids), [None] * len(ids)
         yield batch_of(ENTRY_SCHEMA, gid, none, [0] * n, none, ids, list(uids), none, none)
@@ -100,13 +100,18 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row += unit.num_rows
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index entries that carry the whole best row."""
+def _body(row: pa.Array, at: int | None) -> pa.Array:
+    """The text in a column of whole rows; null where the table has none."""
+    return pa.nulls(len(row), pa.string()) if at is None else row.field(at).cast(pa.string())
+
+
+def _rows(batches: Iterator[pa.RecordBatch], at: int | None) -> Iterator[pa.RecordBatch]:
+    """Index entries that carry the whole best row; its text is in the row only."""
     first = TaskContext.get().partitionId() << 33
     row = 0
     for unit in _units(batches):
         uids = range(first + row, first + row + unit.num_rows)
-        groups, _, _, lengths, ids = _grouped(unit, uids)
+        groups, _, _, lengths, ids = _grouped(unit, uids, _body(unit["row"].chunk(0), at))
         for k in range(0, len(groups), 2000):
             part = groups[k : k + 2000]
             best = [g[2] for g in part]
@@ -114,7 +119,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = {
                 "key": pa.array([_key(g[0]) for g in part], pa.int64()), "n_cp": pa.array([lengths[b] for b in best], pa.int32()),
                 "id": pa.array([ids[b] for b in best], pa.int64()), "uid": pa.array([uids[b] for b in best], pa.int64()),
-                "text": taken["text"].chunk(0), "row": taken["row"].chunk(0)}
+                "row": taken["row"].chunk(0)}
             yield pa.RecordBatch.from_pydict(columns)
         row += unit.num_rows
 
@@ -151,13 +156,13 @@ def _with_bucket(pages: DataFrame, capacity: int) -> DataFrame:
     return pages.withColumn("slot", slot(bits)).join(F.broadcast(listed), "slot").drop("slot")  # the directory has a fixed bound
 
 
-def _chains(batches: Iterator[pa.RecordBatch], body: str):
-    """Entries of one key at a time, chained by equal bytes: lists of (table, row) per distinct text."""
+def _chains(batches: Iterator[pa.RecordBatch], body):
+    """Entries of one key at a time, chained by equal bytes of body(batch): lists of (table, row) per distinct text."""
     held: list[list] = []
     now = None
     for batch in batches:
         keys = batch.column("key").to_numpy()
-        texts = buffers(batch.column(body))
+        texts = buffers(body(batch))
         for i, key in enumerate(keys.tolist()):
             if key != now:
                 if held:
@@ -180,7 +185,7 @@ OWNED_SCHEMA = pa.schema([("gid", pa.int64()), ("keep_id", pa.int64()), ("keep_u
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
-    for key in _chains(batches, "body"):
+    for key in _chains(batches, lambda b: b.column("body")):
         for _, members in key:
             facts = [tuple(b.column(c)[i].as_py() for c in ("gid", "size", "n_cp", "id", "uid", "sha")) for b, i in members]
             best = min(facts, key=lambda f: _rank(f[2], f[3], f[4]))
@@ -193,8 +198,8 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(OWNED_SCHEMA, *zip(*out, strict=True))
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key in _chains(batches, "text"):
+def _keep(batches: Iterator[pa.RecordBatch], at: int | None) -> Iterator[pa.RecordBatch]:
+    for key in _chains(batches, lambda b: _body(b.column("row"), at)):
         for _, members in key:
             b, i = min(members, key=lambda m: _rank(*(m[0].column(c)[m[1]].as_py() for c in ("n_cp", "id", "uid"))))
             yield pa.RecordBatch.from_arrays([b.column("row").slice(i, 1)], names=["row"])
@@ -214,18 +219,14 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """The rows that stay, with all their columns; the index entries carry the rows, so nothing is joined back."""
-    flat = docs.select(column(docs, doc_id, "long").alias("id"), column(docs, text, "string").alias("text"), whole_row(docs).alias("row"))
-    pages = stored(flat.mapInArrow(_rows, _entry_type(flat)))
-    kept = _by_owner(pages, capacity).mapInArrow(_keep, pages.select("row").schema)
+    flat = docs.select(column(docs, doc_id, "long").alias("id"), whole_row(docs).alias("row"))
+    at = docs.columns.index(text) if text in docs.columns else None
+    kind = T.StructType([T.StructField(c, t) for c, t in (("key", T.LongType()), ("n_cp", T.IntegerType()), ("id", T.LongType()), ("uid", T.LongType()), ("row", flat.schema["row"].dataType))])
+    pages = stored(flat.mapInArrow(lambda b: _rows(b, at), kind))
+    kept = _by_owner(pages, capacity).mapInArrow(lambda b: _keep(b, at), pages.select("row").schema)
     return kept.select("row.*")
 
 
-def _entry_type(flat: DataFrame):
-    return T.StructType([
-        T.StructField("key", T.LongType()), T.StructField("n_cp", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("uid", T.LongType()),
-        T.StructField("text", T.StringType()), T.StructField("row", flat.schema["row"].dataType)])
-
-
 @query("op8_exact_dedup", """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
 g AS (SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,

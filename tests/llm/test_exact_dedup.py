@@ -57,5 +57,5 @@ def test_directory_splits_until_buckets_fit():
 def test_one_key_with_different_bytes_is_chained():
     texts = [b"one", b"two", b"o ne", b"two"]
     batch = pa.RecordBatch.from_pydict({"key": pa.array([7] * 4, pa.int64()), "body": pa.array(texts, pa.binary())})
-    (key,) = e._chains(iter([batch.slice(0, 2), batch.slice(2)]), "body")
+    (key,) = e._chains(iter([batch.slice(0, 2), batch.slice(2)]), lambda b: b.column("body"))
     assert [(norm, len(members)) for norm, members in key] == [(b"one", 2), (b"two", 2)]
