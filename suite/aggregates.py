@@ -518,16 +518,17 @@ def g29(spark, sf):
     return assoc.correlation_answer(assoc.corr_pairs(mixed(spark, sf), MIXED), "price_k")
 
 
+_MISSING = "count(*) - count({c}), ' missing (', printf('%.1f', round((count(*) - count({c})) / count(*) * 100, 1)), '%)'"
+_SPAN = "'Numbers from ', format('{{:,.2f}}', min({c})), ' to ', format('{{:,.2f}}', max({c})), ', mean ', format('{{:,.2f}}', avg({c})), ', '"
+
+
 @query("g30_overview", GAPS_SQL + """ SELECT 'rows' AS item, CAST(count(*) AS VARCHAR) AS value FROM gaps UNION ALL SELECT 'columns', '3' UNION ALL
 SELECT 'numeric_columns', 'l_quantity, price_k' UNION ALL SELECT 'categorical_columns', 'flag_gap' UNION ALL
 SELECT 'completeness', printf('%.2f%%', round((1 - (2 * count(*) - count(price_k) - count(flag_gap)) / (3 * count(*))) * 100, 2)) FROM gaps UNION ALL
-SELECT 'column flag_gap', concat('Categorical — ', count(DISTINCT flag_gap), ' unique values, most common: ''',
- (SELECT flag_gap FROM gaps WHERE flag_gap IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), ''', ', count(*) - count(flag_gap), ' missing (',
- printf('%.1f', round((count(*) - count(flag_gap)) / count(*) * 100, 1)), '%)') FROM gaps UNION ALL
-SELECT 'column l_quantity', concat('Numeric — range [', printf('%.2f', min(l_quantity)), ', ', printf('%.2f', max(l_quantity)), '], mean=', printf('%.2f', avg(l_quantity)),
- ', 0 missing (0.0%)') FROM gaps UNION ALL
-SELECT 'column price_k', concat('Numeric — range [', printf('%.2f', min(price_k)), ', ', printf('%.2f', max(price_k)), '], mean=', printf('%.2f', avg(price_k)),
- ', ', count(*) - count(price_k), ' missing (', printf('%.1f', round((count(*) - count(price_k)) / count(*) * 100, 1)), '%)') FROM gaps""")
+SELECT 'column flag_gap', concat('Category of ', count(DISTINCT flag_gap), ' values, most often ',
+ (SELECT flag_gap FROM gaps WHERE flag_gap IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), ', ', """ + _MISSING.format(c="flag_gap") + """) FROM gaps UNION ALL
+SELECT 'column l_quantity', concat(""" + _SPAN.format(c="l_quantity") + ", " + _MISSING.format(c="l_quantity") + """) FROM gaps UNION ALL
+SELECT 'column price_k', concat(""" + _SPAN.format(c="price_k") + ", " + _MISSING.format(c="price_k") + """) FROM gaps""")
 def g30(spark, sf):
     return profile.overview(gaps(spark, sf).select("l_quantity", "price_k", "flag_gap"))
 
