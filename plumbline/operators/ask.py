@@ -7,6 +7,7 @@ from plumbline.functions import text_rules
 from plumbline.functions.expr import col, finite, numbers, numeric_columns, rounded, text_columns
 from plumbline.operators.profile import distinct_counts
 from plumbline.operators.quantiles import quantiles
+from plumbline.operators.ranks import medians
 from plumbline.operators.stats import facts, iqr_outliers, per_column
 
 # Aggregates by name. Medians are exact; ``group_agg`` has its own plan for them (see there).
@@ -21,38 +22,11 @@ def group_agg(df, value, by, how="mean", k=20, descending=True):
     """One aggregate of a number by a category, best (or worst) groups first."""
     key, v = col(by).cast("string").alias("group"), finite(col(value)).alias("v")
     rows = df.select(key, v).where(F.col("group").isNotNull())
-    grouped = _group_medians(rows) if how == "median" else rows.groupBy("group").agg(AGGREGATES[how](F.col("v")).alias("value"))
+    grouped = medians(rows, ["group"]) if how == "median" else rows.groupBy("group").agg(AGGREGATES[how](F.col("v")).alias("value"))
     named = grouped.where("value IS NOT NULL").select("group", rounded(F.col("value"), 3).alias("value"), F.col("value").alias("_v"))
     return named.orderBy(F.desc("_v") if descending else F.asc("_v"), "group").drop("_v").limit(k)
 
 
-def _group_medians(rows, slices=256):
-    """Exact medians of any group size: value counts, then totals per slice of the group's value range.
-
-    A group is cut at its sketched quantiles, so no task sorts more than a slice of it, however large it is;
-    only the slices that hold the middle are sorted.
-    """
-    counted = rows.where("v IS NOT NULL").groupBy("group", "v").count()
-    cuts = rows.groupBy("group").agg(
-        F.percentile_approx("v", [i / slices for i in range(1, slices)], 4 * slices).alias("cuts"))
-    placed = counted.join(cuts, "group").select(
-        "group", "v", "count", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("slice"))
-    sizes = placed.groupBy("group", "slice").agg(F.sum("count").alias("held"))
-    running = Window.partitionBy("group").orderBy("slice")
-    everything = Window.partitionBy("group")
-    spans = sizes.select(
-        "group", "slice", (F.sum("held").over(running) - F.col("held")).alias("before"), "held",
-        F.sum("held").over(everything).alias("n"))
-    low, high = F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")
-    middle = spans.where((low <= F.col("before") + F.col("held")) & (high > F.col("before")))
-    inside = Window.partitionBy("group", "slice").orderBy("v")
-    ranked = placed.join(middle.select("group", "slice", "before", "n"), ["group", "slice"]).withColumn(
-        "upto", F.col("before") + F.sum("count").over(inside))
-    covers = lambda rank: (rank <= F.col("upto")) & (rank > F.col("upto") - F.col("count"))
-    return ranked.groupBy("group").agg(
-        ((F.max(F.when(covers(low), F.col("v"))) + F.max(F.when(covers(high), F.col("v")))) / 2).alias("value"))
-
-
 def single_agg(df, value, how="mean"):
     """One number with how many values it used and how many nulls it left out."""
     v = finite(col(value))

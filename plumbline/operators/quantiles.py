@@ -1,7 +1,7 @@
 """Exact, linearly interpolated quantiles of many columns without shuffling or collecting the rows.
 
-Each wanted order statistic is narrowed by repeated scans, at every size. One scan sketches cut points close to either side of every target (bounded
-sketches), the next counts how many values lie at each cut and between neighbouring cuts. Every target then
+Each wanted order statistic is narrowed by repeated scans of all columns, at every size. One scan sketches cut points close to either side of every
+target (bounded sketches), the next counts how many values lie at each cut and between neighbouring cuts, in one array per task. Every target then
 sits either at a cut, which settles it, or in an open interval between two cuts that holds only a few
 ten-thousandths of the values, which is narrowed again until its checked count is small enough to sort. A
 value that repeats billions of times becomes a cut, so skew ends the search instead of prolonging it.
@@ -9,14 +9,15 @@ value that repeats billions of times becomes a cut, so skew ends the search inst
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import chunks, col, finite
 
 INSIDE_ROWS = 10_000
 ACCURACY = 10_000
-COLUMNS_PER_SCAN = 50
-CUTS_PER_SCAN = 40
+COLUMNS_PER_SCAN = 200
 
 
 def quantiles(df, columns, probabilities, mode="auto", inside_rows=INSIDE_ROWS):
@@ -106,13 +107,15 @@ def _sketch_cuts(df, cells):
 
 
 def _count_between_cuts(df, cells, settled):
-    """One counting scan: position 2i is the gap below cut i, position 2i + 1 is cut i itself."""
+    """One counting scan for all cells: position 2i is the gap below cut i, position 2i + 1 is cut i itself."""
     for x in cells:
         x["cuts"] = sorted(set(x["cuts"]))
-    counted = [r for part in _by_cuts(cells) for r in _places(df, part)]
+    counted = {}
+    for r in _places(df, cells).collect():  # at most 2 * cuts + 1 positions per cell
+        counted.setdefault(r["cell"], []).append((r["place"], r["count"]))
     narrowed = {}
     for i, x in enumerate(cells):
-        held = sorted((r["place"], r["count"]) for r in counted if r["cell"] == i)
+        held = sorted(counted[i])
         for original, rank in x["ranks"].items():
             passed = 0
             for place, count in held:
@@ -131,27 +134,32 @@ def _count_between_cuts(df, cells, settled):
     return list(narrowed.values())
 
 
-def _by_cuts(cells):
-    """Numbered cells in groups small enough for compiled comparisons; a scan reads only its own columns."""
-    groups, room = [], 0
-    for i, x in enumerate(cells):
-        if room < len(x["cuts"]):
-            groups.append([])
-            room = CUTS_PER_SCAN
-        groups[-1].append((i, x))
-        room -= len(x["cuts"])
-    return groups
-
-
-def _places(df, numbered):
-    positions = []
-    for i, x in numbered:
-        steps = "".join(f" + int({x['name']} >= {c!r}D) + int({x['name']} > {c!r}D)" for c in x["cuts"])
-        positions.append(f"struct({i} AS cell, CASE WHEN ({_inside(x)}) IS NOT NULL THEN 0{steps} END AS place)")
-    return (
-        df.selectExpr(f"explode(array({', '.join(positions)})) AS p").select("p.*").where("place IS NOT NULL")
-        .groupBy("cell", "place").count().collect()
-    )
+def _places(df, cells):
+    """cell, place, count: each task finds the places of its values by binary search and adds them up in one array per cell."""
+    names = list(dict.fromkeys(x["name"] for x in cells))
+    wanted = [(x["name"], x["low"], x["high"], np.array(x["cuts"], float)) for x in cells]
+
+    def count(batches):
+        totals = [np.zeros(2 * len(cuts) + 1, np.int64) for _, _, _, cuts in wanted]
+        for batch in batches:
+            known = {}
+            for total, (name, low, high, cuts) in zip(totals, wanted):
+                if name not in known:
+                    known[name] = batch.column(names.index(name)).drop_null().to_numpy(zero_copy_only=False)
+                v = known[name]
+                if low is not None:
+                    v = v[v > low]
+                if high is not None:
+                    v = v[v < high]
+                place = np.searchsorted(cuts, v, "left") + np.searchsorted(cuts, v, "right")
+                total += np.bincount(place, minlength=total.size)
+        cell = np.repeat(np.arange(len(totals), dtype=np.int32), [t.size for t in totals])
+        place = np.concatenate([np.arange(t.size, dtype=np.int32) for t in totals])
+        flat = np.concatenate(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(a[flat > 0]) for a in (cell, place, flat)], names=["cell", "place", "count"])
+
+    counted = df.select(*names).mapInArrow(count, "cell int, place int, count bigint")
+    return counted.groupBy("cell", "place").agg(F.sum("count").alias("count"))
 
 
 def _sort_small(df, cells, settled):
