@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import col, finite, rounded
-from plumbline.operators.order import with_row_index
+from plumbline.operators.order import every_kth
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.stats import facts, frequencies, top_per_column
 
@@ -65,11 +65,11 @@ def scale_groups(df, columns, per_group=None):
 def trend_points(df, columns, order_by, date=None, points=80):
     """K3: the systematic sample in long form with its scale group; x is the first date or the ordinal."""
     groups = scale_groups(df, columns)
-    indexed = with_row_index(df, order_by)
     step = max(1, df.count() // points)
     x = (F.date_format(col(date).cast("timestamp_ntz"), "yyyy-MM-dd") if date
          else F.expr(f"_rn div {step}").cast("string"))
-    sampled = indexed.where(F.col("_rn") % step == 0).select(
+    needed = list(dict.fromkeys([*order_by, *columns, *([date] if date else [])]))
+    sampled = every_kth(df.select(*[col(c) for c in needed]), order_by, step).select(
         F.expr(f"_rn div {step}").alias("point"), x.alias("x"), *[rounded(col(c)).alias(c) for c in columns])
     return sampled.unpivot(["point", "x"], columns, "column", "value").join(F.broadcast(groups.drop("rank")), "column")
 

@@ -1,117 +1,240 @@
-"""Row order as data: a dense row index built without ever putting all rows into one task.
+"""Row order as data: dense row indexes and samples by rank, without ever putting all rows into one task.
 
-Boundaries between ranges of the sort keys come from a bounded sample and enter the plan as literals, so
-every evaluation of the plan cuts the rows in the same places. The sample only decides how even the ranges
-are, never what the index is. All keys take part in a boundary, so one repeated value of the first key
-cannot swell a range as long as the whole order is (nearly) total.
+An index takes one shuffle into sorted ranges, whose number follows the size of the table and has no bound. The place of a row in the
+input takes part in the range borders after the keys, so that rows equal in all keys are spread over ranges too. The ranges
+are kept as they are, their sizes are summed up (a number per range), and every row's index is the sum before its range plus its
+place within. A sample by rank sorts nothing: the wanted ranks are narrowed by counting rows between key tuples, and
+only the few rows around them are compared with each other.
 """
 
-import math
+import decimal
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.expr import col
+from plumbline.functions.store import materialised
 
-ROWS_PER_RANGE = 250_000
-MAX_RANGES = 8_192
-SAMPLE_PER_RANGE = 64
+CUTS = 256
+SAMPLE_PER_CUT = 24
+INSIDE_ROWS = 20_000
+MOST_RANKS = 1_000
+PLACE = (1 << 33) - 1
 
 
-def _portable(name, data_type):
-    """A key as something that survives the trip to the driver and back without loss."""
-    if isinstance(data_type, T.TimestampType):
-        return F.unix_micros(col(name))
-    if isinstance(data_type, (T.TimestampNTZType, T.DateType)):
-        return col(name).cast("string")
-    return col(name)
-
-
-def _literal(value, data_type):
-    if isinstance(data_type, T.TimestampType) and value is not None:
-        return F.timestamp_micros(F.lit(value))
-    return F.lit(value).cast(data_type)
-
-
-def range_boundaries(df, order_by, ranges, rows, seed=7):
-    """Up to ``ranges - 1`` key tuples, ascending, that cut the rows into similar shares."""
-    types = [next(f.dataType for f in df.schema.fields if f.name == k) for k in order_by]
-    keys = df.select(
-        F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(order_by)]).alias("key"),
-        *[_portable(k, t).alias(f"p{i}") for i, (k, t) in enumerate(zip(order_by, types))],
-    )
-    fraction = min(1.0, ranges * SAMPLE_PER_RANGE / max(rows, 1))
-    picked = keys.sample(fraction, seed).orderBy("key").drop("key").collect()
-    cuts = [picked[len(picked) * i // ranges] for i in range(1, ranges)] if picked else []
-    distinct = list(dict.fromkeys(tuple(c) for c in cuts))
-    return [F.struct(*[_literal(v, t).alias(f"k{i}") for i, (v, t) in enumerate(zip(c, types))]) for c in distinct]
-
-
-def range_number(order_by, boundaries):
-    """How many boundaries lie below the row's key tuple, by binary search in a constant array."""
-    if not boundaries:
-        return F.lit(0)
-    cuts = F.array(*boundaries)
-    key = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(order_by)])
-    steps = [1 << i for i in reversed(range(len(boundaries).bit_length()))]
-    return F.reduce(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= len(boundaries)) & (F.get(cuts, at + step - 1) < key), at + step
-        ).otherwise(at),
-    )
+def sorted_ranges(df, order_by, ranges=None):
+    """The rows in sorted ranges with their range and place as ``_at`` (range * 2**33 + place), kept as they are."""
+    keys = [*[col(k) for k in order_by], F.col("_tie")]
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    spread = tied.repartitionByRange(ranges, *keys) if ranges else tied.repartitionByRange(*keys)
+    return materialised(spread.sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
 
 
 def with_row_index(df, order_by, name="_rn", valid=None, ranges=None):
-    """Append the dense index 0..n-1 under a total order.
+    """Append the dense index 0..n-1 under a total order; rows equal in all keys are numbered in the order of the input.
 
     ``valid`` maps a new column name to an existing column: the new one numbers only the rows where that
     column is not null (null elsewhere), which is the x axis of a trend over a column with gaps.
     """
     order_by, valid = list(order_by), dict(valid or {})
-    if ranges is None:
-        rows = df.count()
-        ranges = min(MAX_RANGES, math.ceil(rows / ROWS_PER_RANGE))
-    elif ranges > 1:
-        rows = df.count()
-    boundaries = range_boundaries(df, order_by, ranges, rows) if ranges > 1 else []
-    tagged = df.withColumn("_range", range_number(order_by, boundaries))
-    starts = _range_starts(tagged, valid, len(boundaries) + 1)
-    within = Window.partitionBy("_range").orderBy(*[col(k) for k in order_by])
-    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    added = {name: starts[0] + F.row_number().over(within) - 1}
-    for start, (new, source) in zip(starts[1:], valid.items()):
-        seen = F.count(col(source)).over(running)
-        added[new] = F.when(col(source).isNotNull(), start + seen - 1)
-    return tagged.withColumns(added).drop("_range")
-
-
-def _range_starts(tagged, valid, ranges):
-    """Per counter, the number of counted rows in all earlier ranges, as a constant array lookup."""
-    if ranges == 1:
-        return [F.lit(0).cast("bigint")] * (1 + len(valid))
-    counted = tagged.groupBy("_range").agg(
-        F.count(F.lit(1)).alias("c0"), *[F.count(col(s)).alias(f"c{i}") for i, s in enumerate(valid.values(), 1)]
-    ).collect()
-    by_range = {r["_range"]: r for r in counted}
-    starts = []
-    for i in range(1 + len(valid)):
-        total, running = 0, []
-        for number in range(ranges):
-            running.append(total)
-            total += by_range[number][f"c{i}"] if number in by_range else 0
-        starts.append(F.get(F.array(*[F.lit(v).cast("bigint") for v in running]), F.col("_range")))
-    return starts
+    kept = sorted_ranges(df, order_by, ranges).withColumn("_range", F.shiftright("_at", 33))
+    seen = {f"_n{i}": source for i, source in enumerate(valid.values())}
+    sizes = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[F.count(col(s)).alias(n) for n, s in seen.items()])
+    begins, total = [], [0] * (1 + len(seen))
+    for r in sizes.orderBy("_range").collect():  # a row per range
+        begins.append((r["_range"], *total))
+        total = [t + r[n] for t, n in zip(total, ("_n", *seen))]
+    schema = "_range bigint, " + ", ".join(f"_b{i} bigint" for i in range(len(total)))
+    placed = kept.join(F.broadcast(df.sparkSession.createDataFrame(begins, schema)), "_range")
+    added = {name: F.col("_b0") + F.col("_at").bitwiseAND(F.lit(PLACE))}
+    running = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for i, (new, source) in enumerate(valid.items(), 1):
+        added[new] = F.when(col(source).isNotNull(), F.col(f"_b{i}") + F.count(col(source)).over(running) - 1)
+    return placed.withColumns(added).select(*[col(c) for c in df.columns], *[col(c) for c in added])
+
+
+def _portable(name, data_type):
+    """A key as something of the same order that survives the trip to the driver and back."""
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(col(name))
+    if isinstance(data_type, T.TimestampNTZType):
+        return col(name).cast("string")
+    if isinstance(data_type, T.DateType):
+        return F.unix_date(col(name))
+    return F.hex(col(name)) if isinstance(data_type, T.BinaryType) else col(name)
+
+
+def _keys(df, order_by):
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[_portable(k, types[k]).alias(f"k{i}") for i, k in enumerate(order_by)])
+
+
+def _comparable(values):
+    """A key column as arrays that compare elementwise as Spark orders them: nulls before values before NaN, then the value."""
+    if isinstance(values, pa.Array):
+        if pa.types.is_integer(values.type) or pa.types.is_floating(values.type):
+            rank = values.is_valid().to_numpy(zero_copy_only=False).astype(np.int8)
+            plain = values.fill_null(0).to_numpy(zero_copy_only=False)
+            odd = np.isnan(plain)
+            return rank + odd, np.where(odd, plain.dtype.type(0), plain)
+        values = values.to_pylist()
+    rank = np.array([0 if v is None else 2 if v != v else 1 for v in values], np.int8)
+    plain = [0 if r != 1 else v for v, r in zip(values, rank)] if not (rank == 1).all() else values
+    if plain and any(isinstance(v, (str, decimal.Decimal)) for v in plain):
+        blank = "" if any(isinstance(v, str) for v in plain) else decimal.Decimal(0)
+        out = np.empty(len(plain), object)
+        out[:] = [blank if r != 1 else v for v, r in zip(plain, rank)]
+        return rank, out
+    return rank, np.array(plain)
+
+
+def key_places(columns, tuples):
+    """Where key tuples lie among sorted ones: 2i in the gap below the i-th, 2i + 1 at it. By binary search, all rows at once."""
+    if not columns or not tuples:
+        return np.zeros(len(columns[0]) if columns else 0, np.int32)
+    rows = [a for c in columns for a in _comparable(c)]
+    cuts = [a for c in zip(*tuples) for a in _comparable(c)]
+    needed = [i for i in range(len(rows)) if i % 2 or (rows[i] != 1).any() or (cuts[i] != 1).any()]  # no flags where all are plain values
+    rows, cuts = [rows[i] for i in needed], [cuts[i] for i in needed]
+
+    def compared(at):
+        """Whether the cut at each place is less than the row, and whether it equals it."""
+        less, alike = np.zeros(at.size, bool), None
+        for cut, row in zip(cuts, rows):  # later columns are looked at only where all before are equal
+            here, own = (cut[at], row) if alike is None else (cut[at[alike]], row[alike])
+            smaller, same = (here < own).astype(bool), (here == own).astype(bool)
+            less[slice(None) if alike is None else alike] = smaller
+            alike = np.flatnonzero(same) if alike is None else alike[same]
+            if not alike.size:
+                break
+        equal = np.zeros(at.size, bool)
+        equal[alike] = True
+        return less, equal
+
+    m = len(tuples)
+    at = np.zeros(rows[0].size, np.int64)
+    for step in (1 << i for i in reversed(range(m.bit_length()))):
+        ahead = at + step
+        fits = ahead <= m
+        less, _ = compared(np.where(fits, ahead, 1) - 1)
+        at = np.where(fits & less, ahead, at)
+    _, equal = compared(np.minimum(at, m - 1))
+    return (2 * at + (equal & (at < m))).astype(np.int32)
+
+
+def _counted(keys, tuples):
+    """_p, n: how many rows lie at each place, added up per task."""
+    def count(batches):
+        total = np.zeros(2 * len(tuples) + 1, np.int64)
+        for batch in batches:
+            total += np.bincount(key_places(batch.columns, tuples), minlength=total.size)
+        places = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(total[places])], names=["_p", "n"])
+
+    return keys.mapInArrow(count, "_p int, n bigint").groupBy("_p").agg(F.sum("n").alias("n"))
+
+
+def _within(keys, tuples, places):
+    """The keys at the given places, with their place."""
+    wanted = np.zeros(2 * len(tuples) + 1, bool)
+    wanted[list(places)] = True
+
+    def pick(batches):
+        for batch in batches:
+            place = key_places(batch.columns, tuples)
+            held = batch.filter(pa.array(wanted[place]))
+            yield pa.RecordBatch.from_arrays([pa.array(place[wanted[place]]), *held.columns], names=["_p", *held.schema.names])
+
+    return keys.mapInArrow(pick, T.StructType([T.StructField("_p", T.IntegerType()), *keys.schema.fields]))
+
+
+def rows_at_ranks(df, order_by, ranks, name="_rn", inside_rows=INSIDE_ROWS, cuts=CUTS):
+    """The rows at the given ranks (from 0) of an order, with their rank; of rows equal in all keys any may stand at each of their ranks.
+
+    Rounds read keys only. Each draws key tuples from the gaps that hold wanted ranks, counts the rows between and at them in one scan,
+    and keeps the gaps with a rank in them, until each is small by count. The keys in those gaps are numbered, which gives the key of
+    every wanted rank, and the rows with these keys are found by a join.
+    """
+    ranks = sorted(set(ranks))
+    none = df.withColumn(name, F.lit(None).cast("bigint")).limit(0)
+    keys = _keys(df, order_by)
+    edges, large, rounds = [], None, 0
+    while True:
+        rows = sum(large.values()) if large else df.count()
+        if not rows or not ranks:
+            return none
+        known = _within(keys, edges, large).drop("_p") if large else keys
+        drawn = _sorted(tuple(r) for r in known.sample(min(1.0, cuts * SAMPLE_PER_CUT / rows), 11 + rounds).collect())
+        step = max(1, len(drawn) // cuts)
+        edges = _sorted({*edges, *drawn[step // 2 :: step]})
+        counts = {r["_p"]: r["n"] for r in _counted(keys, edges).collect()}
+        wanted, before, at = {}, 0, 0
+        for p in sorted(counts):
+            while at < len(ranks) and ranks[at] < before + counts[p]:
+                wanted.setdefault(p, (before, []))[1].append(ranks[at])
+                at += 1
+            before += counts[p]
+        large = {p: counts[p] for p in wanted if p % 2 == 0 and counts[p] > inside_rows}
+        rounds += 1
+        if not large:
+            break
+        edges, large = _trimmed(edges, wanted, large)
+    return _rows_of_keys(df, order_by, _keys_at(keys, edges, wanted), name) if wanted else none
+
+
+def _trimmed(edges, wanted, large):
+    """Only the edges around wanted places, and the large gaps by their new places."""
+    keep = sorted({i for p in wanted for i in ((p - 1) // 2, p // 2) if 0 <= i < len(edges)})
+    moved = {i: k for k, i in enumerate(keep)}
+    return [edges[i] for i in keep], {2 * moved.get(p // 2, len(keep)): n for p, n in large.items()}
+
+
+def _keys_at(keys, edges, wanted):
+    """[(key tuple, rank)]: settled places are edges, the others are numbered within their gaps."""
+    found = [(edges[p // 2], r) for p, (_, rs) in wanted.items() if p % 2 for r in rs]
+    gaps = {p: v for p, v in wanted.items() if p % 2 == 0}
+    if gaps:
+        listed = keys.sparkSession.createDataFrame([(p, r - before, r) for p, (before, rs) in gaps.items() for r in rs], "_p int, _place bigint, _rank bigint")
+        number = F.row_number().over(Window.partitionBy("_p").orderBy(*keys.columns)) - 1
+        inside = _within(keys, edges, gaps).withColumn("_place", number.cast("bigint")).join(F.broadcast(listed), ["_p", "_place"])
+        found += [(tuple(r[c] for c in keys.columns), r["_rank"]) for r in inside.collect()]  # a row per wanted rank
+    return found
+
+
+def _rows_of_keys(df, order_by, found, name):
+    kinds = _keys(df, order_by).schema.fields
+    # of rows with one key that is wanted several times, as many are taken as there are ranks
+    counted, listed = {}, []
+    for key, rank in sorted(found, key=lambda f: f[1]):
+        counted[key] = counted.get(key, 0) + 1
+        listed.append((*key, counted[key], rank))
+    wanted = df.sparkSession.createDataFrame(listed, T.StructType([*[T.StructField(f"_{f.name}", f.dataType) for f in kinds], T.StructField("_place", T.IntegerType()), T.StructField(name, T.LongType())]))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    own = df.withColumns({f"_own{i}": _portable(k, types[k]) for i, k in enumerate(order_by)})
+    same = reduce(lambda a, b: a & b, [F.col(f"_own{i}").eqNullSafe(F.col(f"_k{i}")) for i in range(len(order_by))])
+    hit = own.join(F.broadcast(wanted.where("_place = 1").drop("_place", name)), same, "left_semi")
+    most = max(counted.values())
+    place = F.row_number().over(Window.partitionBy(*[f"_own{i}" for i in range(len(order_by))]).orderBy(F.lit(0)))
+    taken = hit.withColumn("_taken", place).where(F.col("_taken") <= most)  # each task keeps that many per key before the shuffle
+    return taken.join(F.broadcast(wanted), same & (F.col("_taken") == F.col("_place"))).select(*[col(c) for c in df.columns], name)
+
+
+def _sorted(tuples):
+    """As Spark sorts them: nulls first, NaN last."""
+    return sorted(tuples, key=lambda t: [(v is not None, v != v, 0 if v is None or v != v else v) for v in t])
 
 
 def every_kth(df, order_by, step=None, points=80):
     """Systematic sample: rows 0, step, 2*step, ... with step = max(1, n // points)."""
-    indexed = with_row_index(df, order_by)
-    if step is None:
-        step = max(1, df.count() // points)
-    return indexed.where(F.col("_rn") % step == 0)
+    n = df.count()
+    step = step or max(1, n // points)
+    if step == 1 or n // step > MOST_RANKS:
+        return with_row_index(df, order_by).where(F.col("_rn") % step == 0)
+    return rows_at_ranks(df, order_by, range(0, n, step))
 
 
 def first_k(df, order_by, k):

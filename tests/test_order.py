@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.features import moving_average, pct_change
-from plumbline.operators.order import every_kth, over_previous, with_row_index
+from plumbline.operators.order import every_kth, over_previous, rows_at_ranks, sorted_ranges, with_row_index
 from plumbline.operators.quantiles import quantiles
 
 
@@ -23,13 +23,14 @@ def test_row_index_equals_global_row_number(spark, ranges):
     assert same.where("NOT (_rn <=> want AND x <=> want_x)").count() == 0
 
 
-def test_hot_key_is_split(spark):
-    """The range holding a third of all rows under the first key alone is cut by the second key."""
-    from plumbline.operators.order import range_boundaries, range_number
-    df = shuffled(spark)
-    cuts = range_boundaries(df, ["hot", "k"], 8, df.count())
-    sizes = df.groupBy(range_number(["hot", "k"], cuts).alias("r")).count().agg(F.max("count")).first()[0]
-    assert sizes < 5000 / 8 * 2
+@pytest.mark.parametrize("key", [["hot", "k"], ["hot"], ["one"]])
+def test_hot_keys_are_split(spark, key):
+    """A key value of a third of the rows, or of all rows, is spread over ranges; rows equal in all keys keep the order of the input."""
+    df = shuffled(spark).withColumn("one", F.lit(1))
+    sizes = sorted_ranges(df, key, 8).groupBy(F.shiftright("_at", 33).alias("r")).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 5000 / 8 * 2 and sizes[1] >= 7
+    got = with_row_index(df, key, ranges=8)
+    assert got.select("_rn").distinct().count() == 5000 and got.agg(F.max("_rn"), F.min("_rn")).first()[:] == (4999, 0)
 
 
 @pytest.mark.parametrize("kind, make", [
@@ -44,6 +45,8 @@ def test_key_types(spark, kind, make):
     df = spark.range(600).select(make(F.col("id")).alias("key"), F.col("id").alias("tie")).repartition(4)
     got = with_row_index(df, ["key", "tie"], ranges=5)
     assert got.where("_rn <> tie").count() == 0
+    picked = rows_at_ranks(df, ["key", "tie"], [0, 7, 41, 42, 300, 598, 599, 700], inside_rows=20, cuts=8)
+    assert sorted((r["_rn"], r["tie"]) for r in picked.collect()) == [(k, k) for k in (0, 7, 41, 42, 300, 598, 599)]
 
 
 def test_empty_table(spark):
@@ -55,6 +58,24 @@ def test_every_kth(spark):
     assert got == list(range(0, 200, 2))
 
 
+def test_ranks_of_tied_rows(spark):
+    df = shuffled(spark, 3000)
+    ordered = [r["hot"] for r in df.orderBy("hot").collect()]
+    picked = rows_at_ranks(df, ["hot"], range(0, 3000, 100), inside_rows=10, cuts=4).collect()
+    assert [(r["_rn"], r["hot"]) for r in sorted(picked, key=lambda r: r["_rn"])] == [(k, ordered[k]) for k in range(0, 3000, 100)]
+    assert len({r["k"] for r in picked}) == 30
+    assert rows_at_ranks(df.limit(0), ["hot"], [0, 1]).count() == 0 and rows_at_ranks(df, ["hot"], []).count() == 0
+
+
+def test_systematic_sample_sorts_no_table(spark):
+    df = shuffled(spark).withColumn("text", F.repeat(F.lit("x"), 50))
+    got = every_kth(df, ["hot", "k"])
+    want = with_row_index(df, ["hot", "k"]).where("_rn % 62 = 0")
+    assert sorted(map(tuple, got.select("_rn", "k").collect())) == sorted(map(tuple, want.select("_rn", "k").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "RepartitionByExpression" not in plan and "Sort [" not in plan
+
+
 def test_over_previous_crosses_blocks(spark):
     df = spark.range(50).withColumnRenamed("id", "_rn")
     got = over_previous(df, 2, lambda order, frame: {"s": F.sum("_rn").over(frame), "p": F.lag("_rn").over(order)}, block=7)
