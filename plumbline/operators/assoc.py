@@ -13,13 +13,15 @@ from plumbline.operators.stats import first_pass, union_all
 
 PAIRS_PER_AGGREGATE = 15
 WIDE_COLUMNS = 24
+COLUMNS_PER_BLOCK = 256
 
 
-def pair_facts(df, pairs):
+def pair_facts(df, pairs, wide_from=WIDE_COLUMNS):
     """Unrounded pairwise-complete facts; slope and intercept predict the second column from the first.
 
     Products of deviations from the column means are summed. A pair of columns without nulls needs one sum of
-    its own, a pair with nulls sums its complete rows.
+    its own, a pair with nulls sums its complete rows. More than ``wide_from`` columns are summed in one scan by Python tasks, as
+    compiled sums would take a scan for every few pairs; null, flat and rounding rules are the same.
     """
     pairs = list(pairs)
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
@@ -28,8 +30,10 @@ def pair_facts(df, pairs):
     mean = {c: (known[c]["sum"] / known[c]["n"] if known[c]["n"] else 0.0) for c in columns}
     at = {c: i for i, c in enumerate(columns)}
     shifted = clean.select(*[(col(c) - F.lit(mean[c])).alias(f"d{i}") for c, i in at.items()])
-    full = {c for c in columns if known[c]["n"] == known[c]["rows"]}
     flat = {c for c in columns if known[c]["lo"] == known[c]["hi"]}
+    if len(columns) > wide_from:
+        return _finished(_gram_sums(shifted, columns, pairs, mean, flat))
+    full = {c for c in columns if known[c]["n"] == known[c]["rows"]}
     frames = []
     for part in chunks(pairs, PAIRS_PER_AGGREGATE):
         sums, rows = {}, []
@@ -52,12 +56,17 @@ def pair_facts(df, pairs):
                 F.lit(a in flat or b in flat).alias("flat"), *[v.cast("double").alias(k) for k, v in own.items()]))
         wide = shifted.agg(*[v.alias(k) for k, v in sums.items()])
         frames.append(wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+    return _finished(union_all(frames))
+
+
+def _finished(sums):
+    """r, means and line from n and the sums sx, sy, sxx, syy, sxy of deviations from c1 and c2."""
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     size = F.nullif(n, F.lit(0.0))
     cross = F.col("sxy") - sx * sy / size
     across = F.when(~F.col("flat"), F.greatest(F.lit(0.0), F.col("sxx") - sx * sx / size))
     upward = F.when(~F.col("flat"), F.greatest(F.lit(0.0), F.col("syy") - sy * sy / size))
-    return union_all(frames).withColumns({
+    return sums.withColumns({
         "r": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cross / F.nullif(F.sqrt(across * upward), F.lit(0.0)))),
         "slope": cross / F.nullif(across, F.lit(0.0)), "mean1": F.col("c1") + sx / size, "mean2": F.col("c2") + sy / size,
     }).withColumn("r", F.when(across * upward > 0, F.col("r"))).select(
@@ -65,49 +74,43 @@ def pair_facts(df, pairs):
         (F.col("mean2") - F.col("slope") * F.col("mean1")).alias("intercept"))
 
 
-def gram_pairs(df, columns):
-    """The same n and r for many columns, by the same rules: each task sums k x k products of its rows, Spark adds them up.
-
-    Values are centred on the column means first, so the subtraction of squares keeps its digits.
-    """
-    columns = list(columns)
-    known = first_pass(numbers(df, columns), columns)
-    means = [known[c]["sum"] / known[c]["n"] if known[c]["n"] else 0.0 for c in columns]
-    flat = F.array(*[F.lit(known[c]["lo"] == known[c]["hi"]) for c in columns])
-    shifted = df.select(*[(finite(col(c)) - F.lit(float(means[i]))).alias(f"v{i}") for i, c in enumerate(columns)])
+def _gram_sums(shifted, columns, pairs, mean, flat, block=COLUMNS_PER_BLOCK):
+    """The sums of all pairs in one scan: each task adds up the products of column blocks of its rows, and tells them block by block."""
     k = len(columns)
-    left, right = np.triu_indices(k, 1)
+    cuts = [(a, min(k, a + block)) for a in range(0, k, block)]
+    ranges = [(p, q) for i, p in enumerate(cuts) for q in cuts[i:]]
 
     def partial(batches):
-        totals = np.zeros((6, k, k))
+        totals = [np.zeros((6, b - a, d - c)) for (a, b), (c, d) in ranges]
         for batch in batches:
             x = batch.to_numpy(dtype=float)
             present = ~np.isnan(x)
             x, m = np.where(present, x, 0.0), present.astype(float)
-            for i, product in enumerate((m.T @ m, x.T @ m, m.T @ x, x.T @ x, (x * x).T @ m, m.T @ (x * x))):
-                totals[i] += product
-        yield pd.DataFrame({"i": left, "j": right, **{f"t{t}": totals[t][left, right] for t in range(6)}})
-
-    schema = "i int, j int, " + ", ".join(f"t{t} double" for t in range(6))
-    summed = shifted.mapInPandas(partial, schema).groupBy("i", "j").agg(*[F.sum(f"t{t}").alias(f"t{t}") for t in range(6)])
-    n, sx, sy, sxy, sxx, syy = [F.col(f"t{t}") for t in range(6)]
-    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
-    names = F.array(*[F.lit(c) for c in columns])
-    return summed.select(
-        F.get(names, F.col("i")).alias("col1"), F.get(names, F.col("j")).alias("col2"), n.cast("bigint").alias("n"),
-        F.when((spread > 0) & ~F.get(flat, F.col("i")) & ~F.get(flat, F.col("j")), F.greatest(F.lit(-1.0), F.least(
-            F.lit(1.0), (n * sxy - sx * sy) / F.nullif(spread, F.lit(0.0))))).alias("r"))
-
-
-def corr_pairs(df, columns=None, wide_from=WIDE_COLUMNS):
-    """Every unordered pair in column order, pairwise complete. More than ``wide_from`` columns are summed in Python tasks, as
-    compiled sums would take a scan for every few pairs; null, flat and rounding rules are the same."""
+            squares = x * x
+            for total, ((a, b), (c, d)) in zip(totals, ranges):
+                left, right = slice(a, b), slice(c, d)
+                for t, (u, v) in enumerate(((m, m), (x, m), (m, x), (x, x), (squares, m), (m, squares))):
+                    total[t] += u[:, left].T @ v[:, right]
+        for total, ((a, _), (c, _)) in zip(totals, ranges):
+            i, j = np.nonzero(np.arange(total.shape[1])[:, None] + a < np.arange(total.shape[2])[None] + c)
+            yield pd.DataFrame({"i": (i + a).astype("int32"), "j": (j + c).astype("int32"), **{f"t{t}": total[t][i, j] for t in range(6)}})
+
+    summed = shifted.mapInPandas(partial, "i int, j int, " + ", ".join(f"t{t} double" for t in range(6)))
+    summed = summed.groupBy("i", "j").agg(*[F.sum(f"t{t}").alias(f"t{t}") for t in range(6)])
+    at = {c: i for i, c in enumerate(columns)}
+    wanted = [(a, b, min(at[a], at[b]), max(at[a], at[b]), at[a] > at[b], mean[a], mean[b], a in flat or b in flat) for a, b in pairs]
+    listed = shifted.sparkSession.createDataFrame(wanted, "col1 string, col2 string, i int, j int, turned boolean, c1 double, c2 double, flat boolean")
+    either = lambda p, q: F.when(F.col("turned"), F.col(q)).otherwise(F.col(p))
+    return listed.join(summed, ["i", "j"]).select(
+        "col1", "col2", "c1", "c2", "flat", F.col("t0").alias("n"), either("t1", "t2").alias("sx"), either("t2", "t1").alias("sy"), F.col("t3").alias("sxy"),
+        either("t4", "t5").alias("sxx"), either("t5", "t4").alias("syy"))
+
+
+def corr_pairs(df, columns=None, wide_from=WIDE_COLUMNS, facts=None):
+    """Every unordered pair in column order, pairwise complete; ``facts`` has the pair facts if they are known."""
     columns = columns or numeric_columns(df)
-    if len(columns) > wide_from:
-        base = gram_pairs(df, columns)
-    else:
-        base = pair_facts(df, list(combinations(columns, 2)))
-    return base.select("col1", "col2", "n", rounded(F.col("r")).alias("r"))
+    facts = pair_facts(df, list(combinations(columns, 2)), wide_from) if facts is None else facts
+    return facts.select("col1", "col2", "n", rounded(F.col("r")).alias("r"))
 
 
 def corr_matrix(df, columns=None):
@@ -131,14 +134,15 @@ def strength(r):
     )
 
 
-def strong_pairs(pairs, least=0.3, k=20):
-    """G13 over a pair table."""
+def strong_pairs(pairs, least=0.3, k=None):
+    """G13 over a pair table: all pairs of at least that size, or the k strongest of them."""
     r = F.col("r")
-    return pairs.where(F.abs(r) >= least).select(
+    found = pairs.where(F.abs(r) >= least).select(
         "col1", "col2", "r", F.round(r * r, 4).alias("r2"), strength(r).alias("strength"),
         F.when(r > 0, "Positive").otherwise("Negative").alias("direction"),
         F.round(r * r * 100, 1).alias("p_explained"),
-    ).orderBy(F.abs(r).desc(), "col1", "col2").limit(k)
+    ).orderBy(F.abs(r).desc(), "col1", "col2")
+    return found if k is None else found.limit(k)
 
 
 def correlation_answer(pairs, touching=None, k=15):

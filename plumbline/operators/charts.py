@@ -52,19 +52,20 @@ def bar_captions(bar_rows):
         F.count(F.lit(1)).alias("categories"))
 
 
-def scale_groups(df, columns, per_group=None):
+def scale_groups(df, columns, per_group=None, base=None):
     """K2: columns grouped by the order of magnitude of their mean."""
     order = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
     scale = F.floor(F.log10(F.greatest(F.abs("mean"), F.lit(0.01)) + 1)).cast("int")
-    placed = facts(df, columns).where("n > 0").select("column", scale.alias("scale"), order.alias("position"))
+    base = facts(df, columns) if base is None else base
+    placed = base.where("n > 0").select("column", scale.alias("scale"), order.alias("position"))
     rank = F.row_number().over(Window.partitionBy("scale").orderBy("position"))
     ranked = placed.withColumn("rank", rank).select("scale", "column", "rank")
     return ranked if per_group is None else ranked.where(F.col("rank") <= per_group)
 
 
-def trend_points(df, columns, order_by, date=None, points=80):
+def trend_points(df, columns, order_by, date=None, points=80, base=None):
     """K3: the systematic sample in long form with its scale group; x is the first date or the ordinal."""
-    groups = scale_groups(df, columns)
+    groups = scale_groups(df, columns, base=base)
     step = max(1, df.count() // points)
     x = (F.date_format(col(date).cast("timestamp_ntz"), "yyyy-MM-dd") if date
          else F.expr(f"_rn div {step}").cast("string"))
@@ -102,13 +103,14 @@ def pie(df, columns, least=2, most=8, width=None):
                          F.round(F.col("count") / rows * 100, 1).alias("pct"))
 
 
-def boxes(df, columns, max_columns=None, min_rows=4, mode="auto"):
+def boxes(df, columns, max_columns=None, min_rows=4, mode="auto", found=None, base=None):
     """K6: five numbers and the mean, with a hint which tail pulls the mean."""
     columns = list(columns)[:max_columns]
-    found = quantiles(df, columns, [0.25, 0.5, 0.75], mode)
+    found = quantiles(df, columns, [0.25, 0.5, 0.75], mode) if found is None else found
     pick = lambda i: F.create_map(*[x for c in columns for x in (
         F.lit(c), F.lit(found[c][i]).cast("double"))])[F.col("column")]
-    return facts(df, columns).where(F.col("n") >= min_rows).select(
+    base = facts(df, columns) if base is None else base
+    return base.where(F.col("n") >= min_rows).select(
         "column", rounded(F.col("min")).alias("min"), rounded(pick(0)).alias("q1"), rounded(pick(1)).alias("median"),
         rounded(F.col("mean")).alias("mean"), rounded(pick(2)).alias("q3"), rounded(F.col("max")).alias("max"),
         F.when(F.col("mean") > pick(1), "right").otherwise("left").alias("skew"))

@@ -73,12 +73,13 @@ def kurtosis_label(k):
     )
 
 
-def facts(df, columns, extra=None, keep=()):
+def facts(df, columns, extra=None, keep=(), powers=False):
     """Unrounded moments per column, with adjusted skewness and kurtosis.
 
     Two scans of plain sums: the first finds the means (k numbers), the second sums powers of the deviations
     from them, which is both cheaper per row than running central moments and exact to the last digits.
-    ``extra(name, deviation, n)`` may add aggregates that also see the ``keep`` columns.
+    ``extra(name, deviation, n)`` may add aggregates that also see the ``keep`` columns; ``powers`` keeps the sums of third and
+    fourth powers about the mean, from which parts of a table can be merged.
     """
     columns = list(columns)
     clean = numbers(df, columns, keep)
@@ -100,18 +101,24 @@ def facts(df, columns, extra=None, keep=()):
     squares = F.when(F.col("min") == F.col("max"), F.lit(0.0)).otherwise(F.greatest(F.col("s2") - n * off * off, F.lit(0.0)))
     cubes = F.col("s3") - 3 * off * F.col("s2") + 2 * n * F.pow(off, F.lit(3))
     fourths = F.col("s4") - 4 * off * F.col("s3") + 6 * off * off * F.col("s2") - 3 * n * F.pow(off, F.lit(4))
+    summed = per_column(shifted, columns, measure).withColumns({"squares": squares, "cubes": cubes, "fourths": fourths}).drop("s1", "s2", "s3", "s4")
+    return summed if powers else shaped(summed)
+
+
+def shaped(summed):
+    """Variance to kurtosis from sums of powers about the mean: squares, cubes, fourths."""
+    n = F.col("n").cast("double")
     m2 = F.col("squares")
     spread = F.nullif(m2, F.lit(0.0))
-    return per_column(shifted, columns, measure).withColumns({"squares": squares, "cubes": cubes, "fourths": fourths}).withColumns({
+    return summed.withColumns({
         "variance": m2 / F.nullif(n - 1, F.lit(0.0)), "std": F.sqrt(m2 / F.nullif(n - 1, F.lit(0.0))),
         "g1": F.sqrt(n) * F.col("cubes") / F.pow(spread, F.lit(1.5)), "g2": n * F.col("fourths") / (spread * spread) - 3,
-    }).withColumns({"skewness": adjusted_skewness(), "kurtosis": adjusted_kurtosis()}).drop(
-        "s1", "s2", "s3", "s4", "cubes", "fourths")
+    }).withColumns({"skewness": adjusted_skewness(), "kurtosis": adjusted_kurtosis()}).drop("cubes", "fourths")
 
 
-def moments(df, columns=None, signed_cv=False):
-    """Count to labels for columns with at least two values, rounded for display."""
-    base = facts(df, columns or numeric_columns(df)).where("n >= 2")
+def moments(df, columns=None, signed_cv=False, base=None):
+    """Count to labels for columns with at least two values, rounded for display; ``base`` has their facts if they are known."""
+    base = (facts(df, columns or numeric_columns(df)) if base is None else base).where("n >= 2")
     sem = ratio(F.col("std"), F.sqrt("n"))
     cv = ratio(F.col("std"), F.col("mean") if signed_cv else F.abs("mean")) * 100
     if not signed_cv:
@@ -128,9 +135,9 @@ def moments(df, columns=None, signed_cv=False):
     )
 
 
-def quantile_table(df, columns=None, mode="auto", names=QUANTILE_NAMES):
-    """One row per column with the named quantiles and the interquartile range."""
-    found = quantiles(df, columns or numeric_columns(df), list(names.values()), mode)
+def quantile_table(df, columns=None, mode="auto", names=QUANTILE_NAMES, found=None):
+    """One row per column with the named quantiles and the interquartile range; ``found`` has the values if they are known."""
+    found = quantiles(df, columns or numeric_columns(df), list(names.values()), mode) if found is None else found
     rows = [(c, *values) for c, values in found.items() if values[0] is not None]
     schema = "column string, " + ", ".join(f"{n} double" for n in names)
     table = df.sparkSession.createDataFrame(rows, schema)
@@ -157,13 +164,14 @@ def mode_table(df, columns=None):
         "column", rounded(F.col("best.v")).alias("mode"), (-F.col("best.c")).alias("mode_count"))
 
 
-def statistics_table(df, columns=None, mode="auto"):
-    """G1-G8 side by side: moments, quantiles and mode of every numeric column."""
+def statistics_table(df, columns=None, mode="auto", base=None, found=None, common=None):
+    """G1-G8 side by side: moments, quantiles and mode of every numeric column, each of which may be known already."""
     columns = columns or numeric_columns(df)
+    common = mode_table(df, columns) if common is None else common
     return (
-        moments(df, columns)
-        .join(F.broadcast(quantile_table(df, columns, mode)), "column", "left")
-        .join(mode_table(df, columns).drop("mode_count"), "column", "left")
+        moments(df, columns, base=base)
+        .join(F.broadcast(quantile_table(df, columns, mode, found=found)), "column", "left")
+        .join(common.drop("mode_count"), "column", "left")
     )
 
 
@@ -242,9 +250,9 @@ def histogram(df, columns=None, most_bins=20, least_bins=5, min_rows=5):
     )
 
 
-def iqr_fences(df, columns, factor=1.5, mode="auto"):
-    """{column: (low fence, high fence, q1, q3)} for columns that have values."""
-    found = quantiles(df, columns, [0.25, 0.75], mode)
+def iqr_fences(df, columns, factor=1.5, mode="auto", found=None):
+    """{column: (low fence, high fence, q1, q3)} for columns that have values; ``found`` has the quartiles if they are known."""
+    found = quantiles(df, columns, [0.25, 0.75], mode) if found is None else found
     return {c: (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1), q1, q3)
             for c, (q1, q3) in found.items() if q1 is not None}
 
@@ -266,10 +274,10 @@ def first_values(df, conditions, order_by, k, digits=4):
         "column", F.concat(F.lit("["), F.concat_ws(", ", "vs.v"), F.lit("]")).alias("extremes"))
 
 
-def iqr_outliers(df, columns=None, order_by=(), k=6, factor=1.5, min_rows=4, mode="auto"):
+def iqr_outliers(df, columns=None, order_by=(), k=6, factor=1.5, min_rows=4, mode="auto", quartiles=None):
     """Fences, outlier count and share, first k extremes in row order, severity."""
     columns = columns or numeric_columns(df)
-    fences = iqr_fences(df, columns, factor, mode)
+    fences = iqr_fences(df, columns, factor, mode, quartiles)
     columns = [c for c in columns if c in fences]
     df = numbers(df, columns, order_by)
     outside = {c: (col(c) < fences[c][0]) | (col(c) > fences[c][1]) for c in columns}
@@ -319,11 +327,12 @@ def normality(df, columns=None, order_by=(), first=5000, min_rows=8):
     return union_all(samples).groupBy("column").applyInPandas(test, schema)
 
 
-def jarque_bera(df, columns=None, min_rows=8):
+def jarque_bera(df, columns=None, min_rows=8, base=None):
     """G11(b): normality over all rows from the third and fourth moments; p is the asymptotic tail."""
     n, g1, g2 = F.col("n"), F.col("g1"), F.col("g2")
     score = n / 6 * (g1 * g1 + g2 * g2 / 4)
-    return facts(df, columns or numeric_columns(df)).where(n >= min_rows).select(
+    base = facts(df, columns or numeric_columns(df)) if base is None else base
+    return base.where(n >= min_rows).select(
         "column", "n", rounded(score).alias("jb"), rounded(F.exp(-score / 2), 6).alias("p_value"),
         (F.exp(-score / 2) > 0.05).alias("is_normal"))
 
@@ -348,10 +357,11 @@ def confidence_parts(rows, n, mean, std):
     }
 
 
-def confidence(df, columns=None):
+def confidence(df, columns=None, base=None):
     """I1 as a table: one row per numeric column."""
     parts = confidence_parts(F.col("rows"), F.col("n"), F.col("mean"), F.col("std"))
-    return facts(df, columns or numeric_columns(df)).select(
+    base = facts(df, columns or numeric_columns(df)) if base is None else base
+    return base.select(
         "column", F.col("n").alias("sample_n"), *[v.alias(k) for k, v in parts.items()])
 
 

@@ -3,14 +3,19 @@
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import date_columns
 from plumbline.operators import assoc, business, charts, clean, features, gates, insights, profile, roles, stats, trend
+from plumbline.functions.store import local, materialised
 from plumbline.operators.merge import tagged_union
+from plumbline.operators.quantiles import quantiles
 from plumbline.operators.stats import union_all
 
+LOCAL_ROWS = 5_000
+
 
 class Sections(Mapping):
     """Named tables, each planned when it is first asked for, so that unused sections cost no jobs."""
@@ -48,23 +53,44 @@ class Report:
     tables: Sections = field(default_factory=Sections)
 
 
-def stored(df):
-    """The table behind a reliable checkpoint, so that lost executors cost no recomputation.
+class Known:
+    """What several sections of one analysis read, each found once: facts and lines (one row per column), quantiles, pairs.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Without one the table stays as it is: Spark
-    recomputes it, which is slower but needs no folder that executors cannot share. The rows are kept while the
-    checkpoint is written, so that they are not made twice.
+    Facts, lines, and pairs up to LOCAL_ROWS are small by their number of columns and are carried in the plans of the sections as rows,
+    so that a section that needs nothing else runs no job over the table.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            return df
-        context.setCheckpointDir(named)
-    kept = df.persist()
-    saved = kept.checkpoint()
-    kept.unpersist()
-    return saved
+
+    def __init__(self, df, numeric, order_by, mode="auto", given=None):
+        self.df, self.numeric, self.order_by, self.mode, self.given = df, list(numeric), order_by, mode, dict(given or {})
+
+    def _once(self, name, build):
+        if name not in self.given:
+            self.given[name] = build()
+        return self.given[name]
+
+    def lines(self):
+        return self._once("lines", lambda: local(trend.line_facts(self.df, self.numeric, self.order_by)))
+
+    def facts(self):
+        """Lines hold the facts too."""
+        return self.given["lines"] if "lines" in self.given else self._once("facts", lambda: local(stats.facts(self.df, self.numeric)))
+
+    def quantiles(self, *shares):
+        """{column: values at the shares}, all from one narrowing."""
+        every = list(stats.QUANTILE_NAMES.values())
+        found = self._once("quantiles", lambda: quantiles(self.df, self.numeric, every, self.mode))
+        return {c: [v[every.index(s)] for s in shares] for c, v in found.items()}
+
+    def quantile_table(self):
+        return self._once("quantile_table", lambda: stats.quantile_table(self.df, self.numeric, found=self.quantiles(*stats.QUANTILE_NAMES.values())))
+
+    def modes(self):
+        return self._once("modes", lambda: local(stats.mode_table(self.df, self.numeric)))
+
+    def pairs(self):
+        k = len(self.numeric)
+        keep = local if k * (k - 1) // 2 <= LOCAL_ROWS else materialised
+        return self._once("pairs", lambda: keep(assoc.pair_facts(self.df, list(combinations(self.numeric, 2)))))
 
 
 def _trace(df, step, status, detail):
@@ -83,7 +109,7 @@ def analyse(df, label="table", order_by=None, combined=False, test="moments", mo
     if stopped:
         return Report(label, "BLOCKED", stopped["reason"], tables=tables)
     blocked = [r["column"] for r in column_rows.where("status = 'BLOCK'").select("column").collect()]
-    cleaned, log = clean.clean(df, blocked, mode, stored)
+    cleaned, log = clean.clean(df, blocked, mode, materialised)
     ready = roles.promote_dates(cleaned, [c for c in roles.text_columns(cleaned) if c not in blocked])
     found = roles.classify(ready, blocked)
     order_by = list(order_by or ready.columns)
@@ -99,36 +125,44 @@ def analyse(df, label="table", order_by=None, combined=False, test="moments", mo
             _trace(df, "classification", "PASS", note)]),
     )
     if numeric:
-        lines = cache(lambda: stored(trend.line_facts(ready, numeric, order_by)))
-        every = cache(lambda: stored(insights.gated_insights(ready, numeric, order_by, test, mode=mode, lines=lines())))
-        tables.add(
-            statistics=lambda: stats.statistics_table(ready, numeric, mode), histograms=lambda: stats.histogram(ready, numeric),
-            normality=lambda: (stats.normality(ready, numeric, order_by) if test == "shapiro"
-                               else stats.jarque_bera(ready, numeric)),
-            outliers=lambda: stats.iqr_outliers(ready, numeric, order_by, mode=mode),
-            predictions=lambda: trend.trend_fit(ready, order_by=order_by, lines=lines()),
-            forecasts=lambda: trend.forecast(ready, order_by=order_by, lines=lines()),
-            insights=lambda: insights.ranked_insights(every()), blocked_insights=lambda: insights.blocked_insights(every()),
-            chart_trends=lambda: charts.trend_points(ready, numeric, order_by, (found.date or [None])[0]),
-            chart_boxes=lambda: charts.boxes(ready, numeric, mode=mode),
-        )
-    if len(numeric) > 1:
-        tables.add(
-            correlations=lambda: assoc.corr_pairs(ready, numeric),
-            strong_pairs=lambda: assoc.strong_pairs(tables["correlations"]),
-            chart_scatters=lambda: union_all([
-                charts.scatter(ready, a, b, order_by).select(F.lit(a).alias("x_column"), F.lit(b).alias("y_column"), "x", "y")
-                for a, b in charts.scatter_pairs(numeric)]),
-        )
+        tables.add(**numeric_sections(Known(ready, numeric, order_by, mode), test, (found.date or [None])[0]))
     if categorical:
         tables.add(categories=lambda: stats.category_profile(ready, categorical),
                    chart_bars=lambda: charts.bars(ready, categorical), chart_pie=lambda: charts.pie(ready, categorical))
     return Report(label, "OK", None, found, blocked, tables)
 
 
+def numeric_sections(known, test="moments", date=None):
+    """Builders of the sections about numbers; what they share is found once, when it is first asked for."""
+    df, numeric, order_by, mode = known.df, known.numeric, known.order_by, known.mode
+    every = cache(lambda: local(insights.gated_insights(
+        df, numeric, order_by, test, mode=mode, lines=known.lines(), base=known.facts(), pairs=known.pairs() if len(numeric) > 1 else None,
+        medians={c: v[0] for c, v in known.quantiles(0.5).items()})))
+    made = dict(
+        statistics=lambda: stats.statistics_table(df, numeric, base=known.facts(), found=known.quantiles(*stats.QUANTILE_NAMES.values()), common=known.modes()),
+        confidence=lambda: stats.confidence(df, numeric, known.facts()),
+        histograms=lambda: stats.histogram(df, numeric),
+        normality=lambda: stats.normality(df, numeric, order_by) if test == "shapiro" else stats.jarque_bera(df, numeric, base=known.facts()),
+        outliers=lambda: stats.iqr_outliers(df, numeric, order_by, quartiles=known.quantiles(0.25, 0.75)),
+        predictions=lambda: trend.trend_fit(df, order_by=order_by, lines=known.lines()),
+        forecasts=lambda: trend.forecast(df, order_by=order_by, lines=known.lines()),
+        insights=lambda: insights.ranked_insights(every()), blocked_insights=lambda: insights.blocked_insights(every()),
+        chart_trends=lambda: charts.trend_points(df, numeric, order_by, date, base=known.facts()),
+        chart_boxes=lambda: charts.boxes(df, numeric, found=known.quantiles(0.25, 0.5, 0.75), base=known.facts()),
+    )
+    if len(numeric) > 1:
+        correlations = lambda: assoc.corr_pairs(df, numeric, facts=known.pairs())
+        made.update(
+            correlations=correlations, strong_pairs=lambda: assoc.strong_pairs(correlations()),
+            chart_scatters=lambda: union_all([
+                charts.scatter(df, a, b, order_by).select(F.lit(a).alias("x_column"), F.lit(b).alias("y_column"), "x", "y")
+                for a, b in charts.scatter_pairs(numeric)]))
+    return made
+
+
 def analyse_classic(df, label="table", order_by=None, as_of=None, mode="auto"):
     """I12, the older order: understand, clean by the 30 % limit, check, derive features, explain without gates."""
-    cleaned, log = clean.clean_classic(df, mode, stored)
+    cleaned, log = clean.clean_classic(df, mode, materialised)
     ready = roles.promote_dates(cleaned)
     found = roles.classify(ready, classic=True)
     order_by = list(order_by or ready.columns)
@@ -143,22 +177,21 @@ def analyse_classic(df, label="table", order_by=None, as_of=None, mode="auto"):
         kpis=lambda: business.generic_kpis(ready, numeric, categorical, duplicates=profile.duplicate_rows(ready)),
     )
     if numeric:
-        lines = cache(lambda: stored(trend.line_facts(ready, numeric, order_by)))
+        known = Known(ready, numeric, order_by, mode)
         tables.add(
-            statistics=lambda: stats.moments(ready, numeric, signed_cv=True).join(
-                stats.quantile_table(ready, numeric, mode), "column"),
-            outliers=lambda: stats.iqr_outliers(ready, numeric, order_by, mode=mode),
-            predictions=lambda: trend.trend_fit(ready, order_by=order_by, min_rows=5, lines=lines()),
-            forecasts=lambda: trend.forecast(ready, order_by=order_by, min_rows=5, lines=lines()),
+            statistics=lambda: stats.moments(ready, numeric, signed_cv=True, base=known.facts()).join(known.quantile_table(), "column"),
+            outliers=lambda: stats.iqr_outliers(ready, numeric, order_by, quartiles=known.quantiles(0.25, 0.75)),
+            predictions=lambda: trend.trend_fit(ready, order_by=order_by, min_rows=5, lines=known.lines()),
+            forecasts=lambda: trend.forecast(ready, order_by=order_by, min_rows=5, lines=known.lines()),
             features=feature_rows,
             featured=lambda: features.with_features(ready, order_by, numeric, found.date),
-            insights=lambda: stored(_classic_insights(ready, tables, numeric, categorical, found.date)),
+            insights=lambda: materialised(_classic_insights(ready, tables, numeric, categorical, found.date)),
             key_metrics=lambda: insights.key_metrics(tables["statistics"]),
             report_counts=lambda: insights.report_counts(
                 ready.agg(F.count(F.lit(1)).alias("rows")), feature_rows(), checks, tables["insights"]),
         )
     if len(numeric) > 1:
-        tables.add(strong_pairs=lambda: assoc.strong_pairs(assoc.corr_pairs(ready, numeric), k=20),
+        tables.add(strong_pairs=lambda: assoc.strong_pairs(assoc.corr_pairs(ready, numeric, facts=known.pairs())),
                    regression=lambda: assoc.best_predictor(ready, numeric))
     if categorical:
         tables.add(categories=lambda: stats.category_profile(ready, categorical))

@@ -350,7 +350,7 @@ def g12_matrix(spark, sf):
  CASE WHEN r > 0 THEN 'Positive' ELSE 'Negative' END AS direction, round(r * r * 100, 1) AS p_explained FROM pairs
  WHERE abs(r) >= 0.3 ORDER BY abs(r) DESC, col1, col2 LIMIT 20""")
 def g13(spark, sf):
-    return assoc.strong_pairs(assoc.corr_pairs(mixed(spark, sf), MIXED))
+    return assoc.strong_pairs(assoc.corr_pairs(mixed(spark, sf), MIXED), k=20)
 
 
 _FENCED = """WITH a AS (SELECT ts, event_id, value, CASE WHEN user_id % 20 = 1 THEN -value * 9 ELSE value END AS wild, value + user_id AS mild,

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import ask, assoc, charts, insights, stats, trend
+from plumbline.operators.quantiles import quantiles
 
 
 @pytest.fixture(scope="module")
@@ -79,10 +81,49 @@ def test_pairs(spark, small):
     assert got["lin", "anti"]["r"] == -1.0 and got["lin", "const"]["r"] is None
     assert got["lin", "empty"]["r"] is None and got["lin", "empty"]["n"] == 0
     holed = small.withColumn("holed", F.when(F.col("t") % 4 != 0, F.col("lin") + F.col("skewed")))
-    wide = {(r["col1"], r["col2"]): r for r in assoc.gram_pairs(holed, ["lin", "holed", "skewed"]).collect()}
-    for r in assoc.corr_pairs(holed, ["lin", "holed", "skewed"]).collect():
-        assert wide[r["col1"], r["col2"]]["r"] == pytest.approx(r["r"], abs=1e-4)
-        assert wide[r["col1"], r["col2"]]["n"] == r["n"]
+    pairs = [("lin", "holed"), ("skewed", "holed"), ("holed", "lin"), ("lin", "skewed"), ("const", "lin"), ("empty", "lin")]
+    wide = {(r["col1"], r["col2"]): r for r in assoc.pair_facts(holed, pairs, wide_from=0).collect()}
+    narrow = assoc.pair_facts(holed, pairs).collect()
+    assert len(wide) == len(narrow) == len(pairs)
+    for r in narrow:
+        for name in ("n", "r", "mean1", "mean2", "slope", "intercept"):
+            assert wide[r["col1"], r["col2"]][name] == pytest.approx(r[name]), (r["col1"], r["col2"], name)
+
+
+def test_two_hundred_columns_are_paired_in_one_scan(spark):
+    """19,900 pairs; no list of strong pairs is cut, and every one of them becomes an insight."""
+    n, k = 60, 200
+    df = spark.range(n).select("id", *[(F.sin(F.col("id") * (1 + c % 5)) * (c + 1) + F.cos(F.col("id") * c) * 0.01).alias(f"c{c}") for c in range(k)])
+    columns = [f"c{c}" for c in range(k)]
+    x = np.array([[np.sin(i * (1 + c % 5)) * (c + 1) + np.cos(i * c) * 0.01 for c in range(k)] for i in range(n)])
+    r = np.corrcoef(x, rowvar=False)
+    found = assoc.corr_pairs(df, columns)
+    got = {(p["col1"], p["col2"]): p["r"] for p in found.collect()}
+    assert len(got) == k * (k - 1) // 2
+    assert all(v == pytest.approx(r[int(a[1:]), int(b[1:])], abs=1e-4) for (a, b), v in got.items())
+    strong = assoc.strong_pairs(found, 0.9)
+    many = sum(abs(v) >= 0.9 for v in got.values())
+    assert many > 3000 and strong.count() == many and assoc.strong_pairs(found, 0.9, 20).count() == 20
+    none = lambda schema: spark.createDataFrame([], schema)
+    told = insights.plain_insights(
+        none("column string, skewness double, mean double, median double, cv double, std double, min double, max double, ci95_low double, ci95_high double, kurtosis double, p99 double, p95 double"),
+        strong, none("column string, trend string, significant boolean, p_value double, slope double, r2 double"),
+        none("column string, pct double, count bigint, lb double, ub double, severity string"),
+        none("column string, value string, count bigint, distinct bigint, pct_of_rows double"))
+    assert told.where("type = 'correlation'").count() == many
+
+
+def test_quantiles_of_twenty_columns_take_few_jobs(spark):
+    df = spark.range(30_000).select(*[(F.hash("id", F.lit(c)) % 100_003).cast("double").alias(f"c{c}") for c in range(20)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantiles", "quantiles")
+    found = quantiles(df, df.columns, [0.1, 0.5, 0.75])
+    jobs = len(tracker.getJobIdsForGroup("quantiles"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs <= 6
+    values = df.toPandas()
+    for c in df.columns:
+        assert found[c] == pytest.approx(list(np.quantile(values[c], [0.1, 0.5, 0.75])))
 
 
 def test_trend_line(rows, small):
