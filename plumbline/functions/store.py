@@ -1,24 +1,38 @@
 """Stable copies of tables: what is read twice must be the same twice, and survive lost executors."""
 
 import tempfile
+import uuid
 
 _own = []
 
 
+def shared_folder(spark):
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one on a local master without that setting; else None."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.startswith("local"):
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="plumbline-"))
+        named = _own[0]
+    return named.rstrip("/") if named else None
+
+
+def new_folder(spark, name):
+    """A folder name in the shared folder that is not in use."""
+    top = shared_folder(spark)
+    if top is None:
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialised(df):
-    """The table with its partitions as they are, behind a reliable checkpoint.
+    """The table with its partitions as they are, behind a reliable checkpoint in the shared folder.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; on a local master a temporary one does. On a cluster without
-    that setting the rows are only cached: a lost part is then computed again from the same shuffle.
+    On a cluster without such a folder the rows are only cached: a lost part is then computed again from the same shuffle.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master.startswith("local"):
-            if not _own:
-                _own.append(tempfile.mkdtemp(prefix="plumbline-"))
-            named = _own[0]
-        if not named:
+        named = shared_folder(df.sparkSession)
+        if named is None:
             return df.persist()
         context.setCheckpointDir(named)
     kept = df.persist()

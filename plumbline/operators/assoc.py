@@ -32,7 +32,7 @@ def pair_facts(df, pairs, wide_from=WIDE_COLUMNS):
     shifted = clean.select(*[(col(c) - F.lit(mean[c])).alias(f"d{i}") for c, i in at.items()])
     flat = {c for c in columns if known[c]["lo"] == known[c]["hi"]}
     if len(columns) > wide_from:
-        return _finished(_gram_sums(shifted, columns, pairs, mean, flat))
+        return finished_pairs(_gram_sums(shifted, columns, pairs, mean, flat))
     full = {c for c in columns if known[c]["n"] == known[c]["rows"]}
     frames = []
     for part in chunks(pairs, PAIRS_PER_AGGREGATE):
@@ -56,10 +56,10 @@ def pair_facts(df, pairs, wide_from=WIDE_COLUMNS):
                 F.lit(a in flat or b in flat).alias("flat"), *[v.cast("double").alias(k) for k, v in own.items()]))
         wide = shifted.agg(*[v.alias(k) for k, v in sums.items()])
         frames.append(wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
-    return _finished(union_all(frames))
+    return finished_pairs(union_all(frames))
 
 
-def _finished(sums):
+def finished_pairs(sums):
     """r, means and line from n and the sums sx, sy, sxx, syy, sxy of deviations from c1 and c2."""
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     size = F.nullif(n, F.lit(0.0))

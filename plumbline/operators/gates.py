@@ -31,14 +31,26 @@ def _gate_values(df, parse=True):
     return numbers(others, checked_columns(df))
 
 
-def column_gates(df, warn=True):
-    """Per column the null share, whether it is blocked and why, and, with ``warn``, the numbers-as-text warning.
+def column_facts(df, warn=True):
+    """What the gates read: one row per column of rows, present, total (of a text: how many parse as numbers), lo and hi.
 
-    Only the warning parses texts; without it texts are not read beyond their presence.
+    Facts of parts of a table add up to the facts of the whole. Only the warning parses texts; without it texts are not read
+    beyond their presence.
     """
-    texts, numeric = text_columns(df) if warn else [], numeric_columns(df)
-    found = per_column(_gate_values(df, warn), checked_columns(df), lambda c: [
+    return per_column(_gate_values(df, warn), checked_columns(df) or df.columns, lambda c: [
         F.count(col(c)).alias("present"), F.sum(col(c)).alias("total"), F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi")])
+
+
+def merged_column_facts(parts):
+    """The facts of a table from those of its parts."""
+    return parts.groupBy("column").agg(
+        *[F.sum(c).alias(c) for c in ("rows", "present", "total")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def column_gates(df, warn=True, facts=None):
+    """Per column the null share, whether it is blocked and why, and, with ``warn``, the numbers-as-text warning."""
+    texts, numeric = text_columns(df) if warn else [], numeric_columns(df)
+    found = (column_facts(df, warn) if facts is None else facts).where(F.col("column").isin(checked_columns(df)))
     named = lambda names: F.col("column").isin(list(names)) if names else F.lit(False)
     rows = found.withColumns({
         "numeric_share": F.when(named(texts), ratio(F.col("total"), F.col("present"))).cast("double"),
@@ -60,14 +72,16 @@ def column_gates(df, warn=True):
     )
 
 
-def dataset_gates(df, combined=False):
+def dataset_gates(df, combined=False, facts=None):
     """C1-C3 on the whole table, one row per gate in order; ``passed`` is null behind a gate that blocked."""
     limit = COMBINED_MISSING_PCT if combined else DATASET_MISSING_PCT
     columns = checked_columns(df) or df.columns
-    nulls = [F.count(F.lit(1)) - F.count(col(c)) for c in columns]
-    wide = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.array(*nulls).alias("nulls")
-    ).select(
+    if facts is None:
+        nulls = [F.count(F.lit(1)) - F.count(col(c)) for c in columns]
+        counted = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*nulls).alias("nulls"))
+    else:
+        counted = facts.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.collect_list(F.col("rows") - F.col("present")).alias("nulls"))
+    wide = counted.select(
         "rows", (F.aggregate("nulls", F.lit(0).cast("bigint"), lambda a, b: a + b) * 100
                  / F.nullif(F.col("rows") * len(columns), F.lit(0))).alias("pct"),
         F.size(F.filter("nulls", lambda v: v / F.nullif(F.col("rows"), F.lit(0)) * 100 <= COLUMN_MISSING_PCT)).alias("kept"))
@@ -95,14 +109,14 @@ def dataset_gates(df, combined=False):
     return wide.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
 
 
-def gate_trace(df, label, combined=False):
+def gate_trace(df, label, combined=False, facts=None):
     """The gates as trace rows (step, status, detail, values)."""
-    gates = dataset_gates(df, combined).select(
+    gates = dataset_gates(df, combined, facts).select(
         F.col("position"), F.concat(F.lit("gate:"), "gate").alias("step"), "status",
         F.coalesce("reason", F.format_string("%s = %.2f, threshold %.2f", "gate", "value", "threshold")).alias("detail"),
         F.create_map(F.lit("value"), F.col("value").cast("string"), F.lit("threshold"),
                      F.col("threshold").cast("string")).alias("values"))
-    columns = column_gates(df).select(
+    columns = column_gates(df, facts=facts).select(
         F.lit(10).alias("position"), F.concat(F.lit("column:"), "column").alias("step"), "status",
         F.coalesce("reason", F.format_string("'%s': %.1f%%", "column", "null_pct")).alias("detail"),
         F.create_map(F.lit("null_pct"), F.col("null_pct").cast("string")).alias("values"))

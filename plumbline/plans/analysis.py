@@ -102,8 +102,9 @@ def analyse(df, label="table", order_by=None, combined=False, test="moments", mo
 
     Row order is data: without ``order_by`` all columns in table order define it.
     """
-    gate_rows, column_rows = gates.dataset_gates(df, combined), gates.column_gates(df)
-    trace = gates.gate_trace(df, label, combined).select("step", "status", "detail")
+    facts = local(gates.column_facts(df))
+    gate_rows, column_rows = gates.dataset_gates(df, combined, facts), gates.column_gates(df, facts=facts)
+    trace = gates.gate_trace(df, label, combined, facts).select("step", "status", "detail")
     tables = Sections(gates=lambda: gate_rows, columns=lambda: column_rows, trace=lambda: trace)
     stopped = gate_rows.where("status = 'BLOCK'").orderBy("position").select("reason").first()
     if stopped:

@@ -1,11 +1,15 @@
 """Order-dependent operators, trends, insights and charts (inventory W, R, I, K)."""
 
+from itertools import combinations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.store import new_folder
 from plumbline.operators import assoc, charts, features, gates, insights, order, stats, trend
 from plumbline.plans import analysis
 from plumbline.sources import sinks
+from plumbline.streaming.accumulate import Accumulated
 
 from suite.aggregates import MIXED, _FENCED, _MIXED, fenced, mixed
 from suite.base import GAPS_SQL, LINE_ORDER, SERIES, SERIES_SQL, each, gaps, query, series, table
@@ -299,13 +303,81 @@ def i10_counts(spark, sf):
 _CLEAN = SERIES_SQL + """, filled AS (SELECT * REPLACE (coalesce(gappy, (SELECT quantile_cont(gappy, 0.5) FROM series)) AS gappy) FROM series)"""
 
 
-@query("i12_full_analysis", _CLEAN + " " + each(("user_id", "value", "drift", "gappy", "falling"), """ count({c}) AS count, round(avg({c}), 4) AS mean,
- round(stddev_samp({c}), 4) AS std, round(quantile_cont({c} :: DOUBLE, 0.5), 4) AS median, round(skewness({c}), 4) AS skewness""", "filled"))
+_STATISTICS = _CLEAN + " " + each(("user_id", "value", "drift", "gappy", "falling"), """ count({c}) AS count, round(avg({c}), 4) AS mean,
+ round(stddev_samp({c}), 4) AS std, round(quantile_cont({c} :: DOUBLE, 0.5), 4) AS median, round(skewness({c}), 4) AS skewness""", "filled")
+
+
+@query("i12_full_analysis", _STATISTICS)
 def i12(spark, sf):
     report = analysis.analyse(series(spark, sf), "events", ["ts"])
     return report.tables["statistics"].select("column", "count", "mean", "std", "median", "skewness")
 
 
+@query("a13_accumulated_analysis", _STATISTICS)
+def a13(spark, sf):
+    """The same table in three batches that arrive out of order, one of them twice; the rows of each are dealt by their id."""
+    held, df = Accumulated(spark, new_folder(spark, "a13"), ["ts"]), series(spark, sf)
+    for number in (2, 0, 1, 0):
+        held.add(df.where(F.col("event_id") % 3 == number), number)
+    return held.report("events").tables["statistics"].select("column", "count", "mean", "std", "median", "skewness")
+
+
+# The sections of one report over lineitem side by side: (section, item, metric, value).
+_LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_LINE_TEXTS = ("l_returnflag", "l_linestatus")
+
+
+def _metrics(section, item, source, **metrics):
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {item} AS item, '{k}' AS metric, CAST({v} AS DOUBLE) AS value FROM {source}" for k, v in metrics.items())
+
+
+def _sections_sql():
+    n = "(SELECT count(*) FROM lines)"
+    parts = []
+    for c in _LINE_NUMBERS:
+        parts.append(_metrics("statistics", f"'{c}'", "lines", count=f"count({c})", mean=f"round(avg({c}), 4)", std=f"round(stddev_samp({c}), 4)",
+                              median=f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4)", p95=f"round(quantile_cont(CAST({c} AS DOUBLE), 0.95), 4)", skewness=f"round(skewness({c}), 4)"))
+        parts.append(_metrics("confidence", f"'{c}'", "lines", score=f"floor(40 + least(30, log10(count({c})) / log10(300) * 30) + greatest(0, 30 * (1 - abs(stddev_samp({c}) / avg({c})) / 2)))"))
+        fence = f"(SELECT {c} AS v, q1, q3 FROM lines, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM lines))"
+        parts.append(_metrics("outliers", f"'{c}'", fence, count="count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1))"))
+        z = f"(SELECT abs((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_samp({c}) OVER ()) AS z FROM lines)"
+        parts.append(_metrics("anomalies", f"'{c}'", z, count="count(*) FILTER (WHERE z >= 3)"))
+        line = f"(SELECT CAST({c} AS DOUBLE) AS y, row_number() OVER (ORDER BY {_ORDER}) - 1 AS x FROM lines)"
+        parts.append(_metrics("predictions", f"'{c}'", line, slope="round(regr_slope(y, x), 6)", r2="round(round(corr(y, x), 10) * round(corr(y, x), 10), 4)"))
+    for a, b in combinations(_LINE_NUMBERS, 2):
+        parts.append(_metrics("correlations", f"'{a} {b}'", "lines", r=f"round(corr({a}, {b}), 4)"))
+    for c in _LINE_TEXTS:
+        parts.append(f"SELECT 'categories', concat('{c} ', {c}), 'count', CAST(count(*) AS DOUBLE) FROM lines GROUP BY {c}")
+    parts.append(_metrics("gates", "'min_rows'", "lines", value="count(*)"))
+    parts.append(_metrics("completeness", "'all'", "lines", completeness_pct="CASE WHEN count(*) > 0 THEN 100 END"))
+    return f"WITH lines AS (SELECT DISTINCT {', '.join(_SECTION_COLUMNS)} FROM lineitem) SELECT * FROM (" + " UNION ALL ".join(parts) + f") t WHERE {n} > 0"
+
+
+_SECTION_COLUMNS = ("l_shipdate", "l_linenumber", *_LINE_NUMBERS, *_LINE_TEXTS)
+
+
+@query("i12_all_sections", _sections_sql())
+def i12_sections(spark, sf):
+    report = analysis.analyse(table(spark, sf, "lineitem").select(*_SECTION_COLUMNS), "lineitem", LINE_KEYS)
+    t, known = report.tables, F.col("column").isin(list(_LINE_NUMBERS))
+
+    def told(section, df, item, *metrics):
+        """Metrics of a section as rows."""
+        rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+        return df.select(F.lit(section).alias("section"), item.alias("item"), rows.alias("m")).select("section", "item", "m.*")
+
+    anomalies = insights.anomaly_facts(t["cleaned"], list(_LINE_NUMBERS))
+    return stats.union_all([
+        told("statistics", t["statistics"].where(known), F.col("column"), "count", "mean", "std", "median", "p95", "skewness"),
+        told("confidence", t["confidence"].where(known).withColumn("score", F.col("score")), F.col("column"), "score"),
+        told("outliers", t["outliers"].where(known), F.col("column"), "count"), told("anomalies", anomalies, F.col("column"), "count"),
+        told("predictions", t["predictions"].where(known), F.col("column"), "slope", "r2"),
+        told("correlations", t["correlations"].where(F.col("col1").isin(list(_LINE_NUMBERS)) & F.col("col2").isin(list(_LINE_NUMBERS))), F.concat_ws(" ", "col1", "col2"), "r"),
+        told("categories", t["categories"], F.concat_ws(" ", "column", "value"), "count"),
+        told("gates", t["gates"].where("gate = 'min_rows'"), F.col("gate"), "value"),
+        told("completeness", t["completeness"], F.lit("all"), "completeness_pct")])
+
+
 # ---- charts -------------------------------------------------------------------------------------------------------
 _BARS = GAPS_SQL + ", bars AS (" + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", rank, substr(v, 1, 28) AS name, n AS count, round(n / (SELECT count(*) FROM gaps) * 100, 1) AS pct
