@@ -1,5 +1,10 @@
 """What a table holds: shape, completeness, per-column profile, catalog of several tables."""
 
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,11 +65,68 @@ def duplicate_rows(df):
     return groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"))
 
 
-def _distinct(df, c):
-    """Distinct non-null values of one column in its own type: the scan reads that column alone and copies meet before the shuffle."""
-    value = F.to_json(F.struct(col(c))) if isinstance(type_of(df, c), (T.MapType, T.VariantType)) else col(c)
-    values = df.where(col(c).isNotNull()).select(value.alias("v")).distinct()
-    return values.agg(F.count(F.lit(1)).alias("distinct")).select(F.lit(c).alias("column"), "distinct")
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+HELD_VALUES = 2_000_000
+
+
+def _plain(df, c):
+    """A column as a whole number, a double (one NaN, one zero) or a text, equal for equal values."""
+    kind = type_of(df, c)
+    if isinstance(kind, WHOLE):
+        return col(c).cast("bigint")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col(c)).cast("bigint")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col(c))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(F.isnan(col(c)), F.lit(float("nan"))).otherwise(col(c).cast("double") + 0.0)
+    if isinstance(kind, (T.MapType, T.VariantType, T.StructType, T.ArrayType)):
+        return F.when(col(c).isNotNull(), F.to_json(F.struct(col(c))))
+    return F.hex(col(c)) if isinstance(kind, T.BinaryType) else col(c).cast("string")
+
+
+def _values_seen(batches):
+    """i, a, b: which values each column has, from one set per column and task; a is the number itself, or a and b a text's 128-bit digest.
+    Sets of more than HELD_VALUES entries are told and begun anew."""
+    def told(sets):
+        for i, (numbers, texts) in sets.items():
+            a = np.concatenate([np.unique(np.concatenate(numbers))] if numbers else [np.empty(0, np.int64)])
+            b = np.zeros(a.size, np.int64)
+            if texts:
+                digests = np.frombuffer(b"".join(blake2b(t.encode(), digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
+                a, b = digests[:, 0], digests[:, 1]
+            if a.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(a.size, i, np.int32)), pa.array(a), pa.array(b)], names=["i", "a", "b"])
+
+    sets, held = {}, 0
+    for batch in batches:
+        for i, column in enumerate(batch.columns):
+            numbers, texts = sets.setdefault(i, ([], set()))
+            values = pc.unique(column).drop_null()
+            if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
+                before = len(texts)
+                texts.update(values.to_pylist())
+                held += len(texts) - before
+            elif len(values):
+                whole = values.to_numpy()
+                numbers.append(whole.view(np.int64))
+                held += len(values)
+                if len(numbers) > 64:
+                    sets[i] = ([np.unique(np.concatenate(numbers))], texts)
+                    held -= sum(map(len, numbers)) - len(sets[i][0][0])
+        if held > HELD_VALUES:
+            yield from told(sets)
+            sets, held = {}, 0
+    yield from told(sets)
+
+
+def _distinct(df, columns):
+    """column, distinct: non-null values of all columns in one scan and one shuffle; copies meet in their task before it."""
+    plain = df.select(*[_plain(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    seen = plain.mapInArrow(_values_seen, "i int, a bigint, b bigint").distinct()
+    counted = seen.groupBy("i").agg(F.count(F.lit(1)).alias("distinct"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, column string")
+    return names.join(counted, "i", "left").select("column", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
 def distinct_counts(df, columns=None, approximate=False):
@@ -73,7 +135,7 @@ def distinct_counts(df, columns=None, approximate=False):
     if approximate:
         counted = per_column(df, columns, lambda c: [F.approx_count_distinct(col(c)).alias("distinct")])
     else:
-        counted = union_all([_distinct(df, c) for c in columns])
+        counted = _distinct(df, list(columns))
     return counted.select("column", "distinct", cardinality(F.col("distinct")).alias("cardinality"))
 
 

@@ -2,16 +2,17 @@
 
 import re
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import (
-    INTEGRAL, chunks, col, columns_of, date_columns, numeric_columns, text_columns,
+    INTEGRAL, col, columns_of, date_columns, numeric_columns, text_columns,
 )
 from plumbline.functions.names import (
     KEY_CODE_PATTERN, KEY_LONG_CODE_PATTERN, is_key_name, is_row_index_name,
 )
-from plumbline.operators.stats import per_column, union_all
+from plumbline.operators.stats import per_column
 
 # The date layouts a text column is tried against, most common first.
 DATE_FORMATS = (
@@ -19,7 +20,6 @@ DATE_FORMATS = (
     "MM/dd/yyyy", "M/d/yyyy", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yyyy",
     "dd MMM yyyy", "dd-MMM-yyyy", "MMM dd, yyyy", "yyyyMMdd",
 )
-COLUMNS_PER_VOTE = 2
 
 
 @dataclass
@@ -97,46 +97,53 @@ def detect_keys(df, mode="reference"):
     return [c for c, *_, is_key in _key_facts(df, mode) if is_key]
 
 
-def layout_shape(layout):
-    """A pattern every text in the layout has; it keeps values of other shapes away from the parser."""
-    widths = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}",
-              "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}"}
+# Digits and letters, and what stands for them in a shape.
+_MARKED = "0123456789" + "".join(chr(65 + i) + chr(97 + i) for i in range(26))
+_MARKS = "9" * 10 + "a" * 52
+_WIDTHS = {"yyyy": ["9999"], "MMM": ["aaa"], "MM": ["99"], "M": ["9", "99"], "dd": ["99"], "d": ["9", "99"], "HH": ["99"], "mm": ["99"], "ss": ["99"]}
+
+
+def layout_shapes(layout):
+    """The shapes (digits as 9, letters as a) that a text in the layout can have."""
     parts = [m.group(0) for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|[^A-Za-z']", layout)]
-    return "^" + "".join(widths.get(p, re.escape(p.strip("'"))) for p in parts) + "$"
+    marked = lambda p: ["".join("a" if c.isalpha() else c for c in p.strip("'"))]
+    return ["".join(p) for p in product(*[_WIDTHS.get(p) or marked(p) for p in parts])]
+
+
+def shape(text):
+    return F.translate(text, _MARKED, _MARKS)
+
+
+def _parsed(text, shaped, layout):
+    """A text as a timestamp; texts of other shapes are kept away from the parser."""
+    return F.when(shaped.isin(layout_shapes(layout)), F.try_to_timestamp(text, F.lit(layout)))
 
 
 def parsed_date(c, layout):
     text = F.trim(col(c))
-    return F.when(text.rlike(layout_shape(layout)), F.try_to_timestamp(text, F.lit(layout)))
+    return _parsed(text, shape(text), layout)
 
 
 def date_votes(df, columns=None, formats=DATE_FORMATS):
-    """Per text column and layout: the share of all rows that parse."""
-    columns = columns or text_columns(df)
-    frames = [
-        per_column(df, columns, lambda c, f=f: [
-            (F.count(parsed_date(c, f)) / F.count(F.lit(1))).alias("share")])
-        .select("column", F.lit(f).alias("format"), F.lit(i).alias("at"), "share")
-        for i, f in enumerate(formats)
-    ]
-    return union_all(frames)
+    """Per text column and layout: the share of all rows that parse. One scan: texts are lined up under their column's name, and
+    only those with the shape of a layout are tried against it, so that the plan has each layout once, however many columns there are."""
+    columns = text_columns(df) if columns is None else list(columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, format string, at int, share double")
+    longest = max(len(s) for f in formats for s in layout_shapes(f))
+    lined = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(col(c)).alias("text")) for c in columns])).alias("t")).select("t.*")
+    shaped = lined.withColumn("shape", F.when(F.length("text") <= longest, shape(F.col("text"))))
+    votes = shaped.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count(_parsed(F.col("text"), F.col("shape"), f)).alias(f"v{j}") for j, f in enumerate(formats)])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("format"), F.lit(j).alias("at"), (F.col(f"v{j}") / F.col("rows")).alias("share")) for j, f in enumerate(formats)]))
+    return votes.select("column", each.alias("v")).select("column", "v.*")
 
 
 def date_formats(df, columns=None, formats=DATE_FORMATS, least=0.6):
     """{column: layout} for text columns where one layout parses more than ``least`` of all rows."""
-    columns = text_columns(df) if columns is None else columns
-    if not columns:
-        return {}
-    chosen = {}
-    for part in chunks(columns, COLUMNS_PER_VOTE):
-        wide = df.agg(F.count(F.lit(1)).alias("rows"), *[
-            F.count(parsed_date(c, f)).alias(f"d{i}_{j}") for i, c in enumerate(part) for j, f in enumerate(formats)
-        ]).first()
-        for i, c in enumerate(part):
-            votes = [wide[f"d{i}_{j}"] for j in range(len(formats))]
-            if max(votes) > least * wide["rows"]:
-                chosen[c] = formats[votes.index(max(votes))]
-    return chosen
+    best = F.max(F.struct("share", (-F.col("at")).alias("first"), "format"))
+    found = date_votes(df, columns, formats).groupBy("column").agg(best.alias("b")).where(F.col("b.share") > least)
+    return {r["column"]: r["b"]["format"] for r in found.collect()}
 
 
 def promote_dates(df, columns=None, formats=DATE_FORMATS, least=0.6):
