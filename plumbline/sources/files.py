@@ -3,10 +3,14 @@
 Only the first lines of a file ever reach the driver; the rows are parsed by Spark.
 """
 
+import bisect
 import csv
 import os
+from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,22 +48,131 @@ def header_position(rows, candidates=HEADER_CANDIDATES):
     return best
 
 
+def _raw_lines(spark, path):
+    """Every line with its file, the place of its block in the file and an order within the block; bytes are kept as they are."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+
+
 def detect_encoding(spark, path):
-    """UTF-8 if every line of the file is valid UTF-8, else Latin-1 (which accepts any bytes)."""
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    """UTF-8 if every line is valid UTF-8, else Latin-1 (which accepts any bytes); of a folder, what most of its files need."""
+    found = [f.encoding for f in sniff_files(spark, path)]
+    return max(set(found), key=found.count) if found else "UTF-8"
+
+
+@dataclass
+class Sniffed:
+    """What the first lines and the bytes of one file tell: its encoding, header and where its rows begin."""
+
+    path: str
+    encoding: str
+    open_quotes: bool
+    lines: list
+
+    def header(self, sep):
+        """(line number, cells); None for a file without lines."""
+        head = [(n, next(csv.reader([text], delimiter=sep))) for n, text in self.lines]
+        return head[header_position([cells for _, cells in head])] if head else None
+
+    @property
+    def first(self):
+        return self.lines[0][0] if self.lines else 0
+
+
+def sniff_files(spark, path, encoding=None):
+    """A1, A2: every file on its own, all in two scans: which hold bytes that are not UTF-8 or values that go on in the next line, and
+    the first lines of each."""
+    lines = _raw_lines(spark, path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    facts = lines.groupBy("_file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open"),
+                                       F.min(F.when(F.col("_at") == 0, F.col("_id"))).alias("begin")).collect()
+    begin = {r["_file"]: r["begin"] or 0 for r in facts}
+    order = Window.partitionBy("_file").orderBy("_id")
+    filled = lines.where((F.col("_at") == 0) & (F.trim("value") != ""))
+    top = filled.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= HEAD_LINES)  # each task keeps that many a file
+    heads = {}
+    for r in top.select("_file", "_id", F.col("value").cast("binary").alias("value")).collect():
+        heads.setdefault(r["_file"], []).append((r["_id"] - begin[r["_file"]], bytes(r["value"])))
+    found = []
+    for r in sorted(facts, key=lambda r: r["_file"]):
+        kind = encoding or ("UTF-8" if r["utf8"] else "ISO-8859-1")
+        found.append(Sniffed(r["_file"], kind, r["open"], [(n, text.decode(kind, "replace")) for n, text in sorted(heads.get(r["_file"], []))]))
+    return found
 
 
 def numbered_lines(spark, path, encoding="UTF-8"):
-    """Non-blank lines with ``_line``: exact in the file's first block, a large number after it.
+    """Non-blank lines with ``_line``: exact in a file's first block, a large number after it.
 
     Rows of one file block are read in order by one task, so their ids differ from the first row's by the line.
     """
-    lines = spark.read.option("encoding", encoding).text(path).select(
-        "value", F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_block_start").alias("_at"))
-    start = lines.where("_at = 0").agg(F.min("_id").alias("s")).first()["s"] or 0
-    return lines.withColumn("_line", F.when(F.col("_at") == 0, F.col("_id") - start).otherwise(F.lit(LATER_BLOCK))).where(
-        F.trim("value") != "").select("_line", "value")
+    lines = _decoded(spark, path, encoding)
+    first = lines.where("_at = 0").groupBy("_file").agg(F.min("_id").alias("_start"))  # a row per file
+    return lines.join(F.broadcast(first), "_file", "left").withColumn("_line", _line_number(F.col("_start"))).where(F.trim("value") != "").select("_line", "value")
+
+
+def _line_number(start):
+    return F.when(F.col("_at") == 0, F.col("_id") - start).otherwise(F.lit(LATER_BLOCK))
+
+
+def _decoded(spark, path, encoding):
+    lines = _raw_lines(spark, path)
+    return lines if encoding == "UTF-8" else lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+
+
+def records(lines):
+    """Lines (``_file``, ``_at``, ``_id``, value) joined where a quoted value goes on in the next line, in parallel.
+
+    A block's quotes are counted first; from the blocks with an odd number of them follows which blocks begin inside a value. Every task then
+    joins its own lines. What it has of values that cross a block border are pieces, two a block at most, which are put together after.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    odd = {}
+    for r in lines.groupBy("_file", "_at").agg((F.sum(quotes) % 2).alias("odd")).where("odd = 1").collect():
+        odd.setdefault(r["_file"], []).append(r["_at"])
+    odd = {f: sorted(v) for f, v in odd.items()}
+    schema = "_file string, _at bigint, _id bigint, value string, piece int"
+
+    def join(batches):
+        block, held, first, out = None, None, None, []
+
+        def close():
+            """The end of a block: an open value is a piece that later blocks go on with."""
+            if held is not None:
+                out.append((*block, first, "\n".join(held), 0 if first is None else 1))
+
+        for batch in batches:
+            for file, at, key, value in zip(*[batch.column(n).to_pylist() for n in ("_file", "_at", "_id", "value")]):
+                if (file, at) != block:
+                    if block:
+                        close()
+                    block = (file, at)
+                    held, first = ([], None) if bisect.bisect_left(odd.get(file, []), at) % 2 else (None, None)
+                turns = value.count('"') % 2
+                if held is None and not turns:
+                    out.append((file, at, key, value, None))
+                elif held is None:
+                    held, first = [value], key
+                else:
+                    held.append(value)
+                    if turns:
+                        out.append((file, at, first, "\n".join(held), 0 if first is None else None))
+                        held = None
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()))],
+                                                 names=["_file", "_at", "_id", "value", "piece"])
+                out = []
+        if block:
+            close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()))],
+                                             names=["_file", "_at", "_id", "value", "piece"])
+
+    joined = lines.select("_file", "_at", "_id", "value").mapInArrow(join, schema)
+    pieces = joined.where("piece IS NOT NULL").withColumn("_record", F.sum("piece").over(Window.partitionBy("_file").orderBy("_at", "piece")))
+    whole = pieces.groupBy("_file", "_record").agg(
+        F.min(F.struct("_at", "piece", "_id")).alias("f"), F.array_sort(F.collect_list(F.struct("_at", "piece", "value"))).alias("v"))
+    ended = whole.select("_file", F.col("f._at").alias("_at"), F.col("f._id").alias("_id"), F.array_join(F.transform("v", lambda x: x["value"]), "\n").alias("value"))
+    return joined.where("piece IS NULL").drop("piece").unionByName(ended)
 
 
 def _head(lines, sep):
@@ -79,7 +192,7 @@ def _header_names(cells):
 
 def _parse(lines, names, sep):
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    parsed = lines.select("_line", F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep}).alias("r"))
+    parsed = lines.select("_line", F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "escape": '"'}).alias("r"))
     return parsed.select("_line", *[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
 
 
@@ -108,37 +221,40 @@ def _filled(c):
 
 
 def read_csv_sniffed(spark, path, sep=",", schema=None, encoding=None, tidy_up=True):
-    """A1, A2: CSV whose header is the most header-like of the first lines.
+    """A1, A2: CSV whose header is the most header-like of the first lines, of a file or of all files of a folder.
 
-    A header on the first line goes through Spark's CSV reader; a later one drops exactly the lines up to it. In a folder
-    whose files begin with other lines every file is sniffed on its own. Quoted line breaks stay inside their value.
+    Every file is sniffed on its own for its encoding and header. Files that all begin with one header go through Spark's CSV reader. Else files that
+    agree in header, encoding and open quotes are read together as lines, exactly the lines up to each file's header are dropped, and columns
+    meet by name. Quoted line breaks stay inside their value (as line feeds), and such files are read by many tasks too.
     """
-    encoding = encoding or detect_encoding(spark, path)
-    lines = numbered_lines(spark, path, encoding)
-    head = _head(lines, sep)
-    if not head:
+    found = [(f, f.header(sep)) for f in sniff_files(spark, path, encoding)]
+    found = [(f, h) for f, h in found if h]
+    if not found:
         return spark.createDataFrame([], T.StructType())
-    at = header_position([cells for _, cells in head])
-    line, cells = head[at]
-    plain = line == 0 or (at == 0 and line == head[0][0])
-    paths = [] if plain else sorted(lines.inputFiles())
-    if len(paths) > 1:
-        parts = [read_csv_sniffed(spark, p, sep, schema, encoding, tidy_up) for p in paths]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    broken = _has_open_quotes(lines)
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", broken).option("escape", '"')
-    if plain:
-        reader = reader.option("header", True)
-        reader = reader.schema(schema) if schema else reader.option("inferSchema", True).option(
-            "preferDate", False).option("inferTimestamp", False)
-        df = reader.csv(path)
-    elif broken:
-        df = _after_header(reader, path, cells)
+    kinds = {}
+    for f, (line, cells) in found:
+        kinds.setdefault((tuple(_header_names(cells)), f.encoding, f.open_quotes), []).append((f, line))
+    (names, kind, broken), same = next(iter(kinds.items()))
+    if len(kinds) == 1 and not broken and all(line == f.first for f, line in same):
+        reader = spark.read.option("sep", sep).option("encoding", kind).option("escape", '"').option("header", True)
+        reader = reader.schema(schema) if schema else reader.option("inferSchema", True).option("preferDate", False).option("inferTimestamp", False)
+        df = reader.csv([f.path for f, _ in same])
     else:
-        df = table_of_lines(lines, sep)
+        parts = [_table_of_files(spark, names, kind, broken, files, sep) for (names, kind, broken), files in kinds.items()]
+        df = infer_types(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
     return tidy(df) if tidy_up else df
 
 
+def _table_of_files(spark, names, encoding, broken, files, sep):
+    """The rows below the headers of files of one kind, as texts."""
+    lines = _decoded(spark, [f.path for f, _ in files], encoding)
+    lines = records(lines) if broken else lines
+    borders = spark.createDataFrame([(f.path, line) for f, line in files], "_file string, _header bigint")  # a row per file
+    first = lines.where("_at = 0").groupBy("_file").agg(F.min("_id").alias("_start"))
+    known = lines.join(F.broadcast(borders.join(first, "_file", "left")), "_file").withColumn("_line", _line_number(F.col("_start")))
+    return _parse(known.where((F.col("_line") > F.col("_header")) & (F.trim("value") != "")), names, sep).drop("_line")
+
+
 def table_of_lines(lines, sep=","):
     """A1: the table below the header that lines (``_line``, ``value``) hold, typed where every value allows it."""
     head = _head(lines, sep)
@@ -146,22 +262,6 @@ def table_of_lines(lines, sep=","):
     return infer_types(_parse(lines.where(F.col("_line") > line), _header_names(cells), sep).drop("_line"))
 
 
-def _has_open_quotes(lines):
-    """Whether some line holds an odd number of quotes, so that a value goes on in the next one."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return lines.where(quotes % 2 == 1).limit(1).count() > 0
-
-
-def _after_header(reader, path, cells):
-    """Rows below the header of one file whose values hold line breaks: such a file is read by one task, in order."""
-    names = _header_names(cells)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = reader.schema(schema).option("mode", "PERMISSIVE").csv(path).withColumn("_line", F.monotonically_increasing_id())
-    same = reduce(lambda a, b: a & b, [F.coalesce(F.trim(F.col(f"c{i}")), F.lit("")) == c.strip() for i, c in enumerate(cells)])
-    start = rows.where(same).agg(F.min("_line")).first()[0]
-    return infer_types(rows.where(F.col("_line") > F.lit(start)).drop("_line").toDF(*names))
-
-
 def tidy(df, drop_all_unnamed=False):
     """A5: drop empty (or all) ``Unnamed`` columns, trim the names, drop rows without any value."""
     suspects = [c for c in df.columns if c.startswith("Unnamed") or c.startswith("_c") and c[2:].isdigit()]

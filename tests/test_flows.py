@@ -148,3 +148,43 @@ def test_arrivals(spark, tmp_path):
         measured(spark, 30).write.mode("append").parquet(source)
     got = spark.read.parquet(os.path.join(out, "statistics")).groupBy("batch").agg(F.max("count").alias("n")).orderBy("batch").collect()
     assert [r["n"] for r in got] == [60, 60]  # the second batch repeats rows of the first
+
+
+def test_csv_folder_of_different_files(spark, tmp_path):
+    """Plain and larger, with a preamble, in another encoding, with other columns and with quoted line breaks: each file is its own."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder / "a.csv", "id,name\n" + "".join(f"{i},plain {i}\n" for i in range(200)))
+    write(folder / "b.csv", "Sales report,\n\nid,name\n500,below\n501,below\n")
+    write(folder / "c.csv", "id,name\n600,Málaga\n", "latin-1")
+    write(folder / "d.csv", 'id,name,note\n700,x,"two\nlines"\n701,"a ""b""",n\n')
+    got = files.read_csv_sniffed(spark, str(folder))
+    assert dict(got.dtypes)["id"] == "bigint" and got.columns == ["id", "name", "note"]
+    rows = {r["id"]: (r["name"], r["note"]) for r in got.collect()}
+    assert len(rows) == 205 and rows[0] == ("plain 0", None) and rows[500] == ("below", None)
+    assert rows[600] == ("Málaga", None) and rows[700] == ("x", "two\nlines") and rows[701] == ('a "b"', "n")
+    assert [f.encoding for f in files.sniff_files(spark, str(folder))] == ["UTF-8", "UTF-8", "ISO-8859-1", "UTF-8"]
+
+
+def test_quoted_line_breaks_across_blocks(spark, tmp_path):
+    """One file read by many tasks, values crossing one or several block borders and closing and opening in the same block."""
+    import csv
+    import random
+    rnd = random.Random(3)
+    want = [(str(i), "\n".join("x" * rnd.randint(0, 30) for _ in range(rnd.choice([1, 1, 2, 5, 40]))), 'q "' * rnd.randint(0, 2)) for i in range(800)]
+    path = tmp_path / "q.csv"
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["key", "long text", "more"])
+        out.writerows(want)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = files.read_csv_sniffed(spark, str(path), tidy_up=False)
+        assert got.rdd.getNumPartitions() > 20
+        rows = sorted((str(r["key"]), r["long text"] or "", r["more"] or "") for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert rows == sorted((a, b if b.strip() else "", c) for a, b, c in want)
