@@ -6,11 +6,12 @@ Only the first lines of a file ever reach the driver; the rows are parsed by Spa
 import bisect
 import csv
 import os
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,7 @@ from plumbline.operators.roles import detect_keys
 HEAD_LINES = 20
 HEADER_CANDIDATES = 15
 LATER_BLOCK = 1 << 40
+PIECES = "_file string, _at bigint, _id bigint, value string, piece int"
 
 
 def _is_number(text):
@@ -130,7 +132,6 @@ def records(lines):
     for r in lines.groupBy("_file", "_at").agg((F.sum(quotes) % 2).alias("odd")).where("odd = 1").collect():
         odd.setdefault(r["_file"], []).append(r["_at"])
     odd = {f: sorted(v) for f, v in odd.items()}
-    schema = "_file string, _at bigint, _id bigint, value string, piece int"
 
     def join(batches):
         block, held, first, out = None, None, None, []
@@ -158,23 +159,111 @@ def records(lines):
                         out.append((file, at, first, "\n".join(held), 0 if first is None else None))
                         held = None
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()))],
-                                                 names=["_file", "_at", "_id", "value", "piece"])
+                yield _batch(out)
                 out = []
         if block:
             close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()))],
-                                             names=["_file", "_at", "_id", "value", "piece"])
+            yield _batch(out)
 
-    joined = lines.select("_file", "_at", "_id", "value").mapInArrow(join, schema)
+    return _put_together(lines.select("_file", "_at", "_id", "value").mapInArrow(join, PIECES), "\n")
+
+
+def _put_together(joined, sep):
+    """Whole values, and those made of the pieces of several blocks: a piece 1 begins one, the pieces 0 after it go on with it."""
     pieces = joined.where("piece IS NOT NULL").withColumn("_record", F.sum("piece").over(Window.partitionBy("_file").orderBy("_at", "piece")))
     whole = pieces.groupBy("_file", "_record").agg(
         F.min(F.struct("_at", "piece", "_id")).alias("f"), F.array_sort(F.collect_list(F.struct("_at", "piece", "value"))).alias("v"))
-    ended = whole.select("_file", F.col("f._at").alias("_at"), F.col("f._id").alias("_id"), F.array_join(F.transform("v", lambda x: x["value"]), "\n").alias("value"))
+    ended = whole.select("_file", F.col("f._at").alias("_at"), F.col("f._id").alias("_id"), F.array_join(F.transform("v", lambda x: x["value"]), sep).alias("value"))
     return joined.where("piece IS NULL").drop("piece").unionByName(ended)
 
 
+def _batch(rows):
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=["_file", "_at", "_id", "value", "piece"])
+
+
+# ---- arrays of JSON records, cut into records by many tasks --------------------------------------------------------
+JSON_MARK = re.compile(r'"|\\.|[{}\[\]]', re.S)
+
+
+def _depth_after(text, depth, inside):
+    """Depth and whether a string is open after a text that ends before a closing brace, and after that brace."""
+    for m in JSON_MARK.finditer(text):
+        mark = m.group()
+        if mark == '"':
+            inside = not inside
+        elif not inside:
+            depth += (mark in "{[") - (mark in "}]")
+    return (depth, True) if inside else (depth - 1, False)
+
+
+def json_records(spark, path):
+    """The objects of JSON arrays (or one after another) as texts, in parallel, wherever line breaks stand.
+
+    Files are split at closing braces. For each block it is found how depth and open strings change across it, whether or not it begins
+    inside a string; composed in order, a row per block, this gives every block its beginning. Then each task cuts its own blocks into
+    records; those that cross a border are put together from pieces.
+    """
+    parts = spark.read.option("lineSep", "}").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+
+    def change(batches):
+        state = {}
+        for batch in batches:
+            for file, at, value in zip(*[batch.column(n).to_pylist() for n in ("_file", "_at", "value")]):
+                (d0, i0), (d1, i1), array = state.get((file, at), ((0, False), (0, True), None))
+                array = value.lstrip()[:1] == "[" if array is None else array
+                state[file, at] = _depth_after(value, d0, i0), _depth_after(value, d1, i1), array
+        if state:
+            rows = [(f, a, d0, i0, d1, i1, array) for (f, a), ((d0, i0), (d1, i1), array) in state.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v)) for v in zip(*rows)], names=["_file", "_at", "d0", "i0", "d1", "i1", "array"])
+
+    begins, depth, inside, array, file = {}, 0, False, False, None
+    changes = parts.mapInArrow(change, "_file string, _at bigint, d0 bigint, i0 boolean, d1 bigint, i1 boolean, array boolean")
+    for r in changes.orderBy("_file", "_at").collect():
+        if r["_file"] != file:
+            file, depth, inside, array = r["_file"], 0, False, r["array"]
+        begins[file, r["_at"]] = depth, inside, int(array)
+        depth, inside = (depth + r["d1"], r["i1"]) if inside else (depth + r["d0"], r["i0"])
+    told = spark.sparkContext.broadcast(begins)
+
+    def cut(batches):
+        block, depth, inside, base, held, first, out = None, 0, False, 0, None, None, []
+        for batch in batches:
+            for file, at, key, value in zip(*[batch.column(n).to_pylist() for n in ("_file", "_at", "_id", "value")]):
+                if (file, at) != block:
+                    if held is not None:
+                        out.append((*block, first, "".join(held), 0 if first is None else 1))
+                    block, (depth, inside, base) = (file, at), told.value[file, at]
+                    held, first = ([], None) if depth > base else (None, None)
+                begin = 0
+                for m in JSON_MARK.finditer(value):
+                    mark = m.group()
+                    if mark == '"':
+                        inside = not inside
+                    elif not inside and len(mark) == 1:
+                        if mark == "{" and depth == base:
+                            held, first, begin = [], key, m.start()
+                        depth += (mark in "{[") - (mark in "}]")
+                if held is not None:
+                    held.append(value[begin:] + "}")
+                if not inside:
+                    depth -= 1
+                    if depth == base and held is not None:
+                        out.append((*block, first, "".join(held), 0 if first is None else None))
+                        held = None
+            if out:
+                yield _batch(out)
+                out = []
+        if held is not None:
+            out.append((*block, first, "".join(held), 0 if first is None else 1))
+        if out:
+            yield _batch(out)
+
+    return _put_together(parts.select("_file", "_at", "_id", "value").mapInArrow(cut, PIECES), "").select("value")
+
+
 def _head(lines, sep):
     """[(line number, cells)] of the first lines."""
     first = lines.orderBy("_line").limit(HEAD_LINES).collect()
@@ -273,8 +362,12 @@ def tidy(df, drop_all_unnamed=False):
 
 
 def read_json(spark, path, lines=False, tidy_up=True):
-    """A3: an array of records, or JSON lines (which Spark can split)."""
-    df = spark.read.json(path, multiLine=not lines)
+    """A3: an array of records, records one after another, or JSON lines; all are read by many tasks."""
+    if lines:
+        df = spark.read.json(path)
+    else:
+        texts = getattr(json_records(spark, path)._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        df = DataFrame(spark.read._jreader.json(texts), spark)
     return tidy(df) if tidy_up else df
 
 

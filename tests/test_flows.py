@@ -188,3 +188,29 @@ def test_quoted_line_breaks_across_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
         spark.conf.set("spark.sql.files.openCostInBytes", was[1])
     assert rows == sorted((a, b if b.strip() else "", c) for a, b, c in want)
+
+
+def test_json_arrays_are_read_by_many_tasks(spark, tmp_path):
+    """Arrays on one line and over many, nested values, braces and quotes in strings, records across block borders, records without an array."""
+    import random
+    rnd = random.Random(5)
+    text = lambda: "".join(rnd.choice(['{', '}', '[', ']', '"', '\\', 'é', 'x', '\n', ',', ':']) for _ in range(rnd.choice([0, 3, 60, 900])))
+    want = [{"id": i, "s": text(), "deep": {"a": [{"b": text()}, {"b": None}], "c": i % 3}, "none": None} for i in range(300)]
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    write(folder / "one.json", json.dumps(want[:100], ensure_ascii=False))
+    write(folder / "many.json", json.dumps(want[100:200], indent=2))
+    write(folder / "row.json", "\n".join(json.dumps(w, indent=1) for w in want[200:]))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert files.json_records(spark, str(folder)).rdd.getNumPartitions() > 20
+        got = files.read_json(spark, str(folder), tidy_up=False)
+        rows = {r["id"]: (r["s"], [x["b"] for x in r["deep"]["a"]], r["deep"]["c"]) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert rows == {w["id"]: (w["s"], [x["b"] for x in w["deep"]["a"]], w["deep"]["c"]) for w in want}
+    write(tmp_path / "none.json", "[]")
+    assert files.json_records(spark, str(tmp_path / "none.json")).count() == 0
