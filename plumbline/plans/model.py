@@ -10,6 +10,7 @@ from plumbline.operators.profile import joined_schema_profile
 from plumbline.operators.roles import detect_keys
 from plumbline.operators.star import Dim, detect_fact, relationships, star_join
 from plumbline.plans.analysis import analyse
+from plumbline.sources import files
 from plumbline.functions.expr import numeric_columns
 
 
@@ -34,6 +35,33 @@ class Model:
         return joined_schema_profile(self.df, self.fact, {d.fact_key: d.name for d in self.dims}, self.keys, order_by)
 
 
+def read_model(spark, folder, fact=None, sep=","):
+    """E7 with A4, A6: (tables of a folder by name, the fact's name). Every CSV file beside the fact's may hold several dimensions next to each
+    other, each of which becomes a table named by its key; without a fact the files stay as they are."""
+    tables = files.read_tables(spark, folder)
+    fact = fact or detect_fact(tables, {name: detect_keys(df) for name, df in tables.items()})
+    if fact is None:
+        return tables, None
+    return split_dimensions(tables, fact, {
+        label: files.split_side_by_side(spark, path, sep) for label, path in files.labelled_files(spark, folder).items()
+        if label in tables and label != fact and path.lower().endswith(".csv")}), fact
+
+
+def split_dimensions(tables, fact, parts):
+    """The tables with those named in ``parts`` replaced by their parts; a part's name that is taken gets its table's name before it."""
+    found = {fact: tables[fact]}
+    for name, df in tables.items():
+        for key, part in parts.get(name, {name: df}).items() if name != fact else ():
+            found[key if key not in found else f"{name}:{key}"] = part
+    return found
+
+
+def join_folder(spark, folder, fact=None):
+    """The joined model of a folder of files."""
+    tables, fact = read_model(spark, folder, fact)
+    return join_model(tables, fact)
+
+
 def join_model(tables, fact=None):
     """Find the fact table, join every table that shares one of its keys, derive measures.
 

@@ -62,6 +62,17 @@ def detect_encoding(spark, path):
     return max(set(found), key=found.count) if found else "UTF-8"
 
 
+def _whole(lines):
+    """The first lines with quoted values that go on joined; what is still open at the end is left out."""
+    out, held = [], None
+    for n, text in lines:
+        n, text = (held[0], f"{held[1]}\n{text}") if held else (n, text)
+        held = (n, text) if text.count('"') % 2 else None
+        if not held:
+            out.append((n, text))
+    return out or lines[:1]
+
+
 @dataclass
 class Sniffed:
     """What the first lines and the bytes of one file tell: its encoding, header and where its rows begin."""
@@ -73,7 +84,7 @@ class Sniffed:
 
     def header(self, sep):
         """(line number, cells); None for a file without lines."""
-        head = [(n, next(csv.reader([text], delimiter=sep))) for n, text in self.lines]
+        head = [(n, next(csv.reader([text], delimiter=sep))) for n, text in _whole(self.lines)]
         return head[header_position([cells for _, cells in head])] if head else None
 
     @property
@@ -377,6 +388,11 @@ def list_files(spark, folder):
     return sorted(r["path"] for r in found)
 
 
+def labelled_files(spark, folder):
+    """{file name without its ending: path}."""
+    return {os.path.splitext(os.path.basename(path))[0]: path for path in list_files(spark, folder)}
+
+
 def read_tables(spark, folder, min_rows=2):
     """A4: one table per csv, json or parquet file of a folder; tables of fewer than two rows are left out."""
     readers = {

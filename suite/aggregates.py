@@ -377,6 +377,26 @@ def _fences(columns, k):
 _FENCE_COLUMNS = ("value", "wild", "mild", "even")
 
 
+@query("a11_report_sheets", "WITH outliers AS (" + _fences(("value", "wild", "mild"), 6) + """), matrix AS (
+SELECT 'value' AS col1, 'wild' AS col2, round(corr(value, wild), 4) AS r FROM (SELECT value, CASE WHEN user_id % 20 = 1 THEN -value * 9 ELSE value END AS wild, value + user_id AS mild FROM events) UNION ALL SELECT 'value' AS col1, 'mild' AS col2, round(corr(value, mild), 4) AS r FROM (SELECT value, CASE WHEN user_id % 20 = 1 THEN -value * 9 ELSE value END AS wild, value + user_id AS mild FROM events) UNION ALL SELECT 'wild' AS col1, 'mild' AS col2, round(corr(wild, mild), 4) AS r FROM (SELECT value, CASE WHEN user_id % 20 = 1 THEN -value * 9 ELSE value END AS wild, value + user_id AS mild FROM events)),
+shares AS (SELECT event_type AS v, count(*) AS n FROM events GROUP BY 1)
+SELECT 'outliers' AS sheet, concat_ws('|', "column", count, printf('%.2f', pct), printf('%.4f', lb), printf('%.4f', ub), severity,
+ array_to_string(list_slice(string_split(replace(replace(extremes, '[', ''), ']', ''), ', '), 1, 3), ', ')) AS line FROM outliers UNION ALL
+SELECT 'matrix', concat_ws('|', col1, col2, printf('%.4f', r)) FROM matrix UNION ALL
+SELECT 'categories', concat_ws('|', 'event_type', row_number() OVER (ORDER BY n DESC, v), v, n, printf('%.2f', round(n / (SELECT count(*) FROM events) * 100, 2))) FROM shares""")
+def a11_sheets(spark, sf):
+    df, columns = fenced(spark, sf), ["value", "wild", "mild"]
+    sheets = sinks.report_tables({
+        "outliers": stats.iqr_outliers(df, columns, ["ts"]), "matrix": assoc.corr_pairs(df, columns),
+        "categories": stats.category_profile(table(spark, sf, "events"), ["event_type"])})
+    text = lambda c, digits: F.format_string(f"%.{digits}f", c)
+    lines = {
+        "outliers": ["column", F.col("count").cast("string"), text("pct", 2), text("lb", 4), text("ub", 4), "severity", "samples"],
+        "matrix": ["col1", "col2", text("r", 4)],
+        "categories": ["column", F.col("rank").cast("string"), "value", F.col("count").cast("string"), text("pct", 2)]}
+    return stats.union_all([sheets[s].select(F.lit(s).alias("sheet"), F.concat_ws("|", *parts).alias("line")) for s, parts in lines.items()])
+
+
 @query("g14_iqr_outliers", _fences(_FENCE_COLUMNS, 6).replace("(SELECT quantile_cont(even", "(SELECT quantile_cont(even :: DOUBLE"))
 def g14(spark, sf):
     return stats.iqr_outliers(fenced(spark, sf), _FENCE_COLUMNS, ["ts"])

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import clean, features, gates, profile, roles
+from plumbline.functions.store import new_folder
+from plumbline.plans.model import join_model, split_dimensions
 from plumbline.sources import files, sinks
 from plumbline.sources.files import tidy
 from plumbline.functions.expr import ratio, rounded
@@ -86,6 +88,49 @@ def a6(spark, sf):
     return shape("customer_id", "customer_id", "segment").union(shape("supplier_id", "supplier_id", "supplier"))
 
 
+@query("a2_encodings_of_files", r"SELECT doc_id, regexp_replace(text, '[^\x01-\xff]|\r', '?', 'g') AS text FROM documents")
+def a2(spark, sf):
+    """Half of the documents in UTF-8, half in Latin-1, as quoted CSV whose texts hold line breaks; every file is sniffed on its own."""
+    docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[^\x01-\xff]|\r", "?").alias("text"))
+    folders = []
+    for half, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        folders.append(new_folder(spark, "a2"))
+        docs.where(F.col("doc_id") % 2 == half).write.option("header", True).option("encoding", encoding).option("quoteAll", True).option("escape", '"').csv(folders[-1])
+    return files.read_csv_sniffed(spark, folders, tidy_up=False)
+
+
+@query("a3_json_records", "SELECT conv_id, turn, role, text FROM conversations")
+def a3(spark, sf):
+    """Records over several lines each, which many tasks cut apart."""
+    folder = new_folder(spark, "a3")
+    table(spark, sf, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"pretty": "true"}).alias("value")).write.text(folder)
+    return files.read_json(spark, folder).select("conv_id", "turn", "role", "text")
+
+
+@query("a9_written_table", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem")
+def a9(spark, sf):
+    """A table written as CSV and read again."""
+    folder = new_folder(spark, "a9")
+    sinks.write_table(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"), folder, "csv")
+    back = files.read_csv_sniffed(spark, folder)
+    return back.select(*[F.col(c).cast(t) for c, t in table(spark, sf, "lineitem").select(back.columns).dtypes])
+
+
+@query("e7_side_by_side_model", """SELECT o_orderkey AS order_no, CAST(o_totalprice AS DOUBLE) AS amount, c_mktsegment AS segment, n_name AS nation
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def e7_side_by_side(spark, sf):
+    """The dimensions stand next to each other in one file's lines and join the fact on their keys."""
+    buyers = table(spark, sf, "customer")
+    sales = table(spark, sf, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("order_no"), F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("nation_id"), F.col("o_totalprice").cast("double").alias("amount"))
+    left = buyers.selectExpr("c_custkey AS k", "concat_ws(',', c_custkey, c_mktsegment) AS l")
+    right = table(spark, sf, "nation").selectExpr("n_nationkey + 1 AS k", "concat_ws(',', n_nationkey, n_name) AS r")
+    rows = left.join(right, "k", "full").selectExpr("k + 10 AS _line", "concat(coalesce(l, ','), ',,', coalesce(r, ',')) AS value")
+    top = spark.createDataFrame([(0, "customer_id,segment,,nation_id,nation")], "_line bigint, value string")
+    tables = split_dimensions({"sales": sales, "sheet": rows}, "sales", {"sheet": files.tables_of_lines(top.union(rows))})
+    return join_model(tables, "sales").df.select("order_no", "amount", "segment", "nation")
+
+
 @query("a12_raw_extract", f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS shipped
 FROM lineitem ORDER BY {', '.join(LINE_ORDER)}, l_extendedprice""")

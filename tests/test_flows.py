@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.plans.analysis import analyse, analyse_classic, analyse_separately, analyse_union
-from plumbline.plans.model import analyse_model, join_model
+from plumbline.plans.model import analyse_model, join_folder, join_model, read_model
 from plumbline.sources import files, sinks
 from plumbline.streaming.arrivals import analyse_arrivals, watch_folder
 
@@ -214,3 +214,14 @@ def test_json_arrays_are_read_by_many_tasks(spark, tmp_path):
     assert rows == {w["id"]: (w["s"], [x["b"] for x in w["deep"]["a"]], w["deep"]["c"]) for w in want}
     write(tmp_path / "none.json", "[]")
     assert files.json_records(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_folder_with_dimensions_side_by_side(spark, tmp_path):
+    write(tmp_path / "shipments.csv", "ShipID,PID,SPID,Amount\n" + "".join(f"S{i:04d},P{i % 3:02d},SP{i % 2:02d},{i * 10}\n" for i in range(40)))
+    write(tmp_path / "sheet.csv", "PID,Product,Category,,SPID,Person\nP00,Bar,Sweet,,SP00,Ann\nP01,Box,Sour,,SP01,Bob\nP02,Bag,Sweet,,,\n")
+    tables, fact = read_model(spark, str(tmp_path))
+    assert fact == "shipments" and sorted(tables) == ["PID", "SPID", "shipments"]
+    joined = join_folder(spark, str(tmp_path))
+    assert joined.fact == "shipments" and {d.name for d in joined.dims} == {"PID", "SPID"}
+    got = {r["ShipID"]: (r["Product"], r["Person"]) for r in joined.df.collect()}
+    assert len(got) == 40 and got["S0004"] == ("Box", "Ann") and got["S0005"] == ("Bag", "Bob")
