@@ -45,7 +45,7 @@ def with_row_index(df, order_by, name="_rn", valid=None, ranges=None):
     seen = {f"_n{i}": source for i, source in enumerate(valid.values())}
     sizes = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[F.count(col(s)).alias(n) for n, s in seen.items()])
     begins, total = [], [0] * (1 + len(seen))
-    for r in sizes.orderBy("_range").collect():  # a row per range
+    for r in sorted(sizes.collect(), key=lambda r: r["_range"]):  # a row per range
         begins.append((r["_range"], *total))
         total = [t + r[n] for t, n in zip(total, ("_n", *seen))]
     schema = "_range bigint, " + ", ".join(f"_b{i} bigint" for i in range(len(total)))
@@ -100,7 +100,15 @@ def key_places(columns, tuples):
     cuts = [a for c in zip(*tuples) for a in _comparable(c)]
     needed = [i for i in range(len(rows)) if i % 2 or (rows[i] != 1).any() or (cuts[i] != 1).any()]  # no flags where all are plain values
     rows, cuts = [rows[i] for i in needed], [cuts[i] for i in needed]
+    # the first key alone settles every row that equals no cut's first key
+    low, high = np.searchsorted(cuts[0], rows[0], "left"), np.searchsorted(cuts[0], rows[0], "right")
+    place, open_ = 2 * low, np.flatnonzero(high > low)
+    place[open_] = _searched([r[open_] for r in rows], cuts, low[open_], high[open_])
+    return place.astype(np.int32)
 
+
+def _searched(rows, cuts, low, high):
+    """Places of rows that lie from cut ``low`` on and below cut ``high``."""
     def compared(at):
         """Whether the cut at each place is less than the row, and whether it equals it."""
         less, alike = np.zeros(at.size, bool), None
@@ -115,15 +123,15 @@ def key_places(columns, tuples):
         equal[alike] = True
         return less, equal
 
-    m = len(tuples)
-    at = np.zeros(rows[0].size, np.int64)
-    for step in (1 << i for i in reversed(range(m.bit_length()))):
-        ahead = at + step
-        fits = ahead <= m
-        less, _ = compared(np.where(fits, ahead, 1) - 1)
-        at = np.where(fits & less, ahead, at)
-    _, equal = compared(np.minimum(at, m - 1))
-    return (2 * at + (equal & (at < m))).astype(np.int32)
+    last, end = cuts[0].size - 1, high
+    while (low < high).any():
+        middle = (low + high) // 2
+        less, _ = compared(np.minimum(middle, last))
+        more = (low < high) & less
+        high = np.where((low < high) & ~less, middle, high)
+        low = np.where(more, middle + 1, low)
+    _, equal = compared(np.minimum(low, last))
+    return 2 * low + (equal & (low < end))
 
 
 def _counted(keys, tuples):
@@ -152,7 +160,7 @@ def _within(keys, tuples, places):
     return keys.mapInArrow(pick, T.StructType([T.StructField("_p", T.IntegerType()), *keys.schema.fields]))
 
 
-def rows_at_ranks(df, order_by, ranks, name="_rn", inside_rows=INSIDE_ROWS, cuts=CUTS):
+def rows_at_ranks(df, order_by, ranks, name="_rn", inside_rows=INSIDE_ROWS, cuts=CUTS, rows=None):
     """The rows at the given ranks (from 0) of an order, with their rank; of rows equal in all keys any may stand at each of their ranks.
 
     Rounds read keys only. Each draws key tuples from the gaps that hold wanted ranks, counts the rows between and at them in one scan,
@@ -164,7 +172,7 @@ def rows_at_ranks(df, order_by, ranks, name="_rn", inside_rows=INSIDE_ROWS, cuts
     keys = _keys(df, order_by)
     edges, large, rounds = [], None, 0
     while True:
-        rows = sum(large.values()) if large else df.count()
+        rows = sum(large.values()) if large else df.count() if rows is None else rows
         if not rows or not ranks:
             return none
         known = _within(keys, edges, large).drop("_p") if large else keys
@@ -234,7 +242,7 @@ def every_kth(df, order_by, step=None, points=80):
     step = step or max(1, n // points)
     if step == 1 or n // step > MOST_RANKS:
         return with_row_index(df, order_by).where(F.col("_rn") % step == 0)
-    return rows_at_ranks(df, order_by, range(0, n, step))
+    return rows_at_ranks(df, order_by, range(0, n, step), rows=n)
 
 
 def first_k(df, order_by, k):
