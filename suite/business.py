@@ -1,6 +1,6 @@
 """Business rollups over the star join (inventory H)."""
 
-from plumbline.operators import business
+from plumbline.operators import business, gates
 from plumbline.operators.features import add_measures
 from plumbline.operators.star import Dim, star_join
 from plumbline.functions.expr import numeric_columns, text_columns
@@ -120,9 +120,10 @@ def h9(spark, sf):
 @query("h10_generic_kpis", GAPS_SQL + """ SELECT 0 AS position, 'Total Records' AS label, format('{:,}', count(*)) AS value, '5 columns' AS sub FROM gaps UNION ALL
 SELECT 1, 'Analysis Columns', '4', '1 categorical' UNION ALL
 SELECT 2, 'Data Quality', printf('%.2f%%', round((1 - (5 * count(*) - count(l_quantity) - count(price_k) - count(disc_gap) - count(l_tax) - count(flag_gap)) / (count(*) * 5)) * 100, 2)), 'completeness' FROM gaps UNION ALL
-SELECT 3, 'Columns Blocked', '1', 'by missing data gate' UNION ALL """ + " UNION ALL ".join(
+SELECT 3, 'Columns Blocked', CAST((""" + " + ".join(f"((count(*) - count({c})) / count(*) * 100 > 20) :: INT" for c in ("l_quantity", "price_k", "disc_gap", "l_tax", "flag_gap")) + """) AS VARCHAR), 'by missing data gate' FROM gaps UNION ALL """ + " UNION ALL ".join(
     f"SELECT {4 + i}, '{c}', format('{{:,.2f}}', avg({c})), printf('σ=%.2f · n=%d', stddev_samp({c}), count({c})) FROM gaps"
     for i, c in enumerate(("l_quantity", "price_k", "disc_gap", "l_tax"))))
 def h10(spark, sf):
     df = gaps(spark, sf).select("l_quantity", "price_k", "disc_gap", "l_tax", "flag_gap")
-    return business.generic_kpis(df, numeric_columns(df), text_columns(df), blocked=["disc_gap"])
+    return business.generic_kpis(df, numeric_columns(df), text_columns(df), blocked=[
+        r["column"] for r in gates.column_gates(df, warn=False).where("status = 'BLOCK'").collect()])

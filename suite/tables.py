@@ -343,7 +343,9 @@ def c5(spark, sf):
 
 
 @query("c3_gate_trace", f"SELECT concat('column:', \"column\") AS step, status FROM ({_column_gate_sql()}) UNION ALL "
-       "SELECT * FROM (VALUES ('gate:min_rows', 'PASS'), ('gate:dataset_missing', 'PASS'), ('gate:columns_left', 'PASS'))")
+       "SELECT concat('gate:', g), CASE WHEN ok THEN 'PASS' ELSE 'BLOCK' END FROM (" + GAPS_SQL + f", n AS (SELECT count(*) AS rows, {_NULLS} AS nulls FROM gaps), "
+       f"k AS (SELECT count(*) FILTER (WHERE null_pct <= 20) AS kept FROM ({_column_gate_sql()})) "
+       "SELECT unnest(['min_rows', 'dataset_missing', 'columns_left']) AS g, unnest([rows >= 5, nulls / (rows * 17) * 100 <= 60, kept > 0]) AS ok FROM n, k)")
 def c3_trace(spark, sf):
     return gates.gate_trace(gaps(spark, sf), "lineitem").select("step", "status")
 
@@ -414,9 +416,10 @@ def c13(spark, sf):
 
 
 @query("c13_overall_verdict", _PRICED + """, r AS (SELECT count(*) FILTER (WHERE net_amount < 0) AS neg,
-  count(*) FILTER (WHERE tax_rate > 100) AS over, count(*) FILTER (WHERE shipped > TIMESTAMP '2001-06-30') AS future FROM priced)
-SELECT (neg > 0) :: BIGINT + 1 AS failures, (over > 0) :: BIGINT + (future > 0) :: BIGINT AS warnings,
-  8 - (neg > 0) :: BIGINT - (over > 0) :: BIGINT - (future > 0) :: BIGINT AS passed, 'HAS ISSUES' AS overall FROM r""")
+  count(*) FILTER (WHERE tax_rate > 100) AS over, count(*) FILTER (WHERE shipped > TIMESTAMP '2001-06-30') AS future,
+  """ + " + ".join(f"(count({c}) > 5 AND min({c}) = max({c})) :: BIGINT" for c in ("net_amount", "qty", "discount_pct", "tax_rate", "fixed")) + """ AS same FROM priced)
+SELECT (neg > 0) :: BIGINT + same AS failures, (over > 0) :: BIGINT + (future > 0) :: BIGINT AS warnings,
+  8 - (neg > 0) :: BIGINT - (over > 0) :: BIGINT - (future > 0) :: BIGINT AS passed, CASE WHEN neg > 0 OR same > 0 THEN 'HAS ISSUES' ELSE 'CLEAN' END AS overall FROM r""")
 def c13_verdict(spark, sf):
     return gates.overall_verdict(gates.quality_checks(priced(spark, sf), "2001-06-30 00:00:00"))
 
