@@ -8,6 +8,7 @@ all tasks, so what is broadcast is bounded however long the benchmark is; nothin
 
 Null and wordless documents have no words and are clean; null and wordless items match nothing. Repeated rows are judged each on
 its own. Items whose id is null mark words but are not listed. Empty tables give empty or all-clean results.
+Other columns, whatever their names, are carried as they are or not read. A very long text is read whole, in memory in proportion to that one text.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ overfull at that depth is read by its owner all the same, for an owner keeps one
 
 Null text counts as empty. Rows may repeat and ids may be null or repeat: of equal texts exactly one row stays, the one with most
 code points, then the smallest id (null last), then the first in the stored order. An empty table gives an empty result.
+Other columns, whatever their names, are carried as they are or not read. A very long text is read whole, in memory in proportion to that one text.
 """
 
 from __future__ import annotations

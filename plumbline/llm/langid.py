@@ -8,6 +8,7 @@ most 2**MAX_BITS; only set cells reach the driver, so its size is bounded.
 
 `und` with score 0: null text, no letter, or nothing learned. Letters but no usable gram: the language of most training rows, score 0.
 Rows without lang are never learned from; a null id folds as the empty text. Empty tables give empty results.
+Other columns are not read, whatever their names. A very long text is read whole, in memory in proportion to that one text.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ table is ever whole in one place. Two words share a count only if their 64-bit h
 
 Null text is empty: one end token. A null id folds as the empty text. Rows may repeat; each counts and is scored. Without training rows
 every token has probability 1/(V+1) = 1. Empty tables give empty results.
+Other columns are not read, whatever their names. A very long text is read whole, in memory in proportion to that one text.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ plan gives, for each length, ranges of ranks; pieces find their rank by counting
 so no length, however frequent, is sorted or numbered in one task.
 
 Null and empty texts are the end token alone. Rows may repeat; each is packed. Empty tables give an empty result.
+Other columns are not read, whatever their names. A very long text is read whole, in memory in proportion to that one text.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ the sample is as large as the good part of the corpus. The k-th key is found by
 
 Noise is drawn from the hash of id and text, so runs repeat. Rows whose keys tie at the k-th place all stay, repeated rows together.
 Null and empty texts have log weight 0. Null labels, unknown ids and null ids teach nothing; without good or without bad labels every row stays.
+Other columns, whatever their names, are carried as they are or not read. A very long text is read whole, in memory in proportion to that one text.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ links found become a spanning forest, so a thousand near copies leave a thousand
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows may repeat. component_id is the smallest id reachable,
 null only where all ids are null. Empty tables give empty results.
+Other columns, whatever their names, are carried as they are or not read. A very long text is read whole, in memory in proportion to that one text.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ any number of tasks share. Hashes of contexts are taken as equal texts at 64 bit
 
 Null text is empty. Texts under LENGTH bytes are never cut. Rows may repeat: copies of 200 bytes or more are removed from all of them.
 Empty tables give empty results.
+Other columns are not read, whatever their names. A very long text is read whole, in memory in proportion to that one text.
 """
 
 from __future__ import annotations

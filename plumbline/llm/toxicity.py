@@ -10,6 +10,7 @@ weight PENALTY, so neutral mentions of a group gain nothing.
 
 Null text counts as empty and is scored like any text. Labels of unknown ids, null labels and null ids teach nothing; repeated labels
 count as toxic if any is. Nothing learned: the share of toxic rows, 0 without any. Empty tables give empty results.
+Other columns are not read, whatever their names. A very long text is read whole, in memory in proportion to that one text.
 """
 
 from __future__ import annotations

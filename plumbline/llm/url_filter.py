@@ -7,6 +7,7 @@ block before allow. No rule: `default`. The rule side is joined without a hint,
 
 Null urls and urls without `://` have empty host and path, which no rule fits. Rows may repeat: each gives its own row, whatever
 its page_id. An empty table gives an empty result, no rules give `default` everywhere.
+Other columns are not read, whatever their names. A very long url is read whole, in memory in proportion to that one url.
 """
 
 from __future__ import annotations
