@@ -21,14 +21,21 @@ from plumbline.functions.store import materialised
 
 CUTS = 256
 SAMPLE_PER_CUT = 24
+RANGE_ROWS = 500_000
 INSIDE_ROWS = 20_000
 MOST_RANKS = 1_000
 PLACE = (1 << 33) - 1
 
 
-def sorted_ranges(df, order_by, ranges=None):
-    """The rows in sorted ranges with their range and place as ``_at`` (range * 2**33 + place), kept as they are."""
+def sorted_ranges(df, order_by, ranges=None, range_rows=RANGE_ROWS):
+    """The rows in sorted ranges with their range and place as ``_at`` (range * 2**33 + place), kept as they are.
+
+    ``ranges`` is the least number of ranges; a table of more than ``range_rows`` rows a range gets more, so that no task's share grows.
+    """
     keys = [*[col(k) for k in order_by], F.col("_tie")]
+    needed = -(-df.count() // range_rows)
+    if needed > (ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))):
+        ranges = needed
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     spread = tied.repartitionByRange(ranges, *keys) if ranges else tied.repartitionByRange(*keys)
     return materialised(spread.sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id()))

@@ -33,6 +33,14 @@ def test_hot_keys_are_split(spark, key):
     assert got.select("_rn").distinct().count() == 5000 and got.agg(F.max("_rn"), F.min("_rn")).first()[:] == (4999, 0)
 
 
+@pytest.mark.parametrize("ranges", [None, 6])
+def test_ranges_follow_the_table(spark, ranges):
+    """No range holds much more than its share, whatever number of ranges was named or set."""
+    df = shuffled(spark)
+    sizes = sorted_ranges(df, ["hot", "k"], ranges, range_rows=100).groupBy(F.shiftright("_at", 33).alias("r")).count()
+    assert sizes.agg(F.max("count")).first()[0] < 300
+
+
 @pytest.mark.parametrize("kind, make", [
     ("date", lambda c: F.date_add(F.lit("2020-01-01"), c.cast("int"))),
     ("timestamp", lambda c: F.timestamp_seconds(c * 3607)),
