@@ -13,17 +13,18 @@ ROUNDS, BITS = 4, 16
 
 
 def order_key(v):
-    """The bits of a finite double as a whole number in the order of the values: sign, exponent, fraction. Equal only for equal values."""
+    """The bits of a finite double as a whole number in the order of the values: sign, exponent, fraction. Equal only for equal values.
+
+    The logarithm may be one off either way; what is left after dividing by that power of two then lies in [2, 4) or under 1, which moves the
+    exponent by one. Under the least exponent nothing moves: subnormal numbers and zero. The text is kept short, as long ones run uncompiled.
+    """
     size = F.abs(v)
-    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("int")
-    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))  # exact for whole exponents
-    low = guess - (two(guess) > size).cast("int")
-    exponent = F.greatest(low + (two(low + 1) <= size).cast("int"), F.lit(-1022))
-    subnormal = size < F.lit(2.0 ** -1022)
+    guess = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("int")
     # dividing by a power of two, taking away one and scaling lose nothing
-    fraction = F.when(subnormal, size / F.lit(2.0 ** -1022)).otherwise(size / two(exponent) - 1) * F.lit(2.0 ** 52)
-    bits = F.when(subnormal, F.lit(0).cast("bigint")).otherwise(F.shiftleft((exponent + 1023).cast("bigint"), 52)) + fraction.cast("bigint")
-    return F.when(size == 0, F.lit(0).cast("bigint")).when(v < 0, -bits).otherwise(bits)
+    left = size / F.pow(F.lit(2.0), guess.cast("double"))
+    past = F.when(left >= 2, left / 2).when((left < 1) & (guess > -1022), 2 * left - 2).otherwise(left - 1)
+    bits = F.shiftleft((guess + 1023).cast("bigint"), 52) + (past * F.lit(2.0 ** 52)).cast("bigint")
+    return F.when(v < 0, -bits).otherwise(bits)
 
 
 def prefix(key, bits):
@@ -34,7 +35,8 @@ def select_ranks(counted, targets, by):
     """Values at wanted ranks. ``counted`` has the columns ``by``, v and count (v null-free and finite, each once or more per group);
     ``targets`` has ``by``, target and rank (from 1). The result is ``by``, target, value; ranks beyond a group's count give no row."""
     by = list(by)
-    keyed = counted.select(*by, "v", "count", order_key(F.col("v")).alias("_key"))
+    # said to hold no null: else a filter for that is pushed below, which finds the key of every row once more and runs uncompiled
+    keyed = counted.select(*by, "v", "count", F.coalesce(order_key(F.col("v")), F.lit(0).cast("bigint")).alias("_key"))
     state = targets.select(*by, "target", F.col("rank").cast("bigint").alias("_rank"), F.lit(0).cast("bigint").alias("_at"))
     for number in range(1, ROUNDS + 1):
         before, now = prefix(F.col("_key"), BITS * (number - 1)), prefix(F.col("_key"), BITS * number)
