@@ -20,6 +20,7 @@ from plumbline.functions.expr import col
 from plumbline.functions.store import materialised
 
 CUTS = 256
+MOST_CUTS = 4096
 SAMPLE_PER_CUT = 24
 RANGE_ROWS = 500_000
 INSIDE_ROWS = 20_000
@@ -99,12 +100,17 @@ def _comparable(values):
     return rank, np.array(plain)
 
 
-def key_places(columns, tuples):
+def cut_arrays(tuples):
+    """Sorted key tuples as arrays that compare as Spark orders them, two a key; made once a task."""
+    return [a for c in zip(*tuples) for a in _comparable(c)]
+
+
+def key_places(columns, tuples, cuts=None):
     """Where key tuples lie among sorted ones: 2i in the gap below the i-th, 2i + 1 at it. By binary search, all rows at once."""
     if not columns or not tuples:
         return np.zeros(len(columns[0]) if columns else 0, np.int32)
     rows = [a for c in columns for a in _comparable(c)]
-    cuts = [a for c in zip(*tuples) for a in _comparable(c)]
+    cuts = cut_arrays(tuples) if cuts is None else cuts
     needed = [i for i in range(len(rows)) if i % 2 or (rows[i] != 1).any() or (cuts[i] != 1).any()]  # no flags where all are plain values
     rows, cuts = [rows[i] for i in needed], [cuts[i] for i in needed]
     # the first key alone settles every row that equals no cut's first key
@@ -144,9 +150,9 @@ def _searched(rows, cuts, low, high):
 def _counted(keys, tuples):
     """_p, n: how many rows lie at each place, added up per task."""
     def count(batches):
-        total = np.zeros(2 * len(tuples) + 1, np.int64)
+        total, cuts = np.zeros(2 * len(tuples) + 1, np.int64), cut_arrays(tuples)
         for batch in batches:
-            total += np.bincount(key_places(batch.columns, tuples), minlength=total.size)
+            total += np.bincount(key_places(batch.columns, tuples, cuts), minlength=total.size)
         places = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(total[places])], names=["_p", "n"])
 
@@ -159,8 +165,9 @@ def _within(keys, tuples, places):
     wanted[list(places)] = True
 
     def pick(batches):
+        cuts = cut_arrays(tuples)
         for batch in batches:
-            place = key_places(batch.columns, tuples)
+            place = key_places(batch.columns, tuples, cuts)
             held = batch.filter(pa.array(wanted[place]))
             yield pa.RecordBatch.from_arrays([pa.array(place[wanted[place]]), *held.columns], names=["_p", *held.schema.names])
 
@@ -249,7 +256,8 @@ def every_kth(df, order_by, step=None, points=80):
     step = step or max(1, n // points)
     if step == 1 or n // step > MOST_RANKS:
         return with_row_index(df, order_by).where(F.col("_rn") % step == 0)
-    return rows_at_ranks(df, order_by, range(0, n, step), rows=n)
+    cuts = min(MOST_CUTS, max(CUTS, 2 * n // INSIDE_ROWS))  # more cuts in a scan, not more scans
+    return rows_at_ranks(df, order_by, range(0, n, step), rows=n, cuts=cuts)
 
 
 def first_k(df, order_by, k):

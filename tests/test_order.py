@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators import order
 from plumbline.operators.features import moving_average, pct_change
 from plumbline.operators.order import every_kth, over_previous, rows_at_ranks, sorted_ranges, with_row_index
 from plumbline.operators.quantiles import quantiles
@@ -116,3 +117,14 @@ def test_narrowed_quantiles_agree_with_exact(spark, inside):
     refined = quantiles(df, df.columns, PROBABILITIES, "refine", inside_rows=inside)
     for c in df.columns:
         assert refined[c] == pytest.approx(exact[c]) if exact[c][0] is not None else refined[c] == exact[c]
+
+
+def test_larger_tables_get_more_cuts_not_more_scans(spark, monkeypatch):
+    """A table of two million rows is cut finely enough for one counting scan, with the cuts made ready once a task."""
+    given, counted = {}, []
+    find, count = order.rows_at_ranks, order._counted
+    monkeypatch.setattr(order, "rows_at_ranks", lambda *a, **k: (given.update(k), find(*a, **k))[1])
+    monkeypatch.setattr(order, "_counted", lambda *a: (counted.append(1), count(*a))[1])
+    monkeypatch.setattr(order, "INSIDE_ROWS", 1000)
+    got = [r["id"] for r in order.every_kth(spark.range(2_000_000), ["id"]).orderBy("id").collect()]
+    assert got == list(range(0, 2_000_000, 25_000)) and given["cuts"] == 4000 and len(counted) == 1
