@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 ROUNDS, BITS = 4, 16
+FEW_ROWS = 1_000_000
 
 
 def order_key(v):
@@ -31,23 +32,34 @@ def prefix(key, bits):
     return F.shiftright(key, 64 - bits) if bits < 64 else key
 
 
-def select_ranks(counted, targets, by):
+def select_ranks(counted, targets, by, begun=None, small=None):
     """Values at wanted ranks. ``counted`` has the columns ``by``, v and count (v null-free and finite, each once or more per group);
-    ``targets`` has ``by``, target and rank (from 1). The result is ``by``, target, value; ranks beyond a group's count give no row."""
+    ``targets`` has ``by``, target and rank (from 1). The result is ``by``, target, value; ranks beyond a group's count give no row.
+
+    ``begun`` names the column of ``by`` that holds the leading BITS bits already. Where targets are few, ``small`` keeps the
+    state of a round (a row per target), so that no round is run again for the next one; the last rounds become one once the prefixes found hold
+    no more than FEW_ROWS rows together.
+    """
     by = list(by)
+    few = F.broadcast if small else lambda d: d
     # said to hold no null: else a filter for that is pushed below, which finds the key of every row once more and runs uncompiled
     keyed = counted.select(*by, "v", "count", F.coalesce(order_key(F.col("v")), F.lit(0).cast("bigint")).alias("_key"))
-    state = targets.select(*by, "target", F.col("rank").cast("bigint").alias("_rank"), F.lit(0).cast("bigint").alias("_at"))
-    for number in range(1, ROUNDS + 1):
-        before, now = prefix(F.col("_key"), BITS * (number - 1)), prefix(F.col("_key"), BITS * number)
-        live = keyed.withColumns({"_at": F.lit(0).cast("bigint") if number == 1 else before, "_to": now})
-        if number > 1:
-            live = live.join(state.select(*by, "_at").distinct(), [*by, "_at"])
-        held = live.groupBy(*by, "_at", "_to").agg(F.sum("count").alias("_held"), F.min("v").alias("_v"))
+    state = targets.select(*by, "target", F.col("rank").cast("bigint").alias("_rank"), (F.col(begun) if begun else F.lit(0)).cast("bigint").alias("_at"))
+    known = BITS if begun else 0
+    while known < ROUNDS * BITS:
+        found, known = known, known + BITS
+        if small and found > (BITS if begun else 0):
+            inside = state.groupBy(*by, "_at").agg(F.first("_rows").alias("n")).agg(F.sum("n").alias("n")).first()["n"]
+            known = ROUNDS * BITS if (inside or 0) <= FEW_ROWS else known
+        live = keyed.withColumns({"_at": prefix(F.col("_key"), found) if found else F.lit(0).cast("bigint"), "_to": prefix(F.col("_key"), known)})
+        if found:
+            live = live.join(few(state.select(*by, "_at").distinct()), [*by, "_at"])
+        held = live.groupBy(*by, "_at", "_to").agg(F.sum("count").alias("_held"), F.min("v").alias("_v"), F.count(F.lit(1)).alias("_rows"))
         running = Window.partitionBy(*by, "_at").orderBy("_to")
         placed = held.withColumn("_upto", F.sum("_held").over(running))
-        state = placed.join(state.drop("_v"), [*by, "_at"]).where("_rank <= _upto AND _rank > _upto - _held").select(
-            *by, "target", (F.col("_rank") - F.col("_upto") + F.col("_held")).alias("_rank"), F.col("_to").alias("_at"), "_v")
+        state = placed.join(few(state.select(*by, "target", "_rank", "_at")), [*by, "_at"]).where("_rank <= _upto AND _rank > _upto - _held").select(
+            *by, "target", (F.col("_rank") - F.col("_upto") + F.col("_held")).alias("_rank"), F.col("_to").alias("_at"), "_v", "_rows")
+        state = small(state) if small else state
     return state.select(*by, "target", F.col("_v").alias("value"))
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from plumbline.plans.analysis import analyse
+from plumbline.streaming import accumulate
 from plumbline.streaming.accumulate import Accumulated
 
 KIND = "t int, size int, price double, holed double, sparse double, kind string, note string"
@@ -70,3 +71,13 @@ def test_few_rows_are_blocked_until_there_are_enough(spark, tmp_path):
     assert held.report().status == "BLOCKED"
     held.add(spark.createDataFrame(made(3, 12, 6), KIND), 1)
     check(spark, held, made(0, 3, 5) + made(3, 12, 6), ("gates", "statistics"))
+
+
+def test_quantiles_leave_no_rounds_to_run_again(spark, tmp_path, monkeypatch):
+    """What selects ranks hands over a few rows, not a plan over the value counts; those are stored without a second shuffle."""
+    plans, find = [], accumulate.select_ranks
+    monkeypatch.setattr(accumulate, "select_ranks", lambda *a: (f := find(*a), plans.append(f._jdf.queryExecution().optimizedPlan().toString()))[0])
+    held = Accumulated(spark, str(tmp_path / "c"), ["t", "price"])
+    held.add(spark.createDataFrame(made(0, 60, 7), KIND), 0)
+    check(spark, held, made(0, 60, 7), ("statistics",))
+    assert plans and not any("parquet" in p.lower() for p in plans)

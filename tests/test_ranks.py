@@ -51,3 +51,19 @@ def test_no_filter_finds_the_keys_again(spark):
     rows = spark.range(50).select(F.lit("a").alias("c"), F.expr("CASE WHEN id % 7 <> 0 THEN id / 3 END").alias("v"))
     plan = ask.group_agg(rows, "v", "c", "median")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "LOG2" in line.upper()]
+
+
+def test_rounds_are_kept_where_targets_are_few(spark):
+    """With kept states no plan grows with the rounds, and nothing is left to run for the found values."""
+    from plumbline.functions.store import local
+    rows = spark.range(40_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 == 0, -0.25).otherwise(F.col("id") / 7 - 900).alias("v"), F.lit(1).cast("bigint").alias("count"))
+    celled = rows.withColumn("cell", ranks.prefix(ranks.order_key(F.col("v")), ranks.BITS))
+    targets = celled.groupBy("g", "cell").count().select("g", "cell", F.explode(F.array(F.lit(1).cast("bigint"), F.expr("count div 2 + 1"), "count")).alias("rank"))
+    targets = targets.distinct().withColumn("target", F.col("rank").cast("int"))
+    plain = {tuple(r) for r in ranks.select_ranks(celled, targets, ["g", "cell"]).collect()}
+    for few in (ranks.FEW_ROWS, 0):
+        ranks.FEW_ROWS, kept = few, ranks.FEW_ROWS
+        found = ranks.select_ranks(celled, targets, ["g", "cell"], "cell", local)
+        ranks.FEW_ROWS = kept
+        assert {tuple(r) for r in found.collect()} == plain and len(plain) > 20
+        assert "Range (0" not in found._jdf.queryExecution().optimizedPlan().toString()
