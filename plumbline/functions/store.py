@@ -38,6 +38,20 @@ def materialised(df):
     return df.checkpoint()  # written by the job that makes the rows
 
 
+def stored(df):
+    """The rows by column in the shared folder, for tables that are read many times: a scan decodes the columns that it needs and no others.
+
+    Order and partitions are not kept. Columns get plain names in the files, so any header will do; a table with a type that the files cannot
+    hold, or without such a folder, is kept as ``materialised`` keeps it.
+    """
+    types = [f.dataType.simpleString() for f in df.schema.fields]
+    if not types or shared_folder(df.sparkSession) is None or any(word in t for t in types for word in ("void", "interval", "collate")):
+        return materialised(df)
+    folder = new_folder(df.sparkSession, "rows")
+    df.toDF(*[f"c{i}" for i in range(len(types))]).write.parquet(folder)
+    return df.sparkSession.read.parquet(folder).toDF(*df.columns)
+
+
 def local(df):
     """A small table, of a row per column or less, as rows that the plan carries; reading it takes no job."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)

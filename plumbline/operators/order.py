@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.expr import col
-from plumbline.functions.store import materialised
+from plumbline.functions.store import stored
 
 CUTS = 256
 MOST_CUTS = 4096
@@ -29,7 +29,7 @@ PLACE = (1 << 33) - 1
 
 
 def sorted_ranges(df, order_by, ranges=None, range_rows=RANGE_ROWS):
-    """The rows in sorted ranges with their range and place as ``_at`` (range * 2**33 + place), kept as they are.
+    """The rows in sorted ranges with their range and place as ``_at`` (range * 2**33 + place), stored with it.
 
     ``ranges`` is the least number of ranges; a table of more than ``range_rows`` rows a range gets more, so that no task's share grows.
     """
@@ -39,7 +39,7 @@ def sorted_ranges(df, order_by, ranges=None, range_rows=RANGE_ROWS):
         ranges = needed
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     spread = tied.repartitionByRange(ranges, *keys) if ranges else tied.repartitionByRange(*keys)
-    return materialised(spread.sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
+    return stored(spread.sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
 
 
 def with_row_index(df, order_by, name="_rn", valid=None, ranges=None):
@@ -61,7 +61,8 @@ def with_row_index(df, order_by, name="_rn", valid=None, ranges=None):
     added = {name: F.col("_b0") + F.col("_at").bitwiseAND(F.lit(PLACE))}
     running = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for i, (new, source) in enumerate(valid.items(), 1):
-        added[new] = F.when(col(source).isNotNull(), F.col(f"_b{i}") + F.count(col(source)).over(running) - 1)
+        # without nulls it is the index itself; else the rows are shuffled once more, to count within their ranges
+        added[new] = added[name] if total[i] == total[0] else F.when(col(source).isNotNull(), F.col(f"_b{i}") + F.count(col(source)).over(running) - 1)
     return placed.withColumns(added).select(*[col(c) for c in df.columns], *[col(c) for c in added])
 
 

@@ -3,8 +3,9 @@
 Each wanted order statistic is narrowed by repeated scans of all columns, at every size. One scan sketches cut points close to either side of every
 target (bounded sketches), the next counts how many values lie at each cut and between neighbouring cuts, in one array per task. Every target then
 sits either at a cut, which settles it, or in an open interval between two cuts that holds only a few
-ten-thousandths of the values, which is narrowed again until its checked count is small enough to sort. A
-value that repeats billions of times becomes a cut, so skew ends the search instead of prolonging it.
+ten-thousandths of the values, which is narrowed again until its checked count is small enough to sort; only rows with a value in such an
+interval are looked at then, and each interval is sorted on its own. A value that repeats billions of times becomes a cut, so skew ends the
+search instead of prolonging it.
 """
 
 import math
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expr import chunks, col, finite
 
-INSIDE_ROWS = 10_000
+INSIDE_ROWS = 200_000
+SMALL_ROWS = 10_000
 ACCURACY = 10_000
 COLUMNS_PER_SCAN = 200
 
@@ -70,8 +72,9 @@ def _refine(df, columns, probabilities, inside_rows):
             ranks = {f(p * (n - 1)) + 1 for p in probabilities for f in (math.floor, math.ceil)}
             cells.append({"column": c, "name": f"v{i}", "low": None, "high": None, "n": n,
                           "ranks": {r: r for r in ranks}, "cuts": first[f"s{i}"]["cuts"]})
-    _sort_small(df, [x for x in cells if x["n"] <= inside_rows], settled)
-    cells = [x for x in cells if x["n"] > inside_rows]
+    least = min(inside_rows, SMALL_ROWS)  # a column of that size is sorted at once
+    _sort_small(df, [x for x in cells if x["n"] <= least], settled)
+    cells = [x for x in cells if x["n"] > least]
     while cells:
         cells = _count_between_cuts(df, cells, settled)
         _sort_small(df, [x for x in cells if x["n"] <= inside_rows], settled)
@@ -86,20 +89,29 @@ def _at(settled, c, position):
     return low + (high - low) * (position - math.floor(position))
 
 
-def _inside(cell):
-    """SQL text of the cell's value: null outside the open interval."""
-    name = cell["name"]
-    tests = [f"{name} IS NOT NULL"]
-    if cell["low"] is not None:
-        tests.append(f"{name} > {cell['low']!r}D")
-    if cell["high"] is not None:
-        tests.append(f"{name} < {cell['high']!r}D")
-    return f"CASE WHEN {' AND '.join(tests)} THEN {name} END"
+def _picked(df, cells):
+    """cell, v: the values that lie in each cell's open interval. All others are dropped in the scan."""
+    names = list(dict.fromkeys(x["name"] for x in cells))
+    wanted = [(names.index(x["name"]), x["low"], x["high"]) for x in cells]
+
+    def pick(batches):
+        for batch in batches:
+            known = [c.drop_null().to_numpy(zero_copy_only=False) for c in batch.columns]
+            for i, (at, low, high) in enumerate(wanted):
+                v = known[at]
+                if low is not None:
+                    v = v[v > low]
+                if high is not None:
+                    v = v[v < high]
+                if v.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(v.size, i, np.int32)), pa.array(v)], names=["cell", "v"])
+
+    return df.select(*names).mapInArrow(pick, "cell int, v double")
 
 
 def _sketch_cuts(df, cells):
-    row = df.agg(*[
-        F.percentile_approx(F.expr(_inside(x)), _around([r / x["n"] for r in x["ranks"].values()]), ACCURACY).alias(f"s{i}")
+    row = _picked(df, cells).agg(*[
+        F.percentile_approx(F.when(F.col("cell") == i, F.col("v")), _around([r / x["n"] for r in x["ranks"].values()]), ACCURACY).alias(f"s{i}")
         for i, x in enumerate(cells)
     ]).first()
     for i, x in enumerate(cells):
@@ -163,13 +175,11 @@ def _places(df, cells):
 
 
 def _sort_small(df, cells, settled):
-    """Intervals whose size is proven small: sort the few values and read off the wanted ranks."""
+    """Intervals whose size is proven small: each is sorted on its own, and the wanted ranks are read off."""
     for part in chunks(cells, COLUMNS_PER_SCAN):
-        ordered = df.agg(*[F.array_sort(F.collect_list(F.expr(_inside(x)))).alias(f"v{i}") for i, x in enumerate(part)])
-        row = ordered.select(*[
-            F.array(*[F.get(F.col(f"v{i}"), F.lit(r - 1)) for r in x["ranks"].values()]).alias(f"v{i}")
-            for i, x in enumerate(part)
-        ]).first()
-        for i, x in enumerate(part):
-            for original, value in zip(x["ranks"], row[f"v{i}"]):
+        ranks = F.create_map(*[e for i, x in enumerate(part) for e in (F.lit(i), F.array(*[F.lit(r) for r in x["ranks"].values()]))])[F.col("cell")]
+        ordered = _picked(df, part).groupBy("cell").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+        for r in ordered.select("cell", F.transform(ranks, lambda rank: F.get(F.col("vs"), rank - 1)).alias("found")).collect():
+            x = part[r["cell"]]
+            for original, value in zip(x["ranks"], r["found"]):
                 settled[x["column"], original] = value

@@ -130,9 +130,9 @@ def date_votes(df, columns=None, formats=DATE_FORMATS):
     columns = text_columns(df) if columns is None else list(columns)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, format string, at int, share double")
-    longest = max(len(s) for f in formats for s in layout_shapes(f))
+    lengths = [len(s) for f in formats for s in layout_shapes(f)]
     lined = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(col(c)).alias("text")) for c in columns])).alias("t")).select("t.*")
-    shaped = lined.withColumn("shape", F.when(F.length("text") <= longest, shape(F.col("text"))))
+    shaped = lined.withColumn("shape", F.when(F.length("text").between(min(lengths), max(lengths)), shape(F.col("text"))))
     votes = shaped.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), *[
         F.count(_parsed(F.col("text"), F.col("shape"), f)).alias(f"v{j}") for j, f in enumerate(formats)])
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("format"), F.lit(j).alias("at"), (F.col(f"v{j}") / F.col("rows")).alias("share")) for j, f in enumerate(formats)]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expr import date_columns
 from plumbline.operators import assoc, business, charts, clean, features, gates, insights, profile, roles, stats, trend
-from plumbline.functions.store import local, materialised
+from plumbline.functions.store import local, materialised, stored
 from plumbline.operators.merge import tagged_union
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.stats import union_all
@@ -110,7 +110,7 @@ def analyse(df, label="table", order_by=None, combined=False, test="moments", mo
     if stopped:
         return Report(label, "BLOCKED", stopped["reason"], tables=tables)
     blocked = [r["column"] for r in column_rows.where("status = 'BLOCK'").select("column").collect()]
-    cleaned, log = clean.clean(df, blocked, mode, materialised)
+    cleaned, log = clean.clean(df, blocked, mode, stored)
     ready = roles.promote_dates(cleaned, [c for c in roles.text_columns(cleaned) if c not in blocked])
     found = roles.classify(ready, blocked)
     order_by = list(order_by or ready.columns)
@@ -163,7 +163,7 @@ def numeric_sections(known, test="moments", date=None):
 
 def analyse_classic(df, label="table", order_by=None, as_of=None, mode="auto"):
     """I12, the older order: understand, clean by the 30 % limit, check, derive features, explain without gates."""
-    cleaned, log = clean.clean_classic(df, mode, materialised)
+    cleaned, log = clean.clean_classic(df, mode, stored)
     ready = roles.promote_dates(cleaned)
     found = roles.classify(ready, classic=True)
     order_by = list(order_by or ready.columns)

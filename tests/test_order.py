@@ -1,12 +1,17 @@
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.store import stored
 from plumbline.operators import order
 from plumbline.operators.features import moving_average, pct_change
 from plumbline.operators.order import every_kth, over_previous, rows_at_ranks, sorted_ranges, with_row_index
 from plumbline.operators.quantiles import quantiles
 
+narrowing = sys.modules["plumbline.operators.quantiles"]
+
 
 def shuffled(spark, n=5000):
     base = spark.range(n).select(
@@ -128,3 +133,32 @@ def test_larger_tables_get_more_cuts_not_more_scans(spark, monkeypatch):
     monkeypatch.setattr(order, "INSIDE_ROWS", 1000)
     got = [r["id"] for r in order.every_kth(spark.range(2_000_000), ["id"]).orderBy("id").collect()]
     assert got == list(range(0, 2_000_000, 25_000)) and given["cuts"] == 4000 and len(counted) == 1
+
+
+def test_index_over_a_full_column_is_the_row_index(spark):
+    """Counting within ranges shuffles all rows once more, which only columns with nulls need."""
+    got = with_row_index(shuffled(spark), ["hot", "k"], valid={"x": "k", "y": "v"}, ranges=5)
+    plan = got.select("x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and got.where("x <> _rn OR x IS NULL").count() == 0
+    assert got.agg(F.max("y")).first()[0] == got.where("v IS NOT NULL").count() - 1
+
+
+def test_large_gaps_are_sorted_without_another_round(spark, monkeypatch):
+    """A gap of tens of thousands of values costs no further rounds over the whole table."""
+    rounds, sketch = [], narrowing._sketch_cuts
+    monkeypatch.setattr(narrowing, "ACCURACY", 100)
+    monkeypatch.setattr(narrowing, "_sketch_cuts", lambda *a: (rounds.append(1), sketch(*a)))
+    df = spark.range(600_000).select((F.col("id") * 7919 % 600_000).cast("double").alias("v"), (F.col("id") % 7).cast("double").alias("few"))
+    assert quantiles(df, ["v", "few"], [0.25, 0.5]) == {"v": [149_999.75, 299_999.5], "few": [1.0, 3.0]} and not rounds
+
+
+def test_stored_rows_are_read_by_column(spark):
+    """Any header and type comes back as it was; a scan reads only what it needs."""
+    df = spark.range(50).select(F.col("id").alias("a b,c"), F.lit("x").alias("d.e"), F.lit("y").alias("é=()"), (F.col("id") / 3).alias("z"), F.timestamp_seconds("id").alias("t"),
+                                F.array(F.struct(F.col("id").alias("n m"))).alias("l"), F.when(F.col("id") > 9, F.timestamp_seconds("id").cast("timestamp_ntz")).alias("u"))
+    got = stored(df)
+    assert got.dtypes == df.dtypes and sorted(got.collect()) == sorted(df.collect())
+    plan = got.select("z")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "struct<c3:double>" in plan
+    odd = df.withColumn("v", F.lit(None))
+    assert sorted(map(str, stored(odd).collect())) == sorted(map(str, odd.collect()))
